@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlight.llm import line_dedup as lines
-from lotlight.llm import packing, pii, quality_rules, simhash
-from lotlight.llm import sql
+from lotlight.llm import bpe, packing, pii, quality_classifier, quality_rules, simhash, spotsigs, sql, substring_dedup, warc
 from lotlight.llm.common import table
-from lotlight.llm.tokenizer_files import byte_bpe_files
+from lotlight.llm.tokenizer_files import byte_bpe_files, word_bpe_file
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,20 +19,46 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("clean_text"), F.lit(0)).cast("long").alias("clean_chars"), F.md5(F.coalesce("clean_text", F.lit(""))).alias("clean_md5"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.with_digests(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), *byte_bpe_files())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_digests(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lotlight-warc-")
+    where = f"{shared.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), where)
+    return warc.read_archives(spark, where)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe_file()
+    return bpe.with_digests(bpe.decode_ids(bpe.encode_texts(docs, path).drop("text"), path))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spotsigs.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    return out.withColumn("edited_text", F.sha2("edited_text", 256)).withColumnRenamed("edited_text", "edited_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_report(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,5 +70,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_packing, op5_pii, op8_simhash, op10_quality_rules, pipeline)}
-ORACLES = {"op1_line_dedup": sql.LINE_DEDUP, "op10_quality_rules": sql.quality_rules()}
+_ALL = (op1_line_dedup, op2_substring_dedup, op3_packing, op4_quality_classifier, op5_pii, op6_warc, op7_bpe, op8_simhash, op9_spotsigs, op10_quality_rules, pipeline)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op1_line_dedup": sql.LINE_DEDUP, "op6_warc": sql.WARC, "op10_quality_rules": sql.quality_rules()}

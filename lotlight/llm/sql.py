@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lotlight.llm.line_dedup import LineDedupParams
 from lotlight.llm.quality_rules import COMMON_WORDS, LANGUAGES, N_COMMON, QualityParams
+from lotlight.llm.warc import WarcParams
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
 
@@ -34,6 +35,18 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN cut THEN n_gon
 FROM cut
 """
 
+_R = WarcParams()
+WARC = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages
+), g AS (
+  SELECT *, sha1(t) AS d, max(page_id) OVER (PARTITION BY t) AS last FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= {_R.revisit_bytes} AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= {_R.revisit_bytes} AND page_id <> last THEN last END AS refers_to
+FROM g
+"""
+
 
 def quality_rules(p: QualityParams = QualityParams()) -> str:
     w = p.repeat_window
