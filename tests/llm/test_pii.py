@@ -1,0 +1,49 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lotlight.llm.pii import BASE_KINDS, find_pii, find_spans, luhn, mask_pii, masked, mod97, with_digests
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+".replace(r"\x20", " "), "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def ok(kind, s):
+    d = re.sub(r"[^0-9]", "", s)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def base(text):
+    out = [(k, m.start(), m.end()) for k in BASE_KINDS for m in re.finditer(PATTERNS[k], text) if ok(k, m[0])]
+    return sorted(out, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
+
+
+PIECES = st.sampled_from(["a.b@c.de", "x@", "@", "@y.z", "..", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "+1 (724) 555-7058", "+", "4417123456789113", "4417 1234 5678 9113", "12", " ", "-", "é", "(", ".", "0", "\n", "007.1.1.1"])
+
+
+@given(st.lists(PIECES, max_size=30).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_base_spans(text):
+    assert [s[:3] for s in find_spans(text) if s[0] in BASE_KINDS] == base(text)
+
+
+def test_checksums_and_scores():
+    assert luhn("4417123456789113") and not luhn("4417123456789112")
+    assert mod97("GB82 WEST 1234 5698 7654 32") and not mod97("GB82 WEST 1234 5698 7654 33")
+    spans = find_spans("Our bank account is GB82 WEST 1234 5698 7654 32, call +1 724 555 7058 now, password=7602ad27cf55")
+    assert [s[0] for s in spans] == ["iban", "phone", "secret"] and spans[1][3] == 0.9
+    assert find_spans("order 4417123456789113")[0][3] < find_spans("visa card 4417123456789113")[0][3]
+    assert masked("mail a@b.cd or 4417123456789113.", find_spans("mail a@b.cd or 4417123456789113.")) == "mail <EMAIL> or <CARD>."
+
+
+def test_frames(odd, none):
+    found = with_digests(find_pii(odd)).collect()
+    texts = [(r.doc_id, r.text or "") for r in odd.collect()]
+    want = sorted(((d, hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base(t)).encode()).hexdigest()) for d, t in texts), key=repr)
+    assert sorted(((r.doc_id, r.base_sha256) for r in found), key=repr) == want
+    assert mask_pii(odd).columns == odd.columns and mask_pii(odd).where("text IS NULL").count() == 2
+    assert find_pii(none).count() == 0 and mask_pii(none).count() == 0
