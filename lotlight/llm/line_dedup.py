@@ -77,7 +77,7 @@ def line_dedup(docs: DataFrame, p: LineDedupParams = LineDedupParams(), site: st
     found = spread_join(lines.select("line", "key", "pos"), spread_lines(lines, p), ["line"], F.struct("key", "pos"), how="inner")
     removed = found.groupBy("key").agg(F.collect_set("pos").alias("_removed"))  # at most a document's own lines
     df = docs.select([f"`{c}`" for c in docs.columns if c not in RESULT])
-    df = df.withColumn("key_", _key(df)).join(removed.withColumnRenamed("key", "key_"), "key_", "left").drop("key_")
+    df = df.withColumn("_row_key", _key(df)).join(removed.withColumnRenamed("key", "_row_key"), "_row_key", "left").drop("_row_key")
     df = df.withColumn("_lines", F.split("text", "\n", -1))
     df = df.withColumns(
         {

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotlight.llm.common import durable
+
 # Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     "a an and are as at be but by for from had has have he his i in is it its not of on or she that the their there this to was were which with you "
@@ -158,3 +160,38 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """a, b, likeness of all pairs of different fingerprints at least so alike; each stands for its least doc_id.
+
+    Sets are sorted rarest signature first, and two as alike as that share one
+    among the first few of each. They are joined on it and on the partition of
+    their lengths: a set meets those of its own partition and, as the shorter
+    one, of the next. Copies are one set; membership is that of the fingerprint.
+    """
+    if not 0 < at_least <= 1:
+        raise ValueError("at_least must be over 0 and at most 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [signatures(t.as_py() or "").astype(np.int64).tolist() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sigs"])
+
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sigs array<long>")
+    sets = durable(made.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("doc_id").alias("rep")))
+    spots = sets.select("rep", F.explode("sigs").alias("sig"))
+    rare = spots.join(spots.groupBy("sig").agg(F.count("*").alias("df")), "sig")
+    ordered = rare.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("s"))  # a set's own signatures
+    n = F.size("s")
+    width = F.log(n) / (-math.log(min(at_least, 0.999999)))
+    ordered = ordered.select("rep", F.transform("s", lambda x: x["sig"]).alias("s"), n.alias("n"), F.floor(width).cast("int").alias("part"))
+    first = F.explode(F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * at_least - 1e-9).cast("int") + 1)).alias("sig")
+    own = ordered.select("rep", "n", "s", "part", first)
+    small = own.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))).select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), "part", "sig")
+    met = small.join(own.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"), "part", "sig"), ["sig", "part"])
+    met = met.where(((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))) & (F.col("nx") >= at_least * F.col("ny") - 1e-9))
+    pairs = met.dropDuplicates(["x", "y"])
+    common = F.size(F.array_intersect("sx", "sy"))
+    out = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (common / (F.col("nx") + F.col("ny") - common)).alias("likeness"))
+    return out.where(F.col("likeness") >= at_least)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lotlight.llm.spotsigs import fingerprint_with_edits, hexed, jaccard, signatures
+from lotlight.llm.spotsigs import fingerprint_with_edits, hexed, jaccard, near_pairs, signatures
 
 from .conftest import prose
 
@@ -35,3 +35,23 @@ def test_likeness():
     assert jaccard(signatures(a), signatures(a)) == 1.0 and jaccard(signatures(""), signatures("")) == 1.0
     assert jaccard(np.arange(10), np.arange(100), at_least=0.5) == 0.0 and jaccard(np.arange(80), np.arange(100), at_least=0.5) == 0.8
     assert len(signatures("lantern meadow")) == 2
+
+
+def test_near_pairs(spark, odd, none):
+    rows = []
+    for k in range(30):
+        words = prose(k % 10, 200).split()
+        for j in range(k // 10 * 3):
+            words[j * 40 % 200] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, prose(k, 200)) for k in range(3)]
+    for limit in (0.6, 0.8):
+        sets = {}
+        for d, t in rows:
+            sets.setdefault(tuple(signatures(t)), d)
+        reps = [(d, np.array(s)) for s, d in sets.items()]
+        want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(reps) for b, y in reps[i + 1 :] if jaccard(x, y) >= limit}
+        got = [(r.a, r.b) for r in near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    near_pairs(odd).collect()
+    assert near_pairs(none).count() == 0
