@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlight.functions import boxes as bx
 from lotlight.operators import box_algorithms as ba
+from lotlight.operators import discovery, metrics
 from lotlight.plans.bindings import BOXES, boxes, iou_sql
 from lotlight.plans.registry import query
 
@@ -128,3 +129,51 @@ def agg_discovery_eval(spark, d):
     both = t.crossJoin(nms(spark, d).agg(F.count("*").alias("found")))
     over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return both.select("every", "bays", "found", F.round(over("found", "every"), 6).alias("precision"), F.round(F.least(F.lit(1.0), over("bays", "found")), 6).alias("recall"))
+
+
+def detections(spark, d):
+    """Boxes of ten cameras: every twentieth order is a frame, a quarter of an hour after the one before."""
+    f = flat(spark, d).where("frame % 20 = 0")
+    return f.select((F.col("supp") % 10).cast("int").alias("camera"), (F.col("frame") / 20).cast("int").alias("t"), *ba.COLUMNS)
+
+
+def _analysed(spark, d):
+    seen = detections(spark, d)
+    frames = seen.select("camera", "t").distinct().withColumn("ts", F.timestamp_seconds(F.col("t") * 900).cast("timestamp_ntz"))
+    sites = discovery.find_sites(seen, LOOSE)
+    return sites, *discovery.analyse(sites, frames, seen, None, LOOSE)
+
+
+LOOSE = discovery.DiscoveryConfig(match_iou=0.3, min_density=0.1, min_stay_minutes=15)
+
+
+@query("disc_presence")
+def disc_presence(spark, d):
+    return _analysed(spark, d)[1].groupBy("spot_id").agg(F.count("*").alias("frames"), F.sum("raw").alias("seen"), F.sum("present").alias("present"))
+
+
+@query("disc_analyse")
+def disc_analyse(spark, d):
+    return _analysed(spark, d)[2]
+
+
+@query("disc_spots")
+def disc_spots(spark, d):
+    sites, _, summary = _analysed(spark, d)
+    return discovery.named_spots(sites, summary, 120, 60, True, LOOSE).select("camera", "id", "status", "n_stays", "occupancy_rate")
+
+
+@query("disc_log")
+def disc_log(spark, d):
+    sites, presence, summary = _analysed(spark, d)
+    return discovery.occupancy_log(presence, discovery.named_spots(sites, summary, 120, 60, True, LOOSE))
+
+
+@query("det_average_precision")
+def det_average_precision(spark, d):
+    """Average precision of one flag's boxes as detections of another's, over all frames."""
+    b = flat(spark, d)
+    kind = F.when(F.col("flag") == "R", "truth").when(F.col("flag") == "A", "det").otherwise("ignore")
+    hits = ba.greedy_matches(b.withColumn("kind", kind), 0.3).join(b.select("frame", "n", "score"), ["frame", "n"]).withColumn("every", F.lit("all"))
+    n_gt = b.where("flag = 'R'").count()
+    return metrics.average_precision(hits, n_gt, [F.desc("score"), F.asc("frame"), F.asc("n")], ["every"]).select(F.round("ap", 6).alias("ap"), F.lit(n_gt).alias("n_gt"))

@@ -116,6 +116,21 @@ def feat_extract(spark, d):
     return f.select("vec_id", *[F.size(b).alias(f"n_{b}") for b in images.BLOCKS], *[F.round(F.aggregate(b, F.lit(0.0), lambda a, x: a + x), 3).alias(f"sum_{b}") for b in images.BLOCKS])
 
 
+def _block(name):
+    def run(spark, d):
+        """One block of features: its width, sum and largest value."""
+        f = images.feature_frame(patches(spark, d), images.FeatureConfig(blocks=(name,)))
+        total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+        return f.select("vec_id", F.size(name).alias("width"), F.round(total, 3).alias("total"), F.round(F.array_max(name), 4).alias("most"))
+
+    run.__name__ = f"feat_{name}"
+    return run
+
+
+for _name in images.BLOCKS:
+    query(f"feat_{_name}")(_block(_name))
+
+
 @query("prj_block_slices")
 def prj_block_slices(spark, d):
     return spark.createDataFrame([(b, s.start, s.stop) for b, s in images.FeatureConfig().slices().items()], "block string, first int, after int")
