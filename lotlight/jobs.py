@@ -20,7 +20,7 @@ def train(spark: SparkSession, o: argparse.Namespace) -> None:
     """Rank occupancy models on a folder of labelled patches; write the leaderboard and the winner's test scores."""
     labels = annotations.read_patch_folder(spark, o.patches, o.group_level)
     labels = learning.subsample(labels, "path", "label", o.max_per_class)
-    pixels = annotations.read_images(spark, f"{o.patches}/**")
+    pixels = annotations.read_images(spark, o.patches)
     bare = lambda c: F.regexp_replace(c, "^file:/*", "/")
     df = pixels.withColumn("path", bare("path")).join(labels.withColumn("path", bare("path")), "path").withColumnRenamed("path", "key")
     f = sinks.cached_features(df, f"{o.out}/features")

@@ -123,7 +123,7 @@ def sampled(frames: DataFrame, fps: float, every_seconds: float, number: str = "
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, pixels (RGB), height, width; an undecodable image is an error."""
-    img = spark.read.format("image").load(path).select("image.*")
+    img = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
     checked = F.when(F.col("mode") < 0, F.raise_error(F.concat(F.lit("can't decode "), F.col("origin")))).otherwise(F.col("data"))
     raw = img.select(F.col("origin").alias("path"), checked.alias("bgr"), "height", "width", "nChannels")
 

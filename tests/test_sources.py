@@ -94,3 +94,34 @@ def test_sinks(spark, tmp_path):
     one = sinks.cached_features(patches, f"{tmp_path}/cache", small)
     assert one.columns == ["key", "height", "width", "rgb"] and sinks.cached_features(patches, f"{tmp_path}/cache", small).count() == 1
     assert len(list((tmp_path / "cache").iterdir())) == 1
+
+
+def png(rgb):
+    """A PNG of an array, uncompressed filters."""
+    import struct
+    import zlib
+
+    h, w, _ = rgb.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + rgb[y].tobytes() for y in range(h))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def test_images_are_rgb_and_train(spark, tmp_path):
+    import numpy as np
+
+    from lotlight import jobs
+
+    one = np.zeros((2, 3, 3), np.uint8) + np.array([10, 20, 30], np.uint8)
+    put(tmp_path / "one" / "a.png", png(one))
+    r = src.read_images(spark, str(tmp_path / "one")).first()
+    assert (r.height, r.width) == (2, 3) and bytes(r.pixels) == one.tobytes()
+    rng = np.random.default_rng(0)
+    for k in range(48):
+        car = k % 2
+        img = rng.integers(0, 60, (32, 32, 3)) + np.array([140, 20, 20] if car else [90, 90, 90])
+        put(tmp_path / "patches" / f"cam{k % 4}" / ("busy" if car else "free") / f"{k}.png", png(img.astype(np.uint8)))
+    jobs.main(["train", "--patches", str(tmp_path / "patches"), "--out", str(tmp_path / "out"), "--features", "rgb", "--models", "logreg", "--cv", "2", "--ensemble", "1"])
+    s = spark.read.json(str(tmp_path / "out" / "summary")).first()
+    assert s.winner == "rgb | logreg" and s.f1 == 1.0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out" / "leaderboard")).count() == 1
