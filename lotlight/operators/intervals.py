@@ -32,7 +32,7 @@ def live_status(requests: DataFrame, log: DataFrame) -> DataFrame:
     seen = log.select("spot_id", F.col("ts").alias("seen_at"), F.col("occupied").alias("now"), F.to_date("ts").alias("day"))
     days = at.withColumn("day", F.explode(F.array(F.to_date("start"), F.date_sub(F.to_date("start"), 1))))
     last = days.join(seen, "day").where(F.col("seen_at") <= F.col("start")).groupBy("request", "spot_id").agg(F.max_by("now", "seen_at").alias("now"))
-    return at.select("request").crossJoin(F.broadcast(spots)).join(last, ["request", "spot_id"], "left").select("request", "spot_id", F.coalesce("now", F.lit(0)).alias("occupied"))
+    return at.select("request").crossJoin(spots).join(last, ["request", "spot_id"], "left").select("request", "spot_id", F.coalesce("now", F.lit(0)).alias("occupied"))
 
 
 def stayed_free(bookings: DataFrame, truth: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def flt_dropna(spark, d):
 
 @query("jn_truth_lookup", f"WITH {LOG}, {_FRAMES}, ff AS (SELECT f.ts, s.spot_id FROM fr f CROSS JOIN (SELECT DISTINCT spot_id FROM obs) s) SELECT ff.ts, ff.spot_id, coalesce(o.occupied, -1) AS truth FROM ff LEFT JOIN obs o ON o.ts = ff.ts AND o.spot_id = ff.spot_id")
 def jn_truth_lookup(spark, d):
-    every = frames(spark, d).crossJoin(F.broadcast(log(spark, d).select("spot_id").distinct()))
+    every = frames(spark, d).crossJoin(log(spark, d).select("spot_id").distinct())
     return every.join(log(spark, d).select("ts", "spot_id", "occupied"), ["ts", "spot_id"], "left").select("ts", "spot_id", F.coalesce("occupied", F.lit(-1)).alias("truth"))
 
 

@@ -32,7 +32,7 @@ def write_crops(frames: DataFrame, spots: DataFrame, path: str, size: int = 64)
     """
     label = F.coalesce(F.element_at(F.create_map(F.lit(0), F.lit("empty"), F.lit(1), F.lit("occupied")), F.try_element_at("labels", F.col("id"))), F.lit("unlabeled"))
     corners = F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"])))
-    pairs = frames.crossJoin(F.broadcast(spots.select("id", corners.alias("corners")))).withColumn("label", label)
+    pairs = frames.crossJoin(spots.select("id", corners.alias("corners"))).withColumn("label", label)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
