@@ -11,7 +11,7 @@ The regression is fitted on at most `max_labels` labelled documents, those whose
 ids hash lowest; everything else covers all documents.
 
 Defined results: a null text counts as empty; null hosts or paths are values like
-others; labels that are null are not used; without labels of both classes every
+others; labels that are null are not used, of several for one document the highest counts; without labels of both classes every
 document's evidence is the share of the class there is, or a half; equal rows get
 equal results; an empty table gives an empty result; other columns are ignored.
 """
@@ -89,7 +89,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, p: ClassifierParams = ClassifierP
 
 def fit(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierParams()) -> list[float]:
     """Weights of FEATURES for `quality` 1, from a bounded sample of labelled documents."""
-    sample = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    sample = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labels)  # bounded: the sample is a parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
 
