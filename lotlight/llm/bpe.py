@@ -37,29 +37,39 @@ AGREE = 4
 
 
 class Words(dict):
-    """Ids by word; words longer than `longest` aren't kept, and the table starts anew at `most`."""
+    """Ids by word. At `most` words the table starts anew, and those still asked for are taken over from the one before."""
 
-    longest, most = 32, 300_000
+    longest, most = 32, 250_000
 
-    def __init__(self, encode) -> None:
+    def __init__(self, encode, encode_letters) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.encode_letters, self.before = encode, encode_letters, {}
 
     def __missing__(self, word: str) -> list[int]:
-        bare = word.rstrip(".,;:!?")
-        if word.isascii() and bare.isalpha() and (bare != word or not word.islower()):
-            # Small letters, and marks after letters, are encoded for themselves.
-            small = bare.lower()
-            ids = self[small] + (self[word[len(bare) :]] if bare != word else [])
-        else:
-            ids = self.encode(word)
+        ids = self.before.get(word)
+        if ids is None:
+            bare = word.rstrip(".,;:!?")
+            if bare.isalpha() and max(bare) < "\u0100":
+                # Latin letters are encoded as small ones, and marks after them for themselves.
+                small = bare.lower()
+                ids = self.encode_letters(word) if small == word else self[small] + (self[word[len(bare) :]] if bare != word else [])
+            else:
+                ids = self.encode(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is printable, else one from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class TreeBpe:
     def __init__(self, path: str, leaf: int = 8192, window: int = 64) -> None:
         from tokenizers import Tokenizer
@@ -70,8 +80,10 @@ class TreeBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.leaf, self.window = leaf, window
-        self.words = Words(self._word)
+        self.words = Words(self._word, self._letters)
+        self.model, self.bytes = self.tokenizer.model, byte_characters()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ids = list(range(size))  # one object for each id, however often a table holds it
         self.pieces = [self.tokenizer.id_to_token(k) or "" for k in range(size)] if self.tokenizer.decoder is None else None
 
     # A stretch without blanks.
@@ -83,9 +95,15 @@ class TreeBpe:
 
     def _word(self, word: str) -> list[int]:
         if len(word) <= self.leaf:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+            return [self.ids[k] for k in self.tokenizer.encode(word, add_special_tokens=False).ids]
         return self._stretch(word, 0, len(word))[0]
 
+    def _letters(self, word: str) -> list[int]:
+        """A word of small Latin letters goes to the model as it is; no step before it would change or cut it."""
+        if len(word) > self.leaf:
+            return self._stretch(word, 0, len(word))[0]
+        return [self.ids[t.id] for t in self.model.tokenize("".join([self.bytes[b] for b in word.encode()]))]
+
     def _stretch(self, text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
         if hi - lo <= self.leaf:
             return self._spelled(text, lo, hi)

@@ -8,7 +8,7 @@ from lotlight.llm.bpe import TreeBpe, decode_ids, encode_texts, with_digests
 from lotlight.llm.tokenizer_files import word_bpe_file
 
 FULL, SMALL, USUAL = Tokenizer.from_file(word_bpe_file()), TreeBpe(word_bpe_file(), leaf=24, window=4), TreeBpe(word_bpe_file())
-PARTS = ["the", "ing", "é", "é", "́", " ", "  ", "\n", "!!", "'s", "don't", "中文", "ﬁ", "İ", "1", "22", "\x0b", "\xa0", "　", "<|endoftext|>", "<|startof", "text|>", "a", "th", "er", "Z", "😀", "가", "-", "_", "\x1c", "ß", "."]
+PARTS = ["the", "ing", "é", "é", "́", " ", "  ", "\n", "!!", "'s", "don't", "中文", "ﬁ", "İ", "1", "22", "\x0b", "\xa0", "　", "<|endoftext|>", "<|startof", "text|>", "a", "th", "er", "Z", "😀", "가", "-", "_", "\x1c", "ß", ".", "É", "ñó", "µ", "ª", "ÿ", "Ī", "q."]
 
 
 @given(st.lists(st.sampled_from(PARTS), max_size=120).map("".join))
