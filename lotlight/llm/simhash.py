@@ -183,7 +183,9 @@ def near_duplicates(docs: DataFrame, p: SimHashParams = SimHashParams()) -> Data
     """doc_id, print, component_id for each row of `docs`."""
     prints = durable(fingerprints(docs, p))
     first = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    labels = connected_components(print_links(durable(first.select("print")), p))
+    # A fixed number of partitions: each print becomes many rows, so a few small partitions would not do.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels = connected_components(print_links(durable(first.select("print").repartition(n, "print")), p))
     roots = durable(first.join(labels.select(F.col("node").alias("print"), "root"), "print", "left").select("print", "first", F.coalesce("root", "print").alias("root")))
     component = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = roots.join(component, "root").select("print", "component_id")
