@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table, or some columns of it. One that is read in fewer parts than there are cores, as a small file of one row group is, is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(columns or ("*",)))
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def durable(df: DataFrame) -> DataFrame:
