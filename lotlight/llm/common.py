@@ -12,10 +12,13 @@ WS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table, or some columns of it. One that is read in fewer parts than there are cores, as a small file of one row group is, is dealt to all of them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(columns or ("*",)))
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """A table, or some columns of it. One with fewer bytes a core than the least part a scan is cut into
+    (`spark.sql.files.openCostInBytes`), as a small file of one row group has, is dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
+    small = int(plan.stats().sizeInBytes().toString()) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    df = df.select(*(columns or ("*",)))
+    return df.repartition(cores) if small else df
 
 
 def durable(df: DataFrame) -> DataFrame:
