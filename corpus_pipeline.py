@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lotlight.llm.common import replace_columns, table
 from lotlight.llm.line_dedup import line_dedup
+from lotlight.llm.near_texts import near_texts
 from lotlight.llm.packing import pack
 from lotlight.llm.pii import mask_pii
 from lotlight.llm.quality_rules import quality_rules
-from lotlight.llm.simhash import near_duplicates
 from lotlight.llm.tokenizer_files import byte_bpe_files
 
 
@@ -30,8 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group that has the least id; rows without an id stay, as nothing tells them apart."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    keep = near_texts(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -7,7 +7,7 @@ from lotlight.llm.queries import ORACLES, QUERIES
 from .conftest import prose
 from .test_line_dedup import brute as line_brute
 from .test_pii import base
-from .test_simhash import groups, plain
+from .test_near_texts import brute as near_brute, edited
 
 from lotlight.llm.line_dedup import LineDedupParams
 from lotlight.llm.packing import ByteBpe, pieces
@@ -19,6 +19,7 @@ from lotlight.llm.tokenizer_files import byte_bpe_files
 def test_whole_pipeline(spark, tmp_path):
     foot = "Licensed to all who read this line."
     rows = [(k, prose(k, 90) + f"\n{foot}\nwrite to me.{k}@mail.example or call +1 (724) 555-70{k % 90 + 10}", "en", f"s{k % 12}", 1) for k in range(40)]
+    rows += [(300 + k, edited(rows[k][1], 1), "en", "s4", 1) for k in range(6)]
     rows += [(100 + k, rows[k][1], "en", "s1", 1) for k in range(5)] + [(200, prose(9, 200).upper(), "en", "s2", 1), (201, "too short", "en", "s3", 1), (202, None, "en", "s3", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -26,10 +27,8 @@ def test_whole_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept} == {r[0] for r in rows} - {200, 201, 202}
     lines = {d: t for d, _, _, t in line_brute([r.asDict() for r in kept], LineDedupParams())}
     assert not any(foot in t for t in lines.values())
-    of, least = groups({plain(t) for t in lines.values()}), {}
-    for d, t in lines.items():
-        least[of[plain(t)]] = min(d, least.get(of[plain(t)], d))
-    masks = {d: masked(t, find_spans(t)) for d, t in lines.items() if least[of[plain(t)]] == d}
+    first = near_brute(lines)
+    masks = {d: masked(t, find_spans(t)) for d, t in lines.items() if first[d] == d}
     assert len(masks) == 40 and not any(base(t) for t in masks.values())
     bpe, want = ByteBpe(*byte_bpe_files()), []
     for d, t in masks.items():
