@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     (`spark.sql.files.openCostInBytes`), as a small file of one row group has, is dealt to all cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores, plan = spark.sparkContext.defaultParallelism, df._jdf.queryExecution().optimizedPlan()
-    small = int(plan.stats().sizeInBytes().toString()) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    small = int(str(plan.stats().sizeInBytes())) < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
     df = df.select(*(columns or ("*",)))
     return df.repartition(cores) if small else df
 
