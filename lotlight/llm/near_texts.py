@@ -7,11 +7,14 @@ SimHash grid, and buckets of equal MinHash bands, which miss a pair at the limit
 with a chance of 0.738 ** 28 = 0.0002. Every candidate is verified on the whole
 texts, hence no link rests on a fingerprint alone.
 
-In a bucket each text is compared with one host, never all with all: first with
-the one of least id, then, in buckets that still hold more than one component,
-each text outside its host's component with a host drawn by hash for that bucket
-and round. Equal shingle sets are one text. To verify, a text goes to its host,
-whose copies are dealt to `ways` tasks where many want it.
+A bucket is settled when any two of its texts are of one component or have been
+compared. Buckets of the same texts are one. In the first rounds each text of an
+open bucket outside its host's component is compared with the host, the text of
+least id, then one of the component of greatest root; a host that all have met
+leaves the bucket. What is open after that, or after a round without a link, is
+compared exactly: all texts outside a bucket's largest component with all texts
+of the bucket, in blocks. Equal shingle sets are one text. To verify, a text goes
+to its host, whose copies are dealt to `ways` tasks where many want it.
 
 Defined results: words and case as in `simhash`; a text of fewer words than a
 shingle is one shingle, and texts without words (null too) are all alike; rows
@@ -44,8 +47,10 @@ class NearTextParams:
     rows: int = 6
     seed: int = 42
     ways: int = 16
-    #: Hosts a bucket's texts are compared with, one after the other.
+    #: Hosts a bucket's texts are compared with, one after the other, before all that is open is compared in blocks.
     rounds: int = 4
+    #: Texts of a bucket that are held at once while others are compared with them.
+    block: int = 256
 
 
 def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -115,6 +120,74 @@ def _verified(texts: DataFrame, pairs: DataFrame, p: NearTextParams) -> DataFram
     return rows.repartition("b", "way").sortWithinPartitions("b", "way", "guest").mapInArrow(run, "a long, b long")
 
 
+def _counter(sets: list[np.ndarray]):
+    """A function from a set to the sizes of what it shares with each of `sets`."""
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    owners = owners[order]
+    known, starts, counts = np.unique(values[order], return_index=True, return_counts=True)
+
+    def count(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        at = at[known[at] == x]
+        n = counts[at]
+        rows = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owners[rows], minlength=len(sets))
+
+    return count
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch], p: NearTextParams) -> Iterator[pa.RecordBatch]:
+    """Batches of key, block, way, guest, id, root, text, sorted by the first four. Links of a block that its earlier links imply are left out."""
+    group, count = None, None
+    ids, roots, sets, parent = [], [], [], {}
+
+    def find(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        out = []
+        columns = [batch.column(k).to_pylist() for k in range(6)]
+        for key, block, way, guest, i, root, text in zip(*columns, batch.column(6)):
+            if group != (key, block, way):
+                group, count = (key, block, way), None
+                ids, roots, sets, parent = [], [], [], {}
+            found = shingle_set(text.as_py() or b"", p.shingle, p.seed)
+            if not guest:
+                ids.append(i), roots.append(root), sets.append(found)
+                continue
+            if not sets:
+                continue
+            if count is None:
+                count, sizes = _counter(sets), np.array([len(x) for x in sets])
+            both = count(found)
+            for k in np.flatnonzero(both / (len(found) + sizes - both) >= p.similarity).tolist():
+                low, high = sorted((find(root), find(roots[k])))
+                if low != high:
+                    parent[high] = low
+                    out.append((i, ids[k]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _settled(texts: DataFrame, held: DataFrame, p: NearTextParams) -> DataFrame:
+    """Links a, b between like texts of different components for all buckets of `held` (key, id, root): hosts, outside the
+    largest component, with all. Both sides of a large bucket are dealt to tasks, by hash."""
+    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    parts = lambda n: F.ceil(n / p.block).cast("int")
+    sizes = sizes.select("key", "main", parts(F.col("n") - F.col("most")).alias("blocks"), parts(F.col("n")).alias("ways"))
+    rows = durable(spread_join(held, sizes, ["key"], F.col("id"), how="inner"))
+    own = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hosts = rows.where("root != main").select("key", own(1, "blocks").alias("block"), each("ways").alias("way"), F.lit(False).alias("guest"), "id", "root")
+    guests = rows.select("key", each("blocks").alias("block"), own(2, "ways").alias("way"), F.lit(True).alias("guest"), "id", "root")
+    wanted = texts.withColumnRenamed("doc_id", "id").join(hosts.unionByName(guests), "id")
+    order = ["key", "block", "way", "guest"]
+    dealt = wanted.select(*order, "id", "root", F.col("text").cast("binary").alias("text")).repartition(*order[:3]).sortWithinPartitions(*order)
+    return dealt.mapInArrow(lambda it: _links_of_blocks(it, p), "a long, b long")
+
+
 def near_texts(docs: DataFrame, p: NearTextParams = NearTextParams(), simhash: SimHashParams = SimHashParams()) -> DataFrame:
     """doc_id, component_id for each distinct id of `docs`; the least id of those reachable by links between like texts.
 
@@ -132,25 +205,41 @@ def near_texts(docs: DataFrame, p: NearTextParams = NearTextParams(), simhash: S
     near = durable(same.unionByName(grid).where("a != b").distinct())
 
     keys = bodies.select(F.explode("bands").alias("key"), "id")
-    shared = keys.groupBy("key").count().where("count > 1").select("key")
-    keys = durable(keys.join(shared, "key"))  # of texts that share a bucket
+    print_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), *print_of).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+    keys = durable(keys.join(shared, "key"))  # of texts that share a bucket; of buckets of the same texts one
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     chosen = keys.select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct().withColumnRenamed("id", "doc_id")
     texts = durable(texts.join(chosen, "doc_id", "left_semi"))
 
-    roots, links = bodies.select("id", F.col("id").alias("root")), None
+    own = bodies.select("id", F.col("id").alias("root"))
+    links, roots, left = None, own, keys
+
+    def joined(found: DataFrame) -> None:
+        nonlocal links, roots
+        links = durable(found if links is None else found.unionByName(links))
+        labels = durable(connected_components(links))
+        roots = own.select("id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+    if not near.isEmpty():
+        joined(_verified(texts, near, p))
     for k in range(p.rounds):
-        held = keys.join(roots, "id")
-        order = F.xxhash64("key", F.lit(k), "id") if k else F.col("id")
+        held = left.join(roots, "id")
+        order = F.struct(F.bitwise_not("root"), "id") if k else F.col("id")
         hosts = held.groupBy("key").agg(F.min_by(F.struct("id", "root"), order).alias("host"), F.min("root").alias("low"), F.max("root").alias("high"))
         hosts = hosts.where("low != high").select("key", F.col("host.id").alias("b"), F.col("host.root").alias("b_root"))
-        met = spread_join(held, hosts, ["key"], F.col("id"), how="inner").where("root != b_root").select(F.col("id").alias("a"), "b")
-        pairs = durable((met if k else met.unionByName(near)).distinct())
+        met = durable(spread_join(held, hosts, ["key"], F.col("id"), how="inner").where("id != b"))
+        left = met.select("key", "id")  # all others meet the host in this round
+        pairs = durable(met.where("root != b_root").select(F.col("id").alias("a"), "b").distinct())
         if pairs.isEmpty():
             break
-        found = _verified(texts, pairs, p)
-        links = durable(found if links is None else found.unionByName(links))
-        labels = connected_components(links)
-        roots = durable(bodies.select("id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+        found = durable(_verified(texts, pairs, p))
+        if found.isEmpty():
+            break
+        joined(found)
+    held = durable(left.join(roots, "id"))
+    found = durable(_settled(texts, held, p))
+    if not found.isEmpty():
+        joined(found)
     components = bodies.select("body", "id").join(roots, "id").select("body", F.col("root").alias("component_id"))
     return one.join(components, "body").select("doc_id", "component_id")

@@ -1,6 +1,8 @@
 import random
 
-from lotlight.llm.near_texts import near_texts, shingle_set
+import numpy as np
+
+from lotlight.llm.near_texts import NearTextParams, _counter, near_texts, shingle_set
 
 from .conftest import odd_texts, prose
 
@@ -64,3 +66,23 @@ def test_many_copies(spark):
 def test_shingles():
     assert len(shingle_set(b"a b c d e f")) == 2 and len(shingle_set(b"a b c d e")) == 1
     assert len(shingle_set(b"")) == 1
+
+
+def test_pair_in_crowded_buckets(spark):
+    """Pages of one template, too far from each other to be alike, and two with less text of their own."""
+    own = lambda k, n: " ".join(f"a{k}x{j}" for j in range(n))
+    template = " ".join(f"pagea{j}" for j in range(104))
+    texts = {k: f"{template} {own(k, 16)}" for k in range(1200)} | {k: f"{template} {own(k, 10)}" for k in (9001, 9002)}
+    some = {k: texts[k] for k in (0, 1, 2, 9001, 9002)}
+    assert brute(some) == {k: min(k, 9001) for k in some}
+    assert got(spark, list(texts.items())) == {k: min(k, 9001) for k in texts}
+    rows = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    out = near_texts(rows, NearTextParams(rounds=0, block=2)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute(some)
+
+
+def test_counter():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 80)]
+    for x in [*sets, np.array([99], np.uint64)]:
+        assert _counter(sets)(x).tolist() == [len(np.intersect1d(x, y)) for y in sets]
