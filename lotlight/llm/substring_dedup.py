@@ -3,16 +3,17 @@
 A gear rolling hash runs over a text's bytes; a chunk ends where the hash is the
 largest within `reach` bytes on either side. That is decided by the bytes around
 it alone, so an insertion moves no cut but those beside it, and chunks are
-longer than `reach`. Every two chunks in a row make a digest; a digest found in
-more than one document marks its bytes as repeated in all of them but the first.
+longer than `reach`. Every two chunks in a row make a digest, the text's first and
+last chunk, which its start and end bound, among them; a text of one chunk makes
+one. A digest found in more than one document marks its bytes as repeated in all
+of them but the first, so equal texts are repeated whole.
 
 Only digests, ids and offsets are shuffled. A digest's documents are counted with
 partial aggregation, and the join that marks them deals hot digests to many tasks.
 
-Defined results: a null text counts as empty and has no chunks; texts of fewer than
-two chunks have no digests; rows of one doc_id are one document; equal rows get
-equal results; null ids are one document; an empty table gives an empty result;
-other columns are ignored.
+Defined results: a null text counts as empty and has no chunks; rows of one doc_id
+are one document; equal rows get equal results; null ids are one document; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,11 +92,13 @@ def _gear_of(seed: int) -> np.ndarray:
 
 
 def digests(text: bytes, p: ChunkParams = ChunkParams()) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """64-bit digest, start and end of each run of whole chunks: between two cuts, without the text's first and last."""
+    """64-bit digest, start and end of each run of chunks, which the text's start and end bound too; of fewer chunks than a run, the whole text's."""
     from xxhash import xxh3_64_intdigest
 
-    at = cuts(text, p)
-    starts, ends = at[: -p.run], at[p.run :]
+    at = np.concatenate([[0], cuts(text, p), [len(text)]]) if text else np.empty(0, np.int64)
+    if 0 < len(at) <= p.run:
+        at = at[[0, -1]]
+    starts, ends = (at[:-1], at[1:]) if len(at) == 2 else (at[: -p.run], at[p.run :])
     return [xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], starts, ends
 
 

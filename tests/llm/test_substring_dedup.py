@@ -49,3 +49,16 @@ def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert {r.doc_id for r in substring_dedup(odd).collect()} == brute(rows)
     assert substring_dedup(none).count() == 0
+
+
+def test_equal_texts_are_found_whole(spark):
+    texts = ["short", "é", prose(21, 8), prose(22, 14), prose(23, 25), prose(24, 300), "x" * 500]
+    texts.append(next(t for t in (prose(s, 18) for s in range(30, 200)) if len(cuts(t.encode())) == 2))
+    assert {len(cuts(t.encode())) for t in texts} >= {0, 1, 2, 3}
+    rows = [(10 * k + n, t) for k, t in enumerate(texts) for n in (0, 1)] + [(200, "alone"), (201, ""), (202, ""), (203, None)]
+    out = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(out) == {d for d, _ in rows if d < 200}
+    for k, t in enumerate(texts):
+        first, second = out[10 * k], out[10 * k + 1]
+        assert [tuple(s) for s in second.removed] == [tuple(s) for s in first.spans] == [(0, len(t.encode()))]
+        assert first.removed == [] and first.clean_text == t and second.clean_text == ""
