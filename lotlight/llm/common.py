@@ -1,14 +1,21 @@
-"""Shared helpers: durable lineage cuts, salted joins, column hygiene."""
+"""Shared helpers: the shared folder, durable lineage cuts and their removal, joins of hot keys, column hygiene."""
 
 from __future__ import annotations
 
+import atexit
+import gc
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters \x09-\x0D and \x20.
 WS = " \t\n\x0b\x0c\r"
+#: Keys that a join may treat as hot, at most; so many rows are broadcast.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,20 +28,51 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.repartition(cores) if small else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names. Only in one process (tests) may that be unset: then it
+    lies in a temporary folder, gone when the process ends; executors on other machines would not see that, so there it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="lotlight-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, single machine) is a
-    temporary folder used.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lotlight-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession, *spent: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing reads any more, and have the driver collect its garbage: the files of a
+    shuffle are deleted only when its plan has been collected, which a driver with memory to spare does far too seldom."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for df in spent:
+        path = jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def remove_folder(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that no column of `df` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fenced(df: DataFrame, flag: str) -> DataFrame:
     """`df`, with filters on the boolean `flag` held above the expressions that make it.
 
@@ -42,8 +80,8 @@ def fenced(df: DataFrame, flag: str) -> DataFrame:
     repeats their expressions in it, once for each use; a column that isn't
     deterministic keeps it from that.
     """
-    ok = F.col(flag) & (F.col("_at") >= 0)
-    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn(flag, ok).drop("_at")
+    at = unused(df, "_at")
+    return df.withColumn(at, F.monotonically_increasing_id()).withColumn(flag, F.col(flag) & (F.col(at) >= 0)).drop(at)
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column, ways: int = 16, how: str = "left") -> DataFrame:
@@ -58,6 +96,19 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
     return salted.join(copies, [*on, "_way"], how).drop("_way")
 
 
+def counted_join(left: DataFrame, right: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """Equi-join with `right`, which holds each key once and in a column `n` how many of the `total` rows of `left` have it.
+
+    Keys of more than a HOT_KEYS-th of all rows, fewer than HOT_KEYS by that, are
+    broadcast and their rows are not shuffled; of the rest, no key has more than
+    that in any task. `n` is dropped.
+    """
+    most = total / HOT_KEYS
+    hot, cold = right.where(F.col("n") > most).drop("n"), right.where(F.col("n") <= most).drop("n")
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def replace_columns(df: DataFrame, changed: dict[str, Column], like: DataFrame) -> DataFrame:
     """`df` with columns replaced, in the order and types of `like`."""
     types = dict(like.dtypes)

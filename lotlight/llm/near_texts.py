@@ -7,19 +7,23 @@ SimHash grid, and buckets of equal MinHash bands, which miss a pair at the limit
 with a chance of 0.738 ** 28 = 0.0002. Every candidate is verified on the whole
 texts, hence no link rests on a fingerprint alone.
 
-A bucket is settled when any two of its texts are of one component or have been
-compared. Buckets of the same texts are one. In the first rounds each text of an
-open bucket outside its host's component is compared with the host, the text of
-least id, then one of the component of greatest root; a host that all have met
-leaves the bucket. What is open after that, or after a round without a link, is
-compared exactly: all texts outside a bucket's largest component with all texts
-of the bucket, in blocks. Equal shingle sets are one text. To verify, a text goes
-to its host, whose copies are dealt to `ways` tasks where many want it.
+Equal shingle sets are one text, and buckets of the same texts one bucket. First
+each text is compared with one host: of all texts in its buckets the one that has
+most company there, the same for most of a group of near copies, and a text of
+its own for others. Buckets whose texts are then of one component are settled. In
+each of the others all texts outside its largest component are compared with all
+texts of the bucket, in blocks. So a link is lost only where two texts share
+neither a bucket nor a grid cell, and a text is shipped once for its host, then
+once for each open bucket and `block` texts outside the largest component there.
+The work of the second step is that of those texts times their buckets: in a
+group whose texts are unlike each other, but share buckets, it is quadratic.
 
 Defined results: words and case as in `simhash`; a text of fewer words than a
-shingle is one shingle, and texts without words (null too) are all alike; rows
-with a null id are left out; equal rows get equal results; an empty table gives
-an empty result; other columns are ignored.
+shingle is one shingle, and texts without words (null too) are all alike; of rows that share an
+id the text with the least MD5 is judged; rows with a null id are left out; equal
+rows get equal results; a very long text takes memory for its own shingles, in a
+block of up to `block` texts; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlight.llm.common import durable, spread_join
+from lotlight.llm.common import counted_join, durable, forget
 from lotlight.llm.components import connected_components
 from lotlight.llm.simhash import SimHashParams, fingerprint, print_links
 
@@ -46,11 +50,8 @@ class NearTextParams:
     bands: int = 28
     rows: int = 6
     seed: int = 42
-    ways: int = 16
-    #: Hosts a bucket's texts are compared with, one after the other, before all that is open is compared in blocks.
-    rounds: int = 4
-    #: Texts of a bucket that are held at once while others are compared with them.
-    block: int = 256
+    #: Texts that one task compares with a host, and texts of a bucket that are held at once while others are compared with them.
+    block: int = 512
 
 
 def shingle_set(text: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -73,15 +74,17 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketches(docs: DataFrame, p: NearTextParams) -> DataFrame:
-    """doc_id, body (of equal shingle sets equal), print, bands."""
+    """doc_id, mark (the text's MD5), body (of equal shingle sets equal), print, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
         from xxhash import xxh64_intdigest, xxh128_digest
 
         rng = np.random.Generator(np.random.PCG64(p.seed))
         times, plus = (rng.integers(0, 1 << 63, p.bands * p.rows, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
         for b in batches:
-            bodies, prints, bands = [], [], []
+            marks, bodies, prints, bands = [], [], [], []
             for x in b.column(1):
                 text = x.as_py() or b""
                 hashes = shingle_set(text, p.shingle, p.seed)
@@ -89,21 +92,24 @@ def _sketches(docs: DataFrame, p: NearTextParams) -> DataFrame:
                 for k in range(0, len(hashes), BLOCK):
                     np.minimum(least, ((hashes[k : k + BLOCK, None] * times + plus) >> np.uint64(32)).min(axis=0), out=least)
                 rows = least.astype("<u4").reshape(p.bands, p.rows)
+                marks.append(md5(text).digest())
                 bodies.append(xxh128_digest(hashes.astype("<u8").tobytes()))
                 prints.append(fingerprint(text))
                 bands.append(np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64))
-            values = [b.column(0), pa.array(bodies, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "body", "print", "bands"])
+            values = [b.column(0), pa.array(marks, pa.binary()), pa.array(bodies, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(values, ["doc_id", "mark", "body", "print", "bands"])
 
     ids = docs.where(F.col("doc_id").isNotNull())
-    return ids.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, body binary, print long, bands array<long>")
+    return ids.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, mark binary, body binary, print long, bands array<long>")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, p: NearTextParams) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts (doc_id, text; each id once) are alike. Per b and way, b's text comes first."""
-    dealt = pairs.withColumn("way", F.pmod(F.xxhash64("a"), F.lit(p.ways)).cast("int"))
-    wanted = dealt.select(F.col("a").alias("doc_id"), "b", "way").unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "way").distinct())
-    rows = texts.join(wanted, "doc_id").select("b", "way", (F.col("doc_id") != F.col("b")).alias("guest"), "doc_id", F.col("text").cast("binary").alias("text"))
+    """Those of `pairs` (a, b; each once, read several times) whose texts (doc_id, text; each id once) are alike. Each task
+    of a host b has up to about `block` of its guests, and b's text before them."""
+    hosts = pairs.groupBy("b").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / p.block).cast("int"))
+    dealt = counted_join(pairs, hosts, "b", pairs.count()).select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), "ways").cast("int").alias("way"))
+    own = hosts.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    rows = texts.join(dealt.unionByName(own), "doc_id").select("b", "way", (F.col("doc_id") != F.col("b")).alias("guest"), "doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, hashes = None, None
@@ -138,9 +144,9 @@ def _counter(sets: list[np.ndarray]):
 
 
 def _links_of_blocks(batches: Iterator[pa.RecordBatch], p: NearTextParams) -> Iterator[pa.RecordBatch]:
-    """Batches of key, block, way, guest, id, root, text, sorted by the first four. Links of a block that its earlier links imply are left out."""
+    """Batches of key, block, way, guest, root, text, sorted by the first four. Links of roots; those that a block's earlier links imply are left out."""
     group, count = None, None
-    ids, roots, sets, parent = [], [], [], {}
+    roots, sets, parent = [], [], {}
 
     def find(x: int) -> int:
         while x in parent:
@@ -149,14 +155,14 @@ def _links_of_blocks(batches: Iterator[pa.RecordBatch], p: NearTextParams) -> It
 
     for batch in batches:
         out = []
-        columns = [batch.column(k).to_pylist() for k in range(6)]
-        for key, block, way, guest, i, root, text in zip(*columns, batch.column(6)):
+        columns = [batch.column(k).to_pylist() for k in range(5)]
+        for key, block, way, guest, root, text in zip(*columns, batch.column(5)):
             if group != (key, block, way):
                 group, count = (key, block, way), None
-                ids, roots, sets, parent = [], [], [], {}
+                roots, sets, parent = [], [], {}
             found = shingle_set(text.as_py() or b"", p.shingle, p.seed)
             if not guest:
-                ids.append(i), roots.append(root), sets.append(found)
+                roots.append(root), sets.append(found)
                 continue
             if not sets:
                 continue
@@ -167,79 +173,94 @@ def _links_of_blocks(batches: Iterator[pa.RecordBatch], p: NearTextParams) -> It
                 low, high = sorted((find(root), find(roots[k])))
                 if low != high:
                     parent[high] = low
-                    out.append((i, ids[k]))
+                    out.append((high, low))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _settled(texts: DataFrame, held: DataFrame, p: NearTextParams) -> DataFrame:
-    """Links a, b between like texts of different components for all buckets of `held` (key, id, root): hosts, outside the
-    largest component, with all. Both sides of a large bucket are dealt to tasks, by hash."""
-    sizes = held.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    """Links a, b between roots of like texts for all buckets of `held` (key, id, root): hosts, outside the largest component,
+    with all. Both sides of a large bucket are dealt to tasks, by hash."""
+    counts = held.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     parts = lambda n: F.ceil(n / p.block).cast("int")
-    sizes = sizes.select("key", "main", parts(F.col("n") - F.col("most")).alias("blocks"), parts(F.col("n")).alias("ways"))
-    rows = durable(spread_join(held, sizes, ["key"], F.col("id"), how="inner"))
+    sizes = durable(sizes.select("key", "main", parts(F.col("n") - F.col("most")).alias("blocks"), parts(F.col("n")).alias("ways"), "n"))
+    rows = durable(counted_join(held, sizes, "key", sizes.agg(F.sum("n")).first()[0] or 0))
     own = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hosts = rows.where("root != main").select("key", own(1, "blocks").alias("block"), each("ways").alias("way"), F.lit(False).alias("guest"), "id", "root")
     guests = rows.select("key", each("blocks").alias("block"), own(2, "ways").alias("way"), F.lit(True).alias("guest"), "id", "root")
     wanted = texts.withColumnRenamed("doc_id", "id").join(hosts.unionByName(guests), "id")
     order = ["key", "block", "way", "guest"]
-    dealt = wanted.select(*order, "id", "root", F.col("text").cast("binary").alias("text")).repartition(*order[:3]).sortWithinPartitions(*order)
-    return dealt.mapInArrow(lambda it: _links_of_blocks(it, p), "a long, b long")
-
+    dealt = wanted.select(*order, "root", F.col("text").cast("binary").alias("text")).repartition(*order[:3]).sortWithinPartitions(*order)
+    links = durable(dealt.mapInArrow(lambda it: _links_of_blocks(it, p), "a long, b long"))
+    forget(held.sparkSession, sizes, rows)
+    return links
 
-def near_texts(docs: DataFrame, p: NearTextParams = NearTextParams(), simhash: SimHashParams = SimHashParams()) -> DataFrame:
-    """doc_id, component_id for each distinct id of `docs`; the least id of those reachable by links between like texts.
 
-    Of rows that share an id the one with the least digest is judged.
-    """
+def _judged(docs: DataFrame, p: NearTextParams) -> tuple[DataFrame, DataFrame]:
+    """Sketches and texts (doc_id, text) of one row for each id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     sketches = durable(_sketches(docs, p))
-    one = sketches.groupBy("doc_id").agg(F.min("body").alias("body"))
-    bodies = durable(sketches.groupBy("body").agg(F.min("doc_id").alias("id"), F.min("print").alias("print"), F.min("bands").alias("bands")))
-    prints = durable(bodies.groupBy("print").agg(F.min("id").alias("b")))
-    same = bodies.select("print", F.col("id").alias("a")).join(prints, "print").select("a", "b")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = print_links(durable(prints.select("print").repartition(n, "print")), simhash)
-    first = lambda side: prints.select(F.col("print").alias(side), F.col("b").alias(f"{side}_id"))
-    grid = grid.join(first("a"), "a").join(first("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
-    near = durable(same.unionByName(grid).where("a != b").distinct())
-
+    again = durable(sketches.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("mark").alias("least")).where("n > 1"))
+    total = again.agg(F.sum("n")).first()[0]
+    if not total:
+        return sketches, texts
+    kept = lambda df, mark: counted_join(df, again, "doc_id", total).where(mark == F.col("least")).drop("least").groupBy("doc_id").agg(*[F.min(c).alias(c) for c in df.columns if c != "doc_id"])
+    both = lambda df, mark: df.join(again, "doc_id", "left_anti").unionByName(kept(df, mark).select(df.columns))
+    one = durable(both(sketches, F.col("mark")))
+    forget(docs.sparkSession, sketches)
+    return one, both(texts, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def _buckets(bodies: DataFrame) -> DataFrame:
+    """key, id, n for the texts of each MinHash bucket of n > 1; of buckets of the same texts one."""
     keys = bodies.select(F.explode("bands").alias("key"), "id")
     print_of = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"h{k}") for k in (0, 1)]
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), *print_of).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
-    keys = durable(keys.join(shared, "key"))  # of texts that share a bucket; of buckets of the same texts one
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    chosen = keys.select("id").unionByName(near.select(F.explode(F.array("a", "b")).alias("id"))).distinct().withColumnRenamed("id", "doc_id")
-    texts = durable(texts.join(chosen, "doc_id", "left_semi"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), *print_of).where("n > 1").groupBy("n", "h0", "h1").agg(F.min("key").alias("key"))
+    shared = durable(shared.select("key", "n", F.col("n").alias("size")))
+    return durable(counted_join(keys, shared, "key", shared.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("size", "n"))
 
-    own = bodies.select("id", F.col("id").alias("root"))
-    links, roots, left = None, own, keys
-
-    def joined(found: DataFrame) -> None:
-        nonlocal links, roots
-        links = durable(found if links is None else found.unionByName(links))
-        labels = durable(connected_components(links))
-        roots = own.select("id").join(labels.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-
-    if not near.isEmpty():
-        joined(_verified(texts, near, p))
-    for k in range(p.rounds):
-        held = left.join(roots, "id")
-        order = F.struct(F.bitwise_not("root"), "id") if k else F.col("id")
-        hosts = held.groupBy("key").agg(F.min_by(F.struct("id", "root"), order).alias("host"), F.min("root").alias("low"), F.max("root").alias("high"))
-        hosts = hosts.where("low != high").select("key", F.col("host.id").alias("b"), F.col("host.root").alias("b_root"))
-        met = durable(spread_join(held, hosts, ["key"], F.col("id"), how="inner").where("id != b"))
-        left = met.select("key", "id")  # all others meet the host in this round
-        pairs = durable(met.where("root != b_root").select(F.col("id").alias("a"), "b").distinct())
-        if pairs.isEmpty():
-            break
-        found = durable(_verified(texts, pairs, p))
-        if found.isEmpty():
-            break
-        joined(found)
-    held = durable(left.join(roots, "id"))
-    found = durable(_settled(texts, held, p))
-    if not found.isEmpty():
-        joined(found)
-    components = bodies.select("body", "id").join(roots, "id").select("body", F.col("root").alias("component_id"))
-    return one.join(components, "body").select("doc_id", "component_id")
+
+def _first_hosts(keys: DataFrame) -> DataFrame:
+    """a, b: of all texts in the buckets of a the one with most company over its own buckets, if that isn't a."""
+    company = keys.withColumn("company", F.sum("n").over(Window.partitionBy("id")))  # a text has `bands` buckets at most
+    hosts = company.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("id").alias("id"))).alias("host"), F.max("n").alias("n"))
+    best = counted_join(keys.select("key", "id"), hosts, "key", keys.count()).groupBy("id").agg(F.max("host").alias("host"))
+    return best.select(F.col("id").alias("a"), F.bitwise_not("host.id").alias("b"))
+
+
+def _grid_pairs(bodies: DataFrame, simhash: SimHashParams) -> DataFrame:
+    """a, b: texts with one fingerprint, and texts with fingerprints that the SimHash grid links."""
+    n = int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = durable(bodies.groupBy("print").agg(F.min("id").alias("b"), F.count("*").alias("n")).repartition(n, "print"))
+    same = counted_join(bodies.select("print", F.col("id").alias("a")), prints, "print", bodies.count()).select("a", "b")
+    first = lambda side: prints.select(F.col("print").alias(side), F.col("b").alias(f"{side}_id"))
+    grid = print_links(prints.select("print"), simhash).distinct().join(first("a"), "a").join(first("b"), "b")
+    return same.unionByName(grid.select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b")))
+
+
+def near_texts(docs: DataFrame, p: NearTextParams = NearTextParams(), simhash: SimHashParams = SimHashParams()) -> DataFrame:
+    """doc_id, component_id for each distinct id of `docs`; the least id of those reachable by links between like texts."""
+    spark = docs.sparkSession
+    sketches, texts = _judged(docs, p)
+    bodies = durable(sketches.groupBy("body").agg(F.min("doc_id").alias("id"), F.min("print").alias("print"), F.min("bands").alias("bands"), F.count("*").alias("n")))
+    keys = _buckets(bodies)
+    pairs = durable(_grid_pairs(bodies, simhash).unionByName(_first_hosts(keys)).where("a != b").distinct())
+    chosen = keys.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct().withColumnRenamed("id", "doc_id")
+    texts = durable(texts.join(chosen, "doc_id", "left_semi"))
+    forget(spark)
+
+    found = durable(_verified(texts, pairs, p))
+    labels = connected_components(found).select(F.col("node").alias("id"), "root")
+    roots = durable(bodies.select("id", "body", "n").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    forget(spark, pairs, found)
+
+    held = durable(keys.select("key", "id").join(roots.select("id", "root"), "id"))
+    forget(spark, keys)
+    links = _settled(texts, held, p)
+    forget(spark, held, texts)
+    labels = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).join(labels, "root", "left").select("root", "n", F.coalesce("least", "root").alias("component_id"))
+    components = counted_join(roots.select("body", "root", F.col("n").alias("rows")), sizes, "root", bodies.count())
+    components = components.select("body", "component_id", F.col("rows").alias("n"))
+    return counted_join(sketches.select("doc_id", "body"), components, "body", sketches.count()).select("doc_id", "component_id")

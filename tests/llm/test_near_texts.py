@@ -77,7 +77,7 @@ def test_pair_in_crowded_buckets(spark):
     assert brute(some) == {k: min(k, 9001) for k in some}
     assert got(spark, list(texts.items())) == {k: min(k, 9001) for k in texts}
     rows = spark.createDataFrame(list(some.items()), "doc_id long, text string")
-    out = near_texts(rows, NearTextParams(rounds=0, block=2)).collect()
+    out = near_texts(rows, NearTextParams(block=2)).collect()
     assert {r.doc_id: r.component_id for r in out} == brute(some)
 
 
@@ -86,3 +86,12 @@ def test_counter():
     sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 40, 80)]
     for x in [*sets, np.array([99], np.uint64)]:
         assert _counter(sets)(x).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+
+
+def test_ids_that_repeat(spark):
+    """Of rows that share an id the text with the least MD5 is judged."""
+    from hashlib import md5
+
+    one, other = sorted((prose(1, 100), prose(2, 100)), key=lambda t: md5(t.encode()).hexdigest())
+    rows = [(7, one), (7, other), (7, other), (8, one), (9, other), (10, other)]
+    assert got(spark, rows) == {7: 7, 8: 7, 9: 9, 10: 9}
