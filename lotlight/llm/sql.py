@@ -18,21 +18,26 @@ WITH split AS (
   SELECT *, trim(raw, {_WS}) AS line FROM lines
 ), spread AS (
   SELECT line FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {_L.min_sites}
-), marked AS (
-  SELECT b.doc_id, b.pos, b.raw, b.line, s.line IS NOT NULL AS gone FROM bare b LEFT JOIN spread s ON b.line = s.line
+), full_lines AS (
+  SELECT b.doc_id, b.pos, s.line IS NOT NULL AS hit, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.pos) AS place
+  FROM bare b LEFT JOIN spread s ON b.line = s.line WHERE b.line <> ''
+), islands AS (
+  SELECT doc_id, pos, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM full_lines WHERE hit
+), short_runs AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, run) AS n FROM islands
+), counts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit FROM full_lines GROUP BY doc_id
+), gone AS (
+  SELECT r.doc_id, r.pos FROM short_runs r JOIN counts c ON c.doc_id = r.doc_id WHERE r.n < {_L.mirror_run} AND c.n_hit < c.n_lines
 ), per_doc AS (
-  SELECT doc_id, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_gone,
-         coalesce(sum(length(raw)) FILTER (gone), 0) AS lost, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS rest
-  FROM marked GROUP BY doc_id
-), cut AS (
-  SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines,
-         coalesce(p.n_gone, 0) > 0 AND p.lost <= {_L.mirror_share} * length(d.text) AS cut, p.n_gone, p.rest, d.text
-  FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id
+  SELECT b.doc_id, count(g.pos) AS n_gone, string_agg(raw, chr(10) ORDER BY b.pos) FILTER (g.pos IS NULL) AS rest
+  FROM bare b LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.pos = b.pos GROUP BY b.doc_id
+), clean AS (
+  SELECT d.doc_id, coalesce(c.n_lines, 0) AS n_lines, coalesce(p.n_gone, 0) AS n_gone, CASE WHEN p.n_gone > 0 THEN coalesce(p.rest, '') ELSE coalesce(d.text, '') END AS t
+  FROM documents d LEFT JOIN per_doc p ON d.doc_id = p.doc_id LEFT JOIN counts c ON d.doc_id = c.doc_id
 )
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN cut THEN n_gone ELSE 0 END AS BIGINT) AS n_removed,
-       CAST(coalesce(length(CASE WHEN cut THEN coalesce(rest, '') ELSE text END), 0) AS BIGINT) AS clean_chars,
-       md5(coalesce(CASE WHEN cut THEN coalesce(rest, '') ELSE text END, '')) AS clean_md5
-FROM cut
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_gone AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS clean_chars, md5(t) AS clean_md5
+FROM clean
 """
 
 _R = WarcParams()
