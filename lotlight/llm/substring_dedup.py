@@ -3,17 +3,21 @@
 A gear rolling hash runs over a text's bytes; a chunk ends where the hash is the
 largest within `reach` bytes on either side. That is decided by the bytes around
 it alone, so an insertion moves no cut but those beside it, and chunks are
-longer than `reach`. Every two chunks in a row make a digest, the text's first and
-last chunk, which its start and end bound, among them; a text of one chunk makes
-one. A digest found in more than one document marks its bytes as repeated in all
-of them but the first, so equal texts are repeated whole.
-
-Only digests, ids and offsets are shuffled. A digest's documents are counted with
-partial aggregation, and the join that marks them deals hot digests to many tasks.
-
-Defined results: a null text counts as empty and has no chunks; rows of one doc_id
-are one document; equal rows get equal results; null ids are one document; an empty
-table gives an empty result; other columns are ignored.
+longer than `reach`. Each chunk has one digest, the first and the last, which the
+text's start and end bound, too. A chunk whose digest is found in more than one
+document is repeated; repeated chunks side by side are a passage, and a passage of
+`least` bytes or more, or of a whole text, is reported. It is removed from all
+documents but that of the least id, and those of no id, so texts that share an id
+take nothing from each other.
+
+Only digests, ids and chunk numbers are shuffled to find what is repeated; texts
+are shuffled once, to meet it. A digest's documents are counted with partial
+aggregation and meet their chunks by `counted_join`.
+
+Defined results: a null text counts as empty and has no chunks; a document is an id
+with a text: equal rows are one document and get equal results, different texts of
+one id, or of none, are documents of their own; a very long text's digests are one
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotlight.llm.common import durable, spread_join
+from lotlight.llm.common import counted_join, durable
 
 BLOCK = 1 << 20
 
@@ -34,8 +38,8 @@ BLOCK = 1 << 20
 @dataclass(frozen=True)
 class ChunkParams:
     reach: int = 24
-    #: Chunks in a row that make a digest.
-    run: int = 2
+    #: Bytes of the shortest passage that is reported.
+    least: int = 100
     seed: int = 7
 
 
@@ -91,83 +95,84 @@ def _gear_of(seed: int) -> np.ndarray:
     return _GEARS[seed]
 
 
-def digests(text: bytes, p: ChunkParams = ChunkParams()) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """64-bit digest, start and end of each run of chunks, which the text's start and end bound too; of fewer chunks than a run, the whole text's."""
+def digests(text: bytes, p: ChunkParams = ChunkParams()) -> tuple[list[int], np.ndarray]:
+    """64-bit digests of the chunks, and the bounds of chunks, one more, from 0 to the text's end; none of an empty text."""
     from xxhash import xxh3_64_intdigest
 
     at = np.concatenate([[0], cuts(text, p), [len(text)]]) if text else np.empty(0, np.int64)
-    if 0 < len(at) <= p.run:
-        at = at[[0, -1]]
-    starts, ends = (at[:-1], at[1:]) if len(at) == 2 else (at[: -p.run], at[p.run :])
-    return [xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], starts, ends
+    return [xxh3_64_intdigest(text[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], at
+
+
+LEAST_ID = -(1 << 63)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: the least), own (64 bits of id and text, that tell documents apart), text in bytes."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
 
 
-def chunk_runs(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """doc_id, digest, start, length: in bytes of the text."""
+def chunk_digests(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
+    """doc_id, own, digests of every document with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, size = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                h, starts, ends = digests(text.as_py() or b"", p)
-                if h:
-                    parts.append((np.full(len(h), doc, np.int64), np.array(h, np.uint64).view(np.int64), starts.astype(np.int32), (ends - starts).astype(np.int32)))
-                    size += len(h)
-                if size > 1 << 17:
-                    yield as_batch(parts)
-                    parts, size = [], 0
-            if parts:
-                yield as_batch(parts)
+            found = [digests(text.as_py() or b"", p)[0] for text in b.column(2)]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            values = np.array([h for own in found for h in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(values))], ["doc_id", "own", "digests"])
+
+    return _keyed(docs).where(F.octet_length("text") > 0).mapInArrow(run, "doc_id long, own long, digests array<long>")
+
+
+def repeated_chunks(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
+    """doc_id, own, chunk (its number) and first_id (the least id that has it) of each chunk found in more than one document."""
+    chunks = durable(chunk_digests(docs, p)).select("doc_id", "own", F.posexplode("digests").alias("chunk", "digest"))
+    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
+    shared = durable(shared.where("low <> high").select("digest", "first_id", "n"))
+    return counted_join(chunks, shared, "digest", shared.agg(F.sum("n")).first()[0] or 0).select("doc_id", "own", "chunk", "first_id")
+
+
+def passages(chunks: list[int], bounds: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of runs of neighbouring chunks, if they have `least` bytes or are all there is."""
+    out: list[list[int]] = []
+    for k in sorted(set(chunks)):
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        if out and out[-1][1] == a:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out if b - a >= least or b - a == bounds[-1]]
 
-    def as_batch(parts: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts])) for k in range(4)], ["doc_id", "digest", "start", "length"])
 
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.select(ids.alias("doc_id"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest long, start int, length int")
+def aligned(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Moved inwards to starts of characters."""
+    inside = lambda k: k < len(text) and text[k] & 0xC0 == 0x80
+    out = []
+    for a, b in spans:
+        while inside(a):
+            a += 1
+        while inside(b):
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
 
 
-def repeated_runs(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """doc_id, start, length, first_doc of each run found in more than one document."""
-    runs = durable(chunk_runs(docs, p))
-    shared = runs.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
-    return spread_join(runs, shared, ["digest"], F.struct("doc_id", "start"), ways=8, how="inner").select("doc_id", "start", "length", "first_doc")
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(k for s in spans for k in s), len(text)]
+    return b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])
 
 
 def substring_dedup(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """doc_id, text, spans (start and end in bytes, merged, of what is repeated), removed (those found in an earlier document), clean_text.
+    """doc_id, text, spans (start and end in bytes of repeated passages), removed (what of them a smaller id has too), clean_text.
 
-    Only documents that share a passage with another have a row.
+    Only documents that share a passage with another have rows, one for each row of `docs`.
     """
-    found = repeated_runs(docs, p)
-    earlier = F.col("first_doc") < F.col("doc_id")
-    per_doc = found.groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("shared"),  # at most a document's own chunks
-        F.collect_set(F.when(earlier, F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("later"),
-    )
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(per_doc, "doc_id")
-
-    def merged(spans: list[dict]) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        for a, b in sorted((s["start"], s["end"]) for s in spans):
-            if out and a <= out[-1][1]:
-                out[-1] = out[-1][0], max(b, out[-1][1])
-            else:
-                out.append((a, b))
-        return out
-
-    def aligned(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Moved inwards to starts of characters."""
-        inside = lambda k: k < len(text) and text[k] & 0xC0 == 0x80
-        out = []
-        for a, b in spans:
-            while inside(a):
-                a += 1
-            while inside(b):
-                b -= 1
-            if a < b:
-                out.append((a, b))
-        return out
+    found = repeated_chunks(docs, p)
+    later = F.when(F.col("first_id") < F.col("doc_id"), F.col("chunk"))
+    per_doc = found.groupBy("doc_id", "own").agg(F.collect_set("chunk").alias("shared"), F.collect_set(later).alias("later"))  # at most a document's own chunks
+    joined = _keyed(docs).join(per_doc, ["doc_id", "own"]).select("doc_id", "text", "shared", "later")
 
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     names = ["doc_id", "text", "spans", "removed", "clean_text"]
@@ -176,14 +181,15 @@ def substring_dedup(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFram
         for b in batches:
             rows = []
             for doc, text, shared, later in zip(*(c.to_pylist() for c in b.columns)):
-                shared, later = aligned(text, merged(shared)), aligned(text, merged(later))
-                at, kept = 0, []
-                for x, y in later:
-                    kept.append(text[at:x])
-                    at = y
-                kept.append(text[at:])
-                as_dicts = [[{"start": x, "end": y} for x, y in s] for s in (shared, later)]
-                rows.append((None if doc == -(1 << 63) else doc, text.decode(), *as_dicts, b"".join(kept).decode()))
+                bounds = np.concatenate([[0], cuts(text, p), [len(text)]])
+                whole = passages(shared, bounds, p.least)
+                if not whole:
+                    continue
+                # What goes is the part of reported passages that a smaller id has, however short.
+                gone = [k for k in later if any(a <= bounds[k] < b for a, b in whole)]
+                both = [aligned(text, x) for x in (whole, passages(gone, bounds, 0))]
+                as_dicts = [[{"start": x, "end": y} for x, y in s] for s in both]
+                rows.append((None if doc == LEAST_ID else doc, text.decode(), *as_dicts, without(text, both[1]).decode()))
             kinds = [pa.int64(), pa.string(), spans, spans, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
