@@ -7,8 +7,13 @@ without join, shuffle or state.
 
 Defined results: a null text counts as empty (no words, ``base_failed``); a null
 or unknown language uses the reference pooled over those; repeated rows are
-judged each for itself; an empty table gives an empty result; columns beside
-`text` and `lang` are passed through or ignored, whatever they are called.
+judged each for itself; a very long text's words are one array in one task; an
+empty table gives an empty result; columns beside `text` and `lang` are passed
+through, whatever they are called, unless named like those of RESULT, or ignored.
+
+The references are by default pooled from the corpus that is judged, so a corpus
+that is bad throughout sets its own norm; references from a trusted one
+(`language_references`) can be given instead.
 """
 
 from __future__ import annotations
@@ -129,9 +134,8 @@ def _repeats(df: DataFrame, p: QualityParams) -> DataFrame:
 
 
 def features(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """`docs` with the counts of each text, and its two histograms in `_chars` and `_common`; one pass, no shuffle."""
-    df = docs.select([f"`{c}`" for c in docs.columns if c not in RESULT])
-    return _repeats(_histograms(_words(df)), p).drop("_text", "_words", "_hashes")
+    """`docs` with the counts of each text, and its two histograms in `_chars` and `_common`; one pass, no shuffle. Columns of `docs` must not begin with "_"."""
+    return _repeats(_histograms(_words(docs)), p).drop("_text", "_words", "_hashes")
 
 
 def _known(lang: Column) -> Column:
@@ -192,13 +196,16 @@ def judged(df: DataFrame, references: dict, p: QualityParams = QualityParams())
 
 def quality_rules(docs: DataFrame, p: QualityParams = QualityParams(), references: dict | None = None) -> DataFrame:
     """`docs` with the columns of RESULT. One scan for the references, unless given, and one to judge."""
-    return judged(features(docs, p), language_references(docs, p) if references is None else references, p)
+    names = {c: c if c in ("text", "lang") else f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in RESULT}  # none is like those made below
+    found = language_references(docs, p) if references is None else references
+    out = judged(features(docs.select([F.col(f"`{c}`").alias(x) for c, x in names.items()]), p), found, p)
+    return out.select(*[F.col(x).alias(c) for c, x in names.items()], *RESULT)
 
 
-def quality_report(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+def quality_report(docs: DataFrame, p: QualityParams = QualityParams(), references: dict | None = None) -> DataFrame:
     """The same verdicts in doc_id and RESULT alone: the texts are read once, their counts kept in a checkpoint."""
     counted = durable(features(docs.select("doc_id", "lang", "text"), p).drop("text"))
-    return judged(counted, _references(counted, p), p).select("doc_id", *RESULT)
+    return judged(counted, _references(counted, p) if references is None else references, p).select("doc_id", *RESULT)
 
 
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
