@@ -1,13 +1,18 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words move the score.
 
 Offsets are code points, ends exclusive. The four base kinds follow fixed
-patterns and all stay; the added kinds (iban, secret) stay from `min_score` on.
+patterns and all stay. The added kinds stay from `min_score` on, and words near a
+span, its own text not counted, decide on most: an opaque token is a secret only
+where a word such as "password" stands near, a bare number an account or a passport
+only near such a word, and an account number with a right checksum (iban) goes
+where a word speaks against it and none for it.
 Every pattern runs in time linear in the text: no run of digits or letters is
 entered twice.
 
-Defined results: a null text counts as empty and has no spans; equal rows get
-equal results; an empty table gives an empty one; other columns pass through
-unless named like the added one.
+Defined results: a null text counts as empty and has no spans; a very long text is
+read whole, in one task; of spans that start together the kind listed first comes
+first; equal rows get equal results; an empty table gives an empty one; other
+columns pass through unless named like the added one.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "secret")
+KINDS = (*BASE_KINDS, "iban", "secret", "number")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -31,27 +36,32 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-SECRET = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|token|secret|api_?key)\s?[=:]\s?\"?[A-Za-z0-9+/_-]{8,}\"?", re.I)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{8,}+")
+KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}")
+NUMBER = re.compile(r"(?<![0-9A-Za-z+./-])[0-9](?:-?[0-9]){5,17}+(?![0-9A-Za-z/]|-[0-9])")
 # Lengths of an IBAN by country, fixed by its registry.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
 
 # Words near a span that speak for it or against it.
 FOR = {
-    "email": ("mail", "contact", "write", "correo", "courriel", "kontakt"),
+    "email": ("mail", "e-mail", "contact", "write", "correo", "courriel", "kontakt"),
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "credit", "payment", "carte", "karte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "secret": ("key", "secret", "password", "token", "login"),
+    "secret": ("key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "token", "login", "credential", "bearer", "passwort", "contraseña"),
+    "number": ("account", "passport", "ssn", "social security", "licence", "license number", "konto", "kontonummer", "ausweis", "compte", "passeport", "cuenta", "pasaporte"),
 }
 AGAINST = {
     "email": ("noreply", "no-reply"),
     "ip": ("version", "release", "section"),
     "card": ("order", "isbn", "tracking", "serial"),
     "phone": ("version", "order"),
-    "iban": ("isbn", "serial"),
-    "secret": ("placeholder", "dummy"),
+    "iban": ("isbn", "serial", "example"),
+    "secret": ("placeholder", "dummy", "checksum", "sha256", "commit", "example"),
+    "number": ("order", "isbn", "tracking", "serial", "version", "example"),
 }
+WORDS = {side: {k: re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, w))})(?!\w)", re.I) for k, w in words.items()} for side, words in (("for", FOR), ("against", AGAINST))}
 
 
 @dataclass(frozen=True)
@@ -59,6 +69,8 @@ class PiiParams:
     proposed: float = 0.3
     confirmed: float = 0.4
     context: float = 0.2
+    against: float = 0.3
+    #: Code points before a span, and half as many after it, in which words count.
     reach: int = 40
     min_score: float = 0.5
 
@@ -96,8 +108,8 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
-    """Kind, start, end, and whether a checksum or range has confirmed it; base kinds only if confirmed."""
+def proposals(text: str, p: PiiParams = PiiParams()) -> Iterator[tuple[str, int, int, bool]]:
+    """Kind, start, end, and whether a checksum or form has confirmed it; base kinds only if confirmed."""
     for a, b in _emails(text):
         yield "email", a, b, True
     for m in IP.finditer(text):
@@ -113,21 +125,31 @@ def proposals(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in IBAN.finditer(text):
         if mod97(m[0]):
             yield "iban", m.start(), m.end(), True
-    for m in SECRET.finditer(text):
-        yield "secret", m.start(), m.end(), m[0].startswith("AKIA")
+    # Without a word that speaks for them these can't reach the score, and most texts have none.
+    alone = p.proposed >= p.min_score
+    if alone or "AKIA" in text or WORDS["for"]["secret"].search(text):
+        for m in TOKEN.finditer(text):
+            yield "secret", m.start(), m.end(), bool(KEY_ID.fullmatch(m[0]))
+    if alone or WORDS["for"]["number"].search(text):
+        for m in NUMBER.finditer(text):
+            yield "number", m.start(), m.end(), False
+
+
+def score(text: str, kind: str, a: int, b: int, confirmed: bool, p: PiiParams = PiiParams()) -> float:
+    """Of a span, from its checksum and the words around it."""
+    around = (text[max(0, a - p.reach) : a], text[b : b + p.reach // 2])
+    says = lambda side: any(WORDS[side][kind].search(x) for x in around)
+    value = p.proposed + p.confirmed * confirmed + p.context * says("for") - p.against * says("against")
+    return round(min(1.0, max(0.0, value)), 3)
 
 
 def find_spans(text: str, p: PiiParams = PiiParams()) -> list[tuple[str, int, int, float]]:
-    out = []
-    for kind, a, b, confirmed in proposals(text):
-        around = f"{text[max(0, a - p.reach) : a]} {text[b : b + p.reach // 2]}".lower()
-        if kind == "secret":
-            around += text[a:b].lower()
-        score = p.proposed + p.confirmed * confirmed
-        score += p.context * any(w in around for w in FOR[kind]) - p.context * any(w in around for w in AGAINST[kind])
-        score = round(min(1.0, max(0.0, score)), 3)
-        if kind in BASE_KINDS or score >= p.min_score:
-            out.append((kind, a, b, score))
+    """Kind, start, end, score, in order. A bare number inside another span is none."""
+    out: list[tuple[str, int, int, float]] = []
+    for kind, a, b, confirmed in proposals(text, p):
+        value = score(text, kind, a, b, confirmed, p)
+        if kind in BASE_KINDS or value >= p.min_score and not (kind == "number" and any(x < b and a < y for _, x, y, _ in out)):
+            out.append((kind, a, b, value))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -174,9 +196,9 @@ def mask_pii(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
 
 
 def with_digests(found: DataFrame) -> DataFrame:
-    """The counts and digests of `find_pii`'s spans."""
+    """The counts and digests of `find_pii`'s spans, and the spans' scores in their order."""
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE_KINDS))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of_kind = lambda kind: F.filter("pii", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
