@@ -1,9 +1,11 @@
 """SpotSigs fingerprints: each common word is an anchor, and it and the content words after it make a signature.
 
 A fingerprint is the set of a text's signatures, as the hex digits of its sorted
-32-bit hashes. Sets are compared by their Jaccard likeness; where only likeness
-from a limit on counts, sets whose lengths lie in partitions too far apart are
-passed over, since the ratio of two sets' lengths bounds their likeness.
+32-bit hashes. Sets are compared by their Jaccard likeness from a limit (`at_least`)
+on: the ratio of two sets' lengths bounds their likeness, so sets whose lengths lie
+in partitions too far apart are passed over, and what is shared is counted only as
+long as the limit can still be reached. Less likeness counts as 0.
+`near_pairs` joins a whole table that way.
 
 The next document by ascending id is found without a total sort: rows go to
 ranges of ids, and the first row of each range also to the range before it.
@@ -11,8 +13,8 @@ ranges of ids, and the first row of each range also to the range before it.
 Defined results: a null text counts as empty; texts without words have the empty
 fingerprint, and two of these are alike (1.0); without an anchor each word is one;
 of rows with one id the next in order of their texts follows, null ids come first;
-a lone row follows itself; an empty table gives an empty result; other columns
-are ignored.
+a lone row follows itself; a very long text is held with its neighbour, in one
+task; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ ANCHORS = frozenset(
 )
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 CHAIN = 2
+#: Signatures that are looked up between two looks at the limit.
+STEP = 256
 LOWEST = -(1 << 63)
 
 
@@ -79,12 +83,19 @@ def signatures(text: str) -> np.ndarray:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
-    """Likeness of two sorted sets; 0.0, unread, if their lengths alone keep it below `at_least`."""
+    """Likeness of two sorted sets if it is `at_least` or more, else 0.0; the lengths' partitions alone, or a part of the sets, may tell."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if at_least > 0 and abs(length_partition(len(a), at_least) - length_partition(len(b), at_least)) > 1 or min(len(a), len(b)) < at_least * max(len(a), len(b)):
+    if at_least > 0 and (abs(length_partition(len(a), at_least) - length_partition(len(b), at_least)) > 1 or min(len(a), len(b)) < at_least * max(len(a), len(b))):
         return 0.0
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    need, common = at_least * (len(a) + len(b)) / (1 + at_least), 0
+    for k in range(0, len(short), STEP):
+        part = short[k : k + STEP]
+        at = np.minimum(np.searchsorted(long, part), len(long) - 1)
+        common += int((long[at] == part).sum())
+        if common + len(short) - k - len(part) < need - 1e-9:  # all that is left would not do
+            return 0.0
     return common / (len(a) + len(b) - common)
 
 
@@ -120,11 +131,11 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     also = F.struct(F.element_at(F.create_map(*before), F.col("key")).alias("range"), F.lit(True).alias("tail"))
     starts = F.col("key").isin([first for _, first in firsts])
     dealt = df.withColumn("to", F.explode(F.when(starts, F.array(own, also)).otherwise(F.array(own)))).select("to.range", "to.tail", "doc_id", "text")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text"), n
+    return dealt.repartitionById(n, F.col("range").cast("int")).sortWithinPartitions("range", "tail", F.asc_nulls_first("doc_id"), "text"), n  # a range has a task of its own
 
 
-def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_with_edits(docs: DataFrame, at_least: float = 0.2) -> DataFrame:
+    """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next: likeness of `at_least` or more, else 0.
 
     The edited text has its last quarter replaced by the start of the next document.
     """
@@ -137,7 +148,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
         part = len(text) // 4
         edited = text[: len(text) - part] + more[:part]
         changed = signatures(edited)
-        return doc_id, len(text), edited, hexed(sigs), hexed(changed), jaccard(sigs, changed), jaccard(sigs, following)
+        return doc_id, len(text), edited, hexed(sigs), hexed(changed), jaccard(sigs, changed, at_least), jaccard(sigs, following, at_least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done = None, None  # the row that waits for the next one, the range whose tail has come
