@@ -6,6 +6,9 @@ and takes the window's ids between two seams, one on each side, at which both
 encodings agree; without a seam on either side the window grows, at last to the
 whole range, which is then encoded as it is.
 
+A text longer than `part` characters is a row for each part of that length, encoded
+by tasks of their own; one more task joins a text's parts, as the same tree would.
+
 Words (what stands between blanks, tabs and line ends) are encoded without regard
 to each other, so a seam in ordinary text is the start of a word that both sides
 have whole. A stretch without such a blank that is longer than a leaf is a tree of
@@ -13,8 +16,8 @@ its own, whose seams are runs of equal tokens: ids that agree in each adjacent
 pair are the encoding of what they spell.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to
-the empty text; equal rows get equal results; an empty table gives an empty
-result; other columns pass through unless named like the added one.
+the empty text; ties don't arise; equal rows get equal results; an empty table
+gives an empty result; other columns pass through unless named like the added one.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lotlight.llm.common import durable
+
 WORD = re.compile(r"[^ \t\n\r]+")
 #: Space that str.split() would cut at, and WORD doesn't.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -39,7 +44,7 @@ AGREE = 4
 class Words(dict):
     """Ids by word. At `most` words the table starts anew, and those still asked for are taken over from the one before."""
 
-    longest, most = 32, 250_000
+    longest, most = 32, 60_000
 
     def __init__(self, encode, encode_letters) -> None:
         super().__init__()
@@ -84,6 +89,7 @@ class TreeBpe:
         self.model, self.bytes = self.tokenizer.model, byte_characters()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ids = list(range(size))  # one object for each id, however often a table holds it
+        self.numerals = list(map(str, self.ids))
         self.pieces = [self.tokenizer.id_to_token(k) or "" for k in range(size)] if self.tokenizer.decoder is None else None
 
     # A stretch without blanks.
@@ -148,7 +154,10 @@ class TreeBpe:
         if hi - lo <= self.leaf:
             return self._leaf(text[lo:hi])
         cut = (lo + hi) // 2
-        left, right = self._tree(text, lo, cut), self._tree(text, cut, hi)
+        return self._joined(text, lo, cut, hi, self._tree(text, lo, cut), self._tree(text, cut, hi))
+
+    def _joined(self, text: str, lo: int, cut: int, hi: int, left: tuple[list[int], list[int]], right: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
+        """Ids and words' numbers of ids of text[lo:hi] from those of its two sides."""
         w = self.window
         while True:
             a, b = max(lo, cut - w), min(hi, cut + w)
@@ -169,6 +178,17 @@ class TreeBpe:
                 return ids, counts
             w *= 2
 
+    def join_parts(self, text: str, part: int, parts: list[tuple[list[int], list[int]]]) -> list[int]:
+        """Ids of a text from the ids and counts of its parts of `part` characters each, joined two by two."""
+        bounds = [(k * part, min(len(text), (k + 1) * part)) for k in range(len(parts))]
+        while len(parts) > 1:
+            for k in range(len(parts) // 2):
+                (lo, cut), (_, hi) = bounds.pop(k), bounds.pop(k)
+                left, right = parts.pop(k), parts.pop(k)
+                bounds.insert(k, (lo, hi))
+                parts.insert(k, self._joined(text, lo, cut, hi, left, right))
+        return parts[0][0]
+
     def encode(self, text: str) -> list[int]:
         return self._tree(text, 0, len(text))[0]
 
@@ -183,7 +203,39 @@ def tree_bpe(path: str, leaf: int, window: int) -> TreeBpe:
     return TreeBpe(path, leaf, window)
 
 
-def encode_texts(docs: DataFrame, path: str, leaf: int = 8192, window: int = 64) -> DataFrame:
+def _list_column(rows: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.array([x for r in rows for x in r], np.int32)))
+
+
+PART = 1 << 16
+
+
+def _long_texts(docs: DataFrame, path: str, leaf: int, window: int, part: int) -> DataFrame:
+    """text, ids of the distinct texts longer than `part`."""
+    texts = durable(docs.where(F.length("text") > part).select("text").distinct().withColumn("key", F.sha2("text", 256)))
+    k = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / part).cast("int") - 1)).alias("k")
+    pieces = texts.select("key", k, "text").select("key", "k", F.substring("text", F.col("k") * part + 1, F.lit(part)).alias("text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path, leaf, window)
+        for b in batches:
+            made = [bpe._tree(t, 0, len(t)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list_column([x[0] for x in made]), _list_column([x[1] for x in made])], ["key", "k", "ids", "counts"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path, leaf, window)
+        for b in batches:
+            for text, parts in zip(b.column(0), b.column(1)):
+                ids = bpe.join_parts(text.as_py(), part, [(p["ids"], p["counts"]) for p in parts.as_py()])
+                yield pa.RecordBatch.from_arrays([pa.array([text.as_py()]), _list_column([ids])], ["text", "ids"])
+
+    encoded = pieces.repartition("key", "k").mapInArrow(encode, "key string, k int, ids array<int>, counts array<int>")
+    whole = encoded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "counts"))).alias("parts"))  # a text's own parts
+    return texts.join(whole, "key").select("text", "parts").mapInArrow(join, "text string, ids array<int>")
+
+
+def encode_texts(docs: DataFrame, path: str, leaf: int = 8192, window: int = 64, part: int = PART) -> DataFrame:
     """`docs` with `ids`, the token ids of `text`."""
     df = docs.drop("ids")
     at = df.columns.index("text")
@@ -191,12 +243,12 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = 8192, window: int = 64)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tree_bpe(path, leaf, window)
         for b in batches:
-            ids = [np.array(bpe.encode(x.as_py() or ""), np.int32) for x in b.column(at)]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            column = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], [*b.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _list_column([bpe.encode(x.as_py() or "") for x in b.column(at)])], [*b.schema.names, "ids"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    short = df.where(F.coalesce(F.length("text") <= part, F.lit(True)))
+    short = short.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    long = df.where(F.length("text") > part).join(_long_texts(df, path, leaf, window, part), "text")
+    return short.unionByName(long.select(short.columns))
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -213,6 +265,31 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def with_digests(decoded: DataFrame) -> DataFrame:
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_batch(doc_ids: pa.Array, rows: list[list[int]], bpe: TreeBpe) -> pa.RecordBatch:
+    from hashlib import sha256
+
+    spelled = [sha256(" ".join(map(bpe.numerals.__getitem__, r)).encode()).hexdigest() for r in rows]
+    decoded = [sha256(bpe.decode(r).encode()).hexdigest() for r in rows]
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(map(len, rows), pa.int64()), pa.array(spelled), pa.array(decoded)], [x.split()[0] for x in DIGESTS.split(", ")])
+
+
+def round_trip(docs: DataFrame, path: str, leaf: int = 8192, window: int = 64, part: int = PART) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded and decoded in one pass, without ids between tasks but for long texts' parts."""
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path, leaf, window)
+        for b in batches:
+            yield _digest_batch(b.column(0), [bpe.encode(x.as_py() or "") for x in b.column(1)], bpe)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path, leaf, window)
+        for b in batches:
+            yield _digest_batch(b.column(0), b.column(1).to_pylist(), bpe)
+
+    short = df.where(F.coalesce(F.length("text") <= part, F.lit(True))).mapInArrow(run, DIGESTS)
+    long = df.where(F.length("text") > part).join(_long_texts(df, path, leaf, window, part), "text")
+    return short.unionByName(long.select("doc_id", "ids").mapInArrow(digest, DIGESTS))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlight.llm import line_dedup as lines
 from lotlight.llm import bpe, packing, pii, quality_classifier, quality_rules, simhash, spotsigs, sql, substring_dedup, warc
-from lotlight.llm.common import table
+from lotlight.llm.common import remove_folder, shared_folder, table
 from lotlight.llm.tokenizer_files import byte_bpe_files, word_bpe_file
 
 
@@ -38,15 +35,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lotlight-warc-")
-    where = f"{shared.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    where = shared_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), where)
-    return warc.read_archives(spark, where)
+    out = warc.read_archives(spark, where)
+    remove_folder(spark, where)  # what is read of it is in checkpoints
+    return out
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_file()
-    return bpe.with_digests(bpe.decode_ids(bpe.encode_texts(docs, path).drop("text"), path))
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), word_bpe_file())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,16 @@ commit protocol, to any file system that Spark knows. A block longer than
 id, orders them by segment number, verifies the total length, and decodes the
 chunked transfer framing.
 
+An archive is cut by its number of records, each of at most a segment's bytes, so
+it is at most `records_per_archive` times `segment_bytes` long, and is parsed once.
+
 Defined results: a null payload counts as empty; a record's id comes from page
-id, url and payload, so repeated rows are one record when read; a null page id is
-left out of the record and null when read, a null url likewise; an empty table
-gives archives without records; other columns are ignored. Segments that are
-missing or don't add up raise an error.
+id, url and payload, so repeated rows are equal records, and as many when read; of
+pages tied for the largest id with one payload each is a response; a null page id
+is left out of the record and null when read, a null url likewise; a very long
+payload is many segments, held together when it is read; an empty table gives
+archives without records; other columns are ignored. Segments that are missing or
+don't add up raise an error.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlight.llm.common import durable, spread_join
+from lotlight.llm.common import HOT_KEYS, counted_join, durable, spread_join
 
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,10 +45,8 @@ class WarcParams:
     revisit_bytes: int = 1000
     segment_bytes: int = 32_768
     chunk_bytes: int = 8192
-    records_per_archive: int = 4096
+    records_per_archive: int = 2048
     date: str = "2024-01-01T00:00:00Z"
-    #: Up to so many repeated digests go to all executors; more are joined by shuffle.
-    broadcast_rows: int = 100_000
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -106,12 +109,12 @@ def write_archives(pages: DataFrame, where: str, p: WarcParams = WarcParams()) -
     rows = rows.withColumn("record_id", _record_id(F.col("page_id"), F.col("url"), F.col("digest")))
     long = rows.where(F.octet_length("payload") >= p.revisit_bytes)
     again = long.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    again = durable(again.select("digest", F.col("last.record_id").alias("last_id")))
-    if again.count() <= p.broadcast_rows:
+    again = durable(again.select("digest", F.col("last.record_id").alias("last_id"), F.col("last.page_id").alias("last_page")))
+    if again.count() <= HOT_KEYS:  # a checked size; the same rows either way
         rows = rows.join(F.broadcast(again), "digest", "left")
     else:
         rows = spread_join(rows, again, ["digest"], F.col("record_id"))
-    refers = F.when((F.octet_length("payload") >= p.revisit_bytes) & (F.col("last_id") != F.col("record_id")), F.col("last_id"))
+    refers = F.when((F.octet_length("payload") >= p.revisit_bytes) & F.col("last_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_page")), F.col("last_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,24 +157,27 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + n
 
 
-def _parsed(archives: DataFrame, segmented: bool) -> DataFrame:
-    """Records of a single segment with their payload's length and digest, or segments with their blocks."""
+def _parsed(archives: DataFrame) -> DataFrame:
+    """Records of a single segment with their payload's length and digest, and segments with their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                rows = []
+                rows, size = [], 0
                 for f, block in parse(content.as_py()):
                     page = int(f["x-page-id"]) if "x-page-id" in f else None
-                    segment = f.get("warc-segment-number")
-                    if segmented and segment:
+                    if segment := f.get("warc-segment-number"):
                         origin = f.get("warc-segment-origin-id", f["warc-record-id"])
                         rows.append((origin, page, f["warc-type"], None, int(segment), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block, None, None))
-                    elif not segmented and not segment:
+                        size += len(block)
+                    else:
                         revisit = f["warc-type"] == "revisit"
                         payload = b"" if revisit else payload_of(block)
                         digest = None if revisit else _checked(f["warc-payload-digest"], payload)
                         rows.append((f["warc-record-id"], page, f["warc-type"], f.get("warc-refers-to"), None, None, None, None if revisit else len(payload), digest))
+                    if size > 1 << 24:
+                        yield _as_batch(rows)
+                        rows, size = [], 0
                 yield _as_batch(rows)
 
     return archives.mapInArrow(run, PARSED)
@@ -190,25 +196,27 @@ def _checked(said: str, payload: bytes) -> str:
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
-    """Records from their segments: all numbers from 1 to the last, as long together as the last one says."""
-    one = F.struct("segment", "block", "total", "page_id")
-    whole = segments.groupBy("record_id").agg(F.sort_array(F.collect_list(one)).alias("parts"))  # a record's own segments
+    """Records from their segments: all numbers from 1 to the last, as long together as the last one says.
+
+    Equal records have equal segments; these are counted first, and a record comes out as often as each of its segments.
+    """
+    once = segments.groupBy("record_id", "segment", "total", "page_id", "block").agg(F.count("*").alias("times"))
+    one = F.struct("segment", "block", "total", "page_id", "times")
+    whole = once.groupBy("record_id").agg(F.sort_array(F.collect_list(one)).alias("parts"))  # a record's own segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for record_id, parts in zip(b.column(0).to_pylist(), b.column(1)):
-                own = {}
-                for x in parts.as_py():
-                    if own.setdefault(x["segment"], x)["block"] != x["block"]:
-                        raise ValueError(f"{record_id}: two segments have one number")
-                own = [own[k] for k in sorted(own)]
+                own = parts.as_py()
+                if len({x["segment"] for x in own}) < len(own):
+                    raise ValueError(f"{record_id}: two segments have one number")
                 block = b"".join(x["block"] for x in own)
-                if [x["segment"] for x in own] != list(range(1, len(own) + 1)) or own[-1]["total"] != len(block):
+                if [x["segment"] for x in own] != list(range(1, len(own) + 1)) or own[-1]["total"] != len(block) or len({x["times"] for x in own}) > 1:
                     raise ValueError(f"{record_id}: segments are missing")
                 payload = payload_of(block)
-                rows.append((record_id, own[0]["page_id"], "response", None, None, None, None, len(payload), sha1(payload).hexdigest()))
-            yield _as_batch(rows)
+                row = (record_id, own[0]["page_id"], "response", None, None, None, None, len(payload), sha1(payload).hexdigest())
+                for k in range(0, own[0]["times"], 4096):
+                    yield _as_batch([row] * min(4096, own[0]["times"] - k))
 
     return whole.mapInArrow(run, PARSED)
 
@@ -217,10 +225,14 @@ def read_archives(spark: SparkSession, where: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a revisit has its response's payload."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).select("content")
     columns = ["record_id", "page_id", "record_type", "refers_id", "payload_bytes", "payload_digest"]
-    records = _parsed(archives, False).select(columns).unionByName(reassembled(_parsed(archives, True)).select(columns))
-    records = durable(records.dropDuplicates(["record_id"]))
-    origin = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    revisits = records.where("record_type = 'revisit'").join(origin, "refers_id", "left")
+    parsed = durable(_parsed(archives))
+    whole = durable(reassembled(parsed.where("segment IS NOT NULL")).select(columns))
+    records = parsed.where("segment IS NULL").select(columns).unionByName(whole)
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    asked = revisits.groupBy("refers_id").agg(F.count("*").alias("n"))
+    origin = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))
+    origin = durable(asked.join(origin, "refers_id").dropDuplicates(["refers_id"]))
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    resolved = revisits.withColumns({"payload_bytes": F.col("n"), "payload_digest": F.col("d")}).select(out)
-    return records.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(out).unionByName(resolved)
+    resolved = counted_join(revisits.select("refers_id", "page_id", "record_type"), origin, "refers_id", revisits.count(), "left")
+    resolved = resolved.withColumnsRenamed({"bytes": "payload_bytes", "digest": "payload_digest"}).select(out)
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(out).unionByName(resolved)

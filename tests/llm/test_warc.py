@@ -13,16 +13,17 @@ def want(rows, least):
     out = []
     for page, _, html, *_ in rows:
         data = (html or "").encode()
-        last = max(r[0] for r in rows if r[0] is not None and (r[2] or "").encode() == data) if page is not None else None
+        last = max((r[0] for r in rows if r[0] is not None and (r[2] or "").encode() == data), default=None)
         again = len(data) >= least and page != last
         out.append((page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", last if again else None))
-    return sorted(set(out), key=repr)
+    return sorted(out, key=repr)
 
 
 def test_round_trip(spark, tmp_path):
     p = warc.WarcParams(segment_bytes=700, chunk_bytes=300, records_per_archive=20)
     rows = [(k, f"http://h/{k}" if k % 3 else None, t, "k", "d", 1) for k, t in enumerate(odd_texts() + [prose(3, 400)] * 6 + ["WARC/1.1\r\n\r\nx\r\n0\r\n\r\n"] * 2)]
-    df = spark.createDataFrame([*rows, rows[7]], SCHEMA)
+    rows += [rows[7], rows[8], rows[8], rows[4], (None, None, prose(3, 300), "k", "d", 1)]  # repeated rows, one of many segments, and one without an id
+    df = spark.createDataFrame(rows, SCHEMA)
     warc.write_archives(df, f"{tmp_path}/a", p)
     got = sorted((tuple(r) for r in warc.read_archives(spark, f"{tmp_path}/a").collect()), key=repr)
     assert got == want(rows, p.revisit_bytes)
