@@ -105,8 +105,10 @@ def counted_join(left: DataFrame, right: DataFrame, on: str, total: int, how: st
     """
     most = total / HOT_KEYS
     hot, cold = right.where(F.col("n") > most).drop("n"), right.where(F.col("n") <= most).drop("n")
-    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
-    return left.join(F.broadcast(hot), on).unionByName(rest)
+    flag = unused(left, "_hot")
+    flagged = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), on, "left")
+    by_task, rest = flagged.where(F.col(flag).isNotNull()).drop(flag), flagged.where(F.col(flag).isNull())
+    return by_task.unionByName(rest.select([f"`{c}`" for c in left.columns]).join(cold, on, how))
 
 
 def replace_columns(df: DataFrame, changed: dict[str, Column], like: DataFrame) -> DataFrame:
