@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlight.functions.time import check_slot, day_type, slot_of, window_cells
+from lotlight.operators.intervals import latest, micros
 
 MAX_UNSEEN = 0.25
 
@@ -73,16 +74,26 @@ def window_free_prob(grid: DataFrame, windows: DataFrame, minutes: int, mode: st
     return out.select("request", "spot_id", F.when(n > 0, (ok + 0.5) / (n + 1)).alias("p_free"), n.alias("n_days"), ok.alias("free_days"))
 
 
+def _overlapped(asks: DataFrame, bookings: DataFrame, name: str) -> DataFrame:
+    """`asks` (spot_id, start, end) with whether a booking of the spot overlaps, half-open: of those that start before the end, the last to end ends after the start."""
+    found = latest(asks, micros("end"), bookings, micros("start"), micros("end"), "spot_id", "_until", strict=True)
+    return found.withColumn(name, F.coalesce(F.col("_until") > micros("start"), F.lit(False))).drop("_until")
+
+
+def _contained(asks: DataFrame, declarations: DataFrame, name: str) -> DataFrame:
+    """`asks` with whether a declaration of the spot contains them, ends included."""
+    found = latest(asks, micros("start"), declarations, micros("start"), micros("end"), "spot_id", "_until")
+    return found.withColumn(name, F.coalesce(F.col("_until") >= micros("end"), F.lit(False))).drop("_until")
+
+
 def booked(requests: DataFrame, bookings: DataFrame) -> DataFrame:
-    """request, spot_id of bookings that overlap, half-open, on the same spot. `requests` has spot_id, start, end."""
-    b = bookings.select(F.col("spot_id").alias("b_spot"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    return requests.join(b, (F.col("spot_id") == F.col("b_spot")) & (F.col("b_start") < F.col("end")) & (F.col("start") < F.col("b_end")), "left_semi")
+    """Requests (spot_id, start, end) that a booking overlaps, half-open, on the same spot."""
+    return _overlapped(requests, bookings, "_hit").where("_hit").drop("_hit")
 
 
 def declared(requests: DataFrame, declarations: DataFrame) -> DataFrame:
     """Requests that a declaration of the same spot contains, ends included."""
-    a = declarations.select(F.col("spot_id").alias("a_spot"), F.col("start").alias("a_start"), F.col("end").alias("a_end"))
-    return requests.join(a, (F.col("spot_id") == F.col("a_spot")) & (F.col("a_start") <= F.col("start")) & (F.col("end") <= F.col("a_end")), "left_semi")
+    return _contained(requests, declarations, "_hit").where("_hit").drop("_hit")
 
 
 def confidence(min_days: int) -> Column:
@@ -99,15 +110,13 @@ def candidates(
     spot_id, occupied. Rank: eligible first, then confidence, days, and spot_id.
     """
     longer = requests.select("request", "start", (F.col("end") + F.make_dt_interval(mins=F.lit(buffer_minutes))).alias("end"))
-    probs = window_free_prob(grid, longer, minutes, mode).join(requests.select("request", "start", "end"), "request")
-    flag = lambda df, name: df.select("request", "spot_id").distinct().withColumn(name, F.lit(True))
-    df = probs.join(flag(declared(probs, declarations), "declared_away"), ["request", "spot_id"], "left")
-    df = df.join(flag(booked(probs, bookings), "booked"), ["request", "spot_id"], "left")
+    df = window_free_prob(grid, longer, minutes, mode).join(requests.select("request", "start", "end"), "request")
+    df = _overlapped(_contained(df, declarations, "declared_away"), bookings, "booked")
     if live is None:
         df = df.withColumn("occupied_now", F.lit(False))
     else:
         df = df.join(live.select("request", "spot_id", (F.col("occupied") != 0).alias("occupied_now")), ["request", "spot_id"], "left")
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("declared_away", "booked", "occupied_now")})
+    df = df.withColumn("occupied_now", F.coalesce("occupied_now", F.lit(False)))
     df = df.withColumn("confidence", confidence(min_days))
     df = df.withColumn("eligible", ~F.col("booked") & ~F.col("occupied_now") & F.coalesce(F.col("confidence") >= min_confidence, F.lit(False)))
     order = Window.partitionBy("request").orderBy(F.desc("eligible"), F.desc_nulls_last("confidence"), F.desc("n_days"), "spot_id")

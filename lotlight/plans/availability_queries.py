@@ -76,8 +76,8 @@ def jn_declared_contains(spark, d):
     return av.declared(requests(spark, d), declarations(spark, d)).select("request", "spot_id")
 
 
-_LIVE = f"""live AS (SELECT r.id, s.spot_id, coalesce(arg_max(o.occupied, o.ts), 0) AS now FROM req r CROSS JOIN (SELECT DISTINCT spot_id FROM obs) s
-LEFT JOIN obs o ON o.spot_id = s.spot_id AND o.ts <= r.s AND CAST(o.ts AS DATE) >= CAST(r.s AS DATE) - 1 GROUP BY ALL)"""
+_LIVE = """live AS (SELECT r.id, s.spot_id, coalesce(arg_max(o.occupied, (o.ts, o.occupied)), 0) AS now FROM req r CROSS JOIN (SELECT DISTINCT spot_id FROM obs) s
+LEFT JOIN obs o ON o.spot_id = s.spot_id AND o.ts <= r.s GROUP BY ALL)"""
 
 
 @query("jn_live_status", f"WITH {LOG}, {SPANS}, {_LIVE} SELECT id AS request, spot_id, CAST(now AS INTEGER) AS occupied FROM live")
@@ -86,11 +86,11 @@ def jn_live_status(spark, d):
 
 
 def frames(spark, d):
-    """Every 20th event is a frame."""
-    return events(spark, d).where("event_id % 20 = 0").select("ts")
+    """Every event is a frame."""
+    return events(spark, d).select("ts").distinct()
 
 
-_FRAMES = "fr AS (SELECT ts FROM ev WHERE event_id % 20 = 0)"
+_FRAMES = "fr AS (SELECT DISTINCT ts FROM ev)"
 
 
 @query("jn_asof_nearest", f"WITH {EVENTS}, {SPANS}, {_FRAMES} SELECT r.id AS request, arg_min(f.ts, (abs(epoch_us(f.ts) - epoch_us(r.s)), f.ts)) AS frame_ts FROM req r, fr f GROUP BY r.id")

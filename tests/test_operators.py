@@ -120,6 +120,35 @@ def test_asof_prefers_the_earlier(spark):
     assert intervals.asof(asked, frames).first().frame_ts == t - timedelta(minutes=5)
 
 
+def test_latest_like_a_loop(spark):
+    """Last status, overlaps and containments far apart in time, with ties, against loops over all pairs."""
+    r, t0 = np.random.default_rng(3), datetime(2024, 1, 1)
+    when = lambda: t0 + timedelta(minutes=int(r.integers(0, 40)) * 720)
+    log = [(s, when(), int(r.integers(0, 2))) for s in "AB" for _ in range(12)] + [("C", t0 + timedelta(days=1), 1)]
+    asks = [(k, when()) for k in range(40)]
+    spans = [(str(r.choice(list("AB"))), a, a + timedelta(minutes=int(r.integers(0, 3000)))) for a in (when() for _ in range(15))]
+    wanted = [(k, "AB"[k % 2], a, a + timedelta(minutes=int(r.integers(0, 1500)))) for k, a in asks]
+    q = spark.createDataFrame(asks, "request int, start timestamp_ntz")
+    seen = spark.createDataFrame(log, "spot_id string, ts timestamp_ntz, occupied int")
+    got = {(x.request, x.spot_id): x.occupied for x in intervals.live_status(q, seen).collect()}
+    assert got == {(k, s): max(((t, o) for x, t, o in log if x == s and t <= a), default=(None, 0))[1] for k, a in asks for s in "ABC"}
+    frames = spark.createDataFrame([(t,) for _, t, _ in log[:5]], "ts timestamp_ntz")
+    times = [t for _, t, _ in log[:5]]
+    got = {x.request: x.frame_ts for x in intervals.asof(q, frames).collect()}
+    assert got == {k: min(times, key=lambda t: (abs(t - a), t)) for k, a in asks}
+    got = {x.request: x.frame_ts for x in intervals.asof(q, frames, "backward").collect()}
+    assert got == {k: max((t for t in times if t <= a), default=None) for k, a in asks}
+    rows = "spot_id string, start timestamp_ntz, end timestamp_ntz"
+    w, b = spark.createDataFrame(wanted, "request int, " + rows), spark.createDataFrame(spans, rows)
+    assert sorted(x.request for x in av.booked(w, b).collect()) == [k for k, s, x, y in wanted if any(s == z and a < y and x < e for z, a, e in spans)]
+    assert sorted(x.request for x in av.declared(w, b).collect()) == [k for k, s, x, y in wanted if any(s == z and a <= x and y <= e for z, a, e in spans)]
+    truth = spark.createDataFrame([(s, t, o - (k % 5 == 0)) for k, (s, t, o) in enumerate(log)], "spot_id string, ts timestamp_ntz, truth int")
+    facts = [(s, t, o - (k % 5 == 0)) for k, (s, t, o) in enumerate(log)]
+    got = {x.booking: x.stayed_free for x in intervals.stayed_free(w.withColumnRenamed("request", "booking"), truth).collect()}
+    want = {k: [v == 0 for z, t, v in facts if z == s and v >= 0 and x <= t < y] for k, s, x, y in wanted}
+    assert got == {k: all(v) if v else None for k, v in want.items()}
+
+
 def test_smoother_and_runs(spark):
     t = datetime(2024, 1, 1)
     log = spark.createDataFrame([("a", t + timedelta(minutes=k), v) for k, v in enumerate([1, 1, 0, 1, 1])], "spot_id string, ts timestamp_ntz, occupied int")
