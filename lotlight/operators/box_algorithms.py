@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from heapq import heapify, heappop, heappush, merge
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,44 +98,74 @@ def match_best(a: np.ndarray, b: np.ndarray, threshold: float) -> list[tuple[int
     return [(i, j) for i, j in assign(o) if o[i, j] >= threshold]
 
 
+class Middles:
+    """The median box of boxes that come one by one: a sorted list for each side."""
+
+    def __init__(self) -> None:
+        self.sides: list[list[float]] = [[], [], [], []]
+
+    def add(self, box: np.ndarray) -> None:
+        for side, v in zip(self.sides, box.tolist()):
+            insort(side, v)
+
+    def take(self, other: Middles) -> None:
+        self.sides = [list(merge(a, b)) for a, b in zip(self.sides, other.sides)]
+
+    def box(self) -> np.ndarray:
+        n = len(self.sides[0])
+        return np.array([(s[(n - 1) // 2] + s[n // 2]) / 2 for s in self.sides])
+
+
 def track(frames: list[np.ndarray], match_iou: float = 0.5, merge_iou: float = 0.2, max_cooccurrence: float = 0.1) -> list[dict]:
-    """Sites of boxes seen over time: {box, members: [(frame, box)]}.
+    """Sites of boxes seen over time: {box, members: [(frame, box)]}; a site's box is the median of its members.
 
-    Each frame's boxes are assigned to the sites there are; a site's box is the
-    median of its members. Then the two sites that overlap most, and are hardly
-    ever seen in one frame, become one, until none are left.
+    A frame's boxes go to the sites of its best assignment, or begin sites of
+    their own. Then, as long as two sites overlap by `merge_iou` and share at most
+    `max_cooccurrence` of the frames of the one seen less, the two of these that
+    overlap most become one, with the place of the first.
     """
-    sites: list[dict] = []
-    middle = lambda s: np.median([b for _, b in s["members"]], axis=0)
-    for t, boxes in enumerate(frames):
-        pairs = dict(match_best(boxes, np.array([s["box"] for s in sites]), match_iou)) if sites and len(boxes) else {}
-        for i, b in enumerate(np.asarray(boxes, float).reshape(-1, 4)):
-            if i in pairs:
-                site = sites[pairs[i]]
-                site["members"].append((t, b))
-                site["box"] = middle(site)
-            else:
-                sites.append({"box": b, "members": [(t, b)]})
-    while (pair := _pair_to_merge(sites, merge_iou, max_cooccurrence)) is not None:
-        i, j = pair
-        sites[i]["members"] += sites.pop(j)["members"]
-        sites[i]["box"] = middle(sites[i])
-    return sites
-
-
-def _pair_to_merge(sites: list[dict], merge_iou: float, max_cooccurrence: float) -> tuple[int, int] | None:
-    if len(sites) < 2:
-        return None
-    seen = [{t for t, _ in s["members"]} for s in sites]
-    boxes = np.array([s["box"] for s in sites])
+    boxes, middles, members = np.empty((0, 4)), [], []
+    for t, found in enumerate(frames):
+        found = np.reshape(np.asarray(found, float), (-1, 4))
+        own = dict(match_best(found, boxes, match_iou))
+        new = [i for i in range(len(found)) if i not in own]
+        for i, j in [*own.items(), *((i, len(boxes) + k) for k, i in enumerate(new))]:
+            if j >= len(middles):
+                middles.append(Middles())
+                members.append([])
+            middles[j].add(found[i])
+            members[j].append((t, found[i]))
+        boxes = np.vstack([boxes, found[new]])
+        for j in own.values():
+            boxes[j] = middles[j].box()
+    return _merged(boxes, middles, members, merge_iou, max_cooccurrence)
+
+
+def _merged(boxes: np.ndarray, middles: list[Middles], members: list[list], least: float, most: float) -> list[dict]:
+    """Pairs wait in a heap by overlap; one that has changed since it was put there is skipped, as its new overlap was put there too."""
+    times = [{t for t, _ in m} for m in members]
+    alive, version = np.ones(len(boxes), bool), [0] * len(boxes)
     o = np.triu(iou_matrix(boxes, boxes), 1)
-    for k in np.argsort(-o, axis=None, kind="stable"):
-        i, j = divmod(int(k), len(sites))
-        if o[i, j] < merge_iou:
-            return None
-        if i < j and len(seen[i] & seen[j]) <= max_cooccurrence * max(min(len(seen[i]), len(seen[j])), 1):
-            return i, j
-    return None
+    heap = [(-o[i, j], int(i), int(j), 0, 0) for i, j in np.argwhere(o >= least)]
+    heapify(heap)
+    while heap:
+        _, i, j, vi, vj = heappop(heap)
+        if not (alive[i] and alive[j]) or (vi, vj) != (version[i], version[j]):
+            continue
+        if len(times[i] & times[j]) > most * min(len(times[i]), len(times[j])):
+            continue
+        alive[j] = False
+        version[i] += 1
+        middles[i].take(middles[j])
+        members[i] += members[j]
+        times[i] |= times[j]
+        boxes[i] = middles[i].box()
+        near = iou_matrix(boxes[i], boxes)[0]
+        for k in np.flatnonzero((near >= least) & alive).tolist():
+            if k != i:
+                a, b = min(i, k), max(i, k)
+                heappush(heap, (-near[k], a, b, version[a], version[b]))
+    return [{"box": boxes[k], "members": members[k]} for k in np.flatnonzero(alive)]
 
 
 COLUMNS = ["x1", "y1", "x2", "y2"]

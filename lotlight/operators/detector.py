@@ -1,21 +1,33 @@
-"""Two-stage window detector: a linear HOG scorer slid over the frame, then a classifier on the best windows."""
+"""Two-stage window detector as steps over DataFrames of frames.
+
+A linear model on HOG blocks scores every window of a frame; the best go on with
+their features to a classifier of Spark ML; what it accepts is suppressed and voted.
+Frames are path, pixels, height, width; scenes are frames with arrays of boxes
+(cars, negatives, ignore, each box an array of four numbers) and random_negatives.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from lotlight.functions import boxes as bx
 from lotlight.operators import box_algorithms as ba
-from lotlight.operators import images
+from lotlight.operators import images, metrics
+from lotlight.operators.learning import Fitted
+
+BOX = ", ".join(f"{c} double" for c in ba.COLUMNS)
+PATCH = "path string, n int, label int, pixels binary, height int, width int"
 
 
-@dataclass
+@dataclass(frozen=True)
 class DetectorConfig:
-    windows: list[tuple[int, int]] = field(default_factory=lambda: [(64, 64)])
+    windows: tuple[tuple[int, int], ...] = ((64, 64),)
     step: int = 1
     recall: float = 0.99
     max_windows: int = 400
@@ -23,138 +35,156 @@ class DetectorConfig:
     nms_iou: float = 0.3
 
 
-@dataclass
+@dataclass(frozen=True)
 class HogScorer:
-    """Weights by block, offset and threshold; standardisation is folded into the weights."""
+    """Weights by block, for values as they are, offset and threshold."""
 
     config: images.FeatureConfig
     weights: np.ndarray
     offset: float
     threshold: float
 
-    @classmethod
-    def fit(cls, patches: list[np.ndarray], labels: np.ndarray, recall: float = 0.99, ridge: float = 10.0, config: images.FeatureConfig = images.FeatureConfig(), rounds: int = 30) -> HogScorer:
-        """Ridge-penalised logistic regression with balanced classes, by Newton steps in the space of the samples."""
-        x = np.stack([images.hog_blocks(images.gray(images.resize(images.to_rgb(p), *config.patch_size)), config).ravel() for p in patches])
-        y = np.asarray(labels, float)
-        mean, sd = x.mean(0), x.std(0)
-        z = np.column_stack([(x - mean) / np.where(sd > 0, sd, 1), np.ones(len(x))])
-        cost = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
-        kernel = z @ z.T / ridge
-        a = np.zeros(len(y))
-        for _ in range(rounds):
-            m = 1 / (1 + np.exp(-np.clip(kernel @ a, -30, 30)))
-            w = np.maximum(cost * m * (1 - m), 1e-9)
-            goal = kernel @ a + cost * (y - m) / w
-            new = np.linalg.solve(kernel + np.diag(1 / w), goal)
-            if np.abs(new - a).max() < 1e-6:
-                break
-            a = new
-        beta = z.T @ a / ridge
-        w = np.where(sd > 0, beta[:-1] / np.where(sd > 0, sd, 1), 0)
-        offset = float(beta[-1] - w @ mean)
-        scores = x @ w + offset
-        down, across = (s // config.cell - config.block + 1 for s in reversed(config.patch_size))
-        return cls(config, w.reshape(down, across, -1), offset, float(np.quantile(scores[y == 1], 1 - recall)))
-
-    def score_map(self, frame: np.ndarray, window: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, frame: np.ndarray, window: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Boxes and scores of all windows of one size; none if the frame is smaller than a window."""
-        none = np.empty((0, 4)), np.empty(0)
-        pw, ph = self.config.patch_size
-        sx, sy = pw / window[0], ph / window[1]
-        w, h = round(frame.shape[1] * sx), round(frame.shape[0] * sy)
-        if w < pw or h < ph:
-            return none
-        blocks = images.hog_blocks(images.gray(images.resize(images.to_rgb(frame), w, h)), self.config)
+        patch, c = np.array(self.config.patch_size), self.config
+        scale = patch / np.array(window)
+        width, height = np.rint(scale * frame.shape[1::-1]).astype(int).tolist()
+        if width < patch[0] or height < patch[1]:
+            return np.empty((0, 4)), np.empty(0)
+        blocks = images.hog_blocks(images.gray(images.resize(frame, width, height)), c)
         view = np.lib.stride_tricks.sliding_window_view(blocks, self.weights.shape[:2], axis=(0, 1))
         scores = np.einsum("yxkij,ijk->yx", view, self.weights, optimize=True) + self.offset
-        top, left = (a.ravel() * self.config.cell for a in np.indices(scores.shape))
-        corner = np.column_stack([left / sx, top / sy])
-        return np.hstack([corner, corner + np.array(window)]), scores.ravel()
-
-
-@dataclass
-class Detector:
-    scorer: HogScorer
-    classify: Callable[[np.ndarray], np.ndarray]
-    config: DetectorConfig = field(default_factory=DetectorConfig)
-    features: images.FeatureConfig = field(default_factory=images.FeatureConfig)
-
-    def proposals(self, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [tuple(a[:: self.config.step] for a in self.scorer.score_map(frame, w)) for w in self.config.windows]
-        boxes, scores = np.vstack([b for b, _ in found]), np.concatenate([s for _, s in found])
-        boxes, scores = boxes[scores >= self.scorer.threshold], scores[scores >= self.scorer.threshold]
-        best = np.argsort(-scores, kind="stable")[: self.config.max_windows]
-        return boxes[best], scores[best]
-
-    def scored(self, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        boxes, _ = self.proposals(frame)
-        h, w = frame.shape[:2]
-        cut = [frame[max(0, b) : min(h, e), max(0, a) : min(w, c)] for a, b, c, e in boxes.astype(int)]
-        rows = [np.concatenate(list(images.extract(p, self.features).values())) for p in cut]
-        return boxes, self.classify(np.stack(rows)) if rows else np.empty(0)
-
-    def detect(self, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        boxes, p = self.scored(frame)
-        ok = p >= self.config.threshold
-        return ba.vote(boxes[ok], p[ok], self.config.nms_iou)
-
-    def hard_negatives(self, frame: np.ndarray, known: np.ndarray, negatives: np.ndarray | None, most: int = 20) -> np.ndarray:
-        """Boxes scored like cars where none is: away from known cars, and on known empty boxes unless `negatives` is None."""
-        boxes, p = self.scored(frame)
-        ok = (p >= 0.6 * self.config.threshold) & (ba.iou_matrix(boxes, known).max(1, initial=0) < 0.3)
-        if negatives is not None:
-            ok &= ba.iou_matrix(boxes, negatives).max(1, initial=0) > 0.5
-        return boxes[ok][np.argsort(-p[ok], kind="stable")][:most]
-
-
-def detect_frames(frames: DataFrame, detector: Detector) -> DataFrame:
-    """path, n, x1 to y2, score of what is detected on frames (path, pixels, height, width); frames are independent tasks' rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                boxes, scores = detector.detect(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3))
-                rows += [(r.path, k, *map(float, b), float(s)) for k, (b, s) in enumerate(zip(boxes, scores))]
-            yield pd.DataFrame(rows, columns=["path", "n", *ba.COLUMNS, "score"])
-
-    return frames.select("path", "pixels", "height", "width").mapInPandas(run, "path string, n int, x1 double, y1 double, x2 double, y2 double, score double")
-
-
-def sample_patches(image: np.ndarray, cars: np.ndarray, negatives: np.ndarray, windows: list[tuple[int, int]], seed: int, ignore: np.ndarray | None = None, random_negatives: bool = True, n_random: int = 30, n_shifted: int = 2) -> list[tuple[np.ndarray, int]]:
-    """Patches and labels of one frame: cars, mirrored and shifted too; known empty boxes; random windows off the cars, some of them partly on one."""
-    rng = np.random.default_rng(seed)
-    h, w = image.shape[:2]
-    out = []
-
-    def add(box, label: int, mirror: bool = False) -> None:
-        if (c := images.crop(image, box)) is not None:
-            out.append((c[:, ::-1].copy() if mirror else c, label))
-
-    for box in np.asarray(cars, float).reshape(-1, 4):
-        add(box, 1)
-        add(box, 1, mirror=True)
-        middle, half = (box[:2] + box[2:]) / 2, (box[2:] - box[:2]) / 2
-        for _ in range(n_shifted):
-            at = middle + rng.uniform(-0.06, 0.06, 2) * 2 * half
-            size = half * (1 + rng.uniform(-0.06, 0.06))
-            add([*(at - size), *(at + size)], 1)
-    for box in np.asarray(negatives, float).reshape(-1, 4):
-        add(box, 0)
-    left = n_random if random_negatives and windows else 0
-    for _ in range(50 * n_random):
-        if not left:
-            break
-        size = np.array(windows[rng.integers(len(windows))]) * rng.uniform(0.8, 1.25)
-        if size[0] >= w or size[1] >= h:
-            continue
-        corner = rng.uniform(0, 1, 2) * (np.array([w, h]) - size)
-        box = np.append(corner, corner + size)
-        if ignore is not None and len(ignore) and ba.iou_matrix(box, ignore).max() >= 0.1:
-            continue
-        over = ba.iou_matrix(box, cars).max(initial=0)
-        if over < 0.1 or over < 0.3 and rng.random() < 0.5:
-            add(box, 0)
-            left -= 1
-    return out
+        corners = np.argwhere(np.ones(scores.shape, bool))[:, ::-1] * c.cell / scale
+        return np.hstack([corners, corners + np.array(window)]), scores.ravel()
+
+    def best(self, frame: np.ndarray, d: DetectorConfig) -> tuple[np.ndarray, np.ndarray]:
+        """The `max_windows` best windows above the threshold, of every `step`-th of each size."""
+        found = [self.score(frame, w) for w in d.windows]
+        boxes, scores = np.vstack([b[:: d.step] for b, _ in found]), np.concatenate([s[:: d.step] for _, s in found])
+        order = np.argsort(-scores, kind="stable")
+        order = order[scores[order] >= self.threshold][: d.max_windows]
+        return boxes[order], scores[order]
+
+
+def fit_scorer(patches: DataFrame, recall: float = 0.99, ridge: float = 10.0, config: images.FeatureConfig = images.FeatureConfig()) -> HogScorer:
+    """From patches (label, pixels, height, width): logistic regression on standardised HOG values with balanced classes; the threshold keeps `recall` of the cars."""
+    hog = images.feature_frame(patches.select("label", "pixels", "height", "width"), replace(config, blocks=("hog",)))
+    rows = hog.select(F.col("label").cast("double").alias("label"), array_to_vector("hog").alias("x")).persist()
+    n, cars = rows.agg(F.count("*"), F.sum("label")).first()
+    share = F.when(F.col("label") == 1, n / (2 * max(cars, 1))).otherwise(n / (2 * max(n - cars, 1)))
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=ridge / n, maxIter=200).fit(rows.withColumn("w", share))
+    raw = model.transform(rows.where("label = 1")).select(vector_to_array("rawPrediction")[1].alias("s"))
+    threshold = raw.agg(F.percentile("s", 1 - recall)).first()[0]
+    rows.unpersist()
+    down, across = (s // config.cell - config.block + 1 for s in reversed(config.patch_size))
+    return HogScorer(config, model.coefficients.toArray().reshape(down, across, -1), float(model.intercept), float(threshold))
+
+
+def with_features(df: DataFrame, config: images.FeatureConfig) -> DataFrame:
+    """The blocks' arrays as one vector, `features`."""
+    return df.withColumn("features", array_to_vector(F.concat(*[F.col(b).cast("array<double>") for b in config.blocks]))).drop(*config.blocks)
+
+
+def proposals(frames: DataFrame, scorer: HogScorer, d: DetectorConfig, config: images.FeatureConfig = images.FeatureConfig()) -> DataFrame:
+    """path, n, x1 to y2, first (the first stage's score), features of each frame's best windows."""
+    blocks = ", ".join(f"{b} array<float>" for b in config.blocks)
+
+    def make(frame: np.ndarray, row: dict) -> list[tuple]:
+        boxes, scores = scorer.best(frame, d)
+        rows = []
+        for k, (box, s, patch) in enumerate(zip(boxes, scores, images.cut(frame, np.trunc(boxes), 1))):
+            if patch is not None:
+                f = images.extract(patch, config)
+                rows.append((row["path"], k, *map(float, box), float(s), *[f[b].tolist() for b in config.blocks]))
+        return rows
+
+    return with_features(images.frame_rows(frames.select("path", "pixels", "height", "width"), make, f"path string, n int, {BOX}, first double, {blocks}"), config)
+
+
+def scored(frames: DataFrame, scorer: HogScorer, classifier: Fitted, d: DetectorConfig, config: images.FeatureConfig = images.FeatureConfig()) -> DataFrame:
+    """path, n, x1 to y2, score of the second stage for all proposals."""
+    return classifier.score(proposals(frames, scorer, d, config)).select("path", "n", *ba.COLUMNS, "score")
+
+
+def detect(windows: DataFrame, d: DetectorConfig) -> DataFrame:
+    """frame, x1 to y2, score: `scored` windows at or above the threshold, suppressed and voted."""
+    place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "n"))
+    return ba.nms_vote(windows.where(F.col("score") >= d.threshold).select(F.col("path").alias("frame"), place.alias("n"), *ba.COLUMNS, "score"), d.nms_iou)
+
+
+def _as_box(b: Column) -> Column:
+    return F.struct(*[b[k].alias(c) for k, c in enumerate(ba.COLUMNS)])
+
+
+def overlaps(boxes: Column, least: float, strict: bool = False) -> Column:
+    """Whether the row's own box (x1 to y2) overlaps one of an array by `least`, or by more."""
+    over = lambda b: bx.iou(bx.box(), _as_box(b))
+    return F.exists(boxes, lambda b: over(b) > least if strict else over(b) >= least)
+
+
+def hard_negatives(windows: DataFrame, scenes: DataFrame, threshold: float = 0.5, most: int = 20) -> DataFrame:
+    """`scored` windows that look like cars where none is: the `most` best of a frame, away from its cars and ignored boxes,
+    anywhere if its random_negatives says so, else on its negatives."""
+    known = scenes.select("path", F.concat("cars", "ignore").alias("known"), "negatives", "random_negatives")
+    free = ~overlaps(F.col("known"), 0.3) & (F.col("random_negatives") | overlaps(F.col("negatives"), 0.5, True))
+    found = windows.where(F.col("score") >= 0.6 * threshold).join(known, "path").where(free).select(windows.columns)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "n"))).where(F.col("place") <= most).drop("place")
+
+
+def cut_windows(frames: DataFrame, windows: DataFrame, label: int = 0) -> DataFrame:
+    """path, n, label, pixels, height, width of windows (path, x1 to y2), cut out of their frames. A frame's pixels are moved once."""
+    own = windows.groupBy("path").agg(F.collect_list(F.array(*ba.COLUMNS)).alias("boxes"))  # one frame's windows
+
+    def make(frame: np.ndarray, row: dict) -> list[tuple]:
+        parts = images.cut(frame, np.trunc(row["boxes"]), 1)
+        return [(row["path"], k, label, p.tobytes(), *p.shape[:2]) for k, p in enumerate(parts) if p is not None]
+
+    return images.frame_rows(frames.select("path", "pixels", "height", "width").join(own, "path"), make, PATCH)
+
+
+def random_windows(size: tuple[int, int], windows: np.ndarray, cars: np.ndarray, ignore: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Up to n boxes within the frame, off the ignored ones: of 50 n drawn, the first that lie off the cars, or half of the time partly on one."""
+    sides = windows[rng.integers(len(windows), size=50 * n)] * rng.uniform(0.8, 1.25, (50 * n, 1))
+    room = np.array(size) - sides
+    corners = rng.uniform(size=sides.shape) * np.maximum(room, 0)
+    boxes = np.hstack([corners, corners + sides])
+    on = ba.iou_matrix(boxes, cars).max(1, initial=0)
+    fits = (room > 0).all(1) & (ba.iou_matrix(boxes, ignore).max(1, initial=0) < 0.1)
+    partly = (on > 0.1) & (on < 0.3) & (rng.random(len(boxes)) < 0.5)
+    return boxes[fits & ((on < 0.1) | partly)][:n]
+
+
+def sample_patches(scenes: DataFrame, windows: list[tuple[int, int]], n_random: int = 30, n_shifted: int = 2, shift: float = 0.06, seed: int = 0) -> DataFrame:
+    """path, n, label, pixels, height, width: cars, mirrored and `n_shifted` times moved and scaled by up to `shift`; known empty boxes;
+    random windows where the scene allows them. A frame's draws come from the seed and its path, whatever task it is in."""
+    from zlib import crc32
+
+    sizes = np.reshape(np.array(windows, float), (-1, 2))
+
+    def make(frame: np.ndarray, row: dict) -> list[tuple]:
+        rng = np.random.default_rng([seed, crc32(row["path"].encode())])
+        cars, empty, ignore = (np.reshape(np.array(row[c] or [], float), (-1, 4)) for c in ("cars", "negatives", "ignore"))
+        middle, side = (cars[:, :2] + cars[:, 2:]) / 2, cars[:, 2:] - cars[:, :2]
+        draw = rng.uniform(-shift, shift, (n_shifted, len(cars), 3))
+        at, half = middle + draw[..., :2] * side, side * (1 + draw[..., 2:]) / 2
+        moved = np.concatenate([at - half, at + half], -1).reshape(-1, 4)
+        n = n_random if row["random_negatives"] and len(sizes) else 0
+        off = random_windows(frame.shape[1::-1], sizes, cars, ignore, n, rng) if n else np.empty((0, 4))
+        parts = [(p, 1) for p in images.cut(frame, np.vstack([cars, moved]))] + [(p, 0) for p in images.cut(frame, np.vstack([empty, off]))]
+        parts += [(p[:, ::-1], 1) for p, _ in parts[: len(cars)] if p is not None]
+        return [(row["path"], k, label, p.tobytes(), *p.shape[:2]) for k, (p, label) in enumerate(parts) if p is not None]
+
+    return images.frame_rows(scenes.select("path", "pixels", "height", "width", "cars", "negatives", "ignore", "random_negatives"), make, PATCH)
+
+
+def average_precision(found: DataFrame, scenes: DataFrame, least: float = 0.5) -> DataFrame:
+    """ap, precision, recall, n_gt of `detect`'s boxes over all scenes, in one row. Where only spaces are labelled (random_negatives
+    false), boxes off these don't count."""
+    known = scenes.select(F.col("path").alias("frame"), F.concat("cars", "negatives").alias("known"), "random_negatives")
+    inside = found.join(known, "frame").where(F.col("random_negatives") | overlaps(F.col("known"), 0.3, True)).select("frame", *ba.COLUMNS, "score")
+    place = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), *ba.COLUMNS))
+    det = inside.withColumn("n", place)
+    boxes_of = lambda c, kind: scenes.select(F.col("path").alias("frame"), F.posexplode(c).alias("n", "b")).select("frame", "n", *[F.col("b")[k].alias(x) for k, x in enumerate(ba.COLUMNS)], F.lit(kind).alias("kind"))
+    every = det.select("frame", "n", *ba.COLUMNS, F.lit("det").alias("kind")).unionByName(boxes_of("cars", "truth")).unionByName(boxes_of("ignore", "ignore"))
+    hits = ba.greedy_matches(every, least).join(det.select("frame", "n", "score"), ["frame", "n"]).select("score", "hit")
+    return metrics.average_precision(hits, scenes.agg(F.sum(F.size("cars")).alias("n_gt")))

@@ -1,14 +1,18 @@
-"""Spot discovery: sites tracked by camera, their presence over all frames, stays, transitions, status and named spots."""
+"""Spot discovery: sites tracked by camera, their presence over all frames, stays, transitions verified by appearance, status, named spots, evaluation."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlight.functions import boxes as bx
 from lotlight.operators import box_algorithms as ba
+from lotlight.operators import images, metrics
 from lotlight.operators import sequences as sq
 
 
@@ -22,11 +26,12 @@ class DiscoveryConfig:
     min_change: float = 0.6
     min_density: float = 0.75
     pad: float = 0.08
+    thumb_width: int = 480
 
 
 def site_presence(sites: DataFrame, frames: DataFrame, detections: DataFrame, c: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
     """spot_id (camera:site), camera, ts, present: a member was seen, or any box overlaps the site's."""
-    s = sites.select("camera", F.concat_ws(":", F.col("camera").cast("string"), F.col("site").cast("string")).alias("spot_id"), bx.box().alias("own"), "frames")
+    s = sites.select("camera", spot_name().alias("spot_id"), bx.box().alias("own"), "frames")
     near = detections.select("camera", "t", bx.box().alias("seen")).join(s, "camera").where(bx.iou(F.col("seen"), F.col("own")) >= c.match_iou).select("spot_id", "t")
     member = s.select("spot_id", F.explode("frames").alias("t"))
     hit = near.union(member).distinct().withColumn("present", F.lit(1))
@@ -34,35 +39,108 @@ def site_presence(sites: DataFrame, frames: DataFrame, detections: DataFrame, c:
     return every.join(hit, ["spot_id", "t"], "left").select("spot_id", "camera", "ts", F.coalesce("present", F.lit(0)).alias("present"))
 
 
-def analyse(sites: DataFrame, frames: DataFrame, detections: DataFrame, change: DataFrame | None = None, c: DiscoveryConfig = DiscoveryConfig()) -> tuple[DataFrame, DataFrame]:
-    """Frames with bridged presence, and one row per site: n_stays, n_departures, n_arrivals, verified, occupancy_rate, status.
+def spot_name() -> Column:
+    return F.concat_ws(":", F.col("camera").cast("string"), F.col("site").cast("string"))
 
-    `change` has spot_id, frame, kind, change for transitions; without it each counts as verified.
+
+def run_looks(frames: DataFrame, asked: DataFrame, width: int = 480) -> DataFrame:
+    """spot_id, run, look: the mean over a run's frames of the site's pixels, normalised by frame, as an array.
+
+    `frames` has camera, ts, pixels, height, width; `asked` has a row for each frame
+    and run wanted: camera, ts, spot_id, run, x1 to y2. Pixels meet the boxes of
+    their frame once, and means are summed before they are shuffled.
+    """
+    boxes = asked.groupBy("camera", "ts").agg(F.collect_list(F.struct("spot_id", "run", F.array(*ba.COLUMNS).alias("box"))).alias("sites"))  # a camera's sites
+
+    def make(frame: np.ndarray, row: dict) -> list[tuple]:
+        thumb, scale = images.thumbnail(frame, width)
+        seen = images.looks(thumb, np.array([s["box"] for s in row["sites"]]) * scale)
+        return [(s["spot_id"], s["run"], v.tolist()) for s, v in zip(row["sites"], seen) if v is not None]
+
+    seen = images.frame_rows(frames.select("camera", "ts", "pixels", "height", "width").join(boxes, ["camera", "ts"]).drop("camera", "ts"), make, "spot_id string, run int, look array<float>")
+    mean = Summarizer.mean(array_to_vector("look"))
+    return seen.groupBy("spot_id", "run").agg(vector_to_array(mean).alias("look"))
+
+
+def changes(runs: DataFrame, presence: DataFrame, sites: DataFrame, frames: DataFrame, c: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
+    """spot_id, run, kind, change: 1 less the correlation of a stay's look and that of the absence after (departure) or before it (arrival)."""
+    moves = _moves(runs)
+    pairs = moves.select("spot_id", "run", "kind", F.when(F.col("kind") == "departure", F.col("run") + 1).otherwise(F.col("run") - 1).alias("other"))
+    wanted = pairs.select("spot_id", "run").union(pairs.select("spot_id", "other")).distinct()
+    at = sq.islands(presence, "spot_id", ("i",), "present").select("spot_id", "camera", "ts", "run").join(wanted, ["spot_id", "run"])
+    asked = at.join(sites.select(spot_name().alias("spot_id"), *ba.COLUMNS), "spot_id")
+    look = run_looks(frames, asked, c.thumb_width).persist()
+    both = pairs.join(look.withColumnRenamed("look", "a"), ["spot_id", "run"]).join(look.select("spot_id", F.col("run").alias("other"), F.col("look").alias("b")), ["spot_id", "other"])
+    pixels = both.select("spot_id", "run", "kind", F.explode(F.arrays_zip("a", "b")).alias("p")).select("spot_id", "run", "kind", "p.a", "p.b")
+    return sq.correlation_change(pixels, ["spot_id", "run", "kind"])
+
+
+def _moves(runs: DataFrame) -> DataFrame:
+    kinds = F.array_compact(F.array(F.when(F.col("departure"), F.lit("departure")), F.when(F.col("arrival"), F.lit("arrival"))))
+    return runs.select("spot_id", "run", F.explode(kinds).alias("kind"))
+
+
+def analyse(sites: DataFrame, frames: DataFrame, detections: DataFrame, c: DiscoveryConfig = DiscoveryConfig()) -> tuple[DataFrame, DataFrame]:
+    """Frames with bridged presence, and one row per site: detections, n_stays, n_departures, n_arrivals, those of them that are
+    verified (verified_departures, verified_arrivals), max_change, occupancy_rate, status.
+
+    A transition is verified if the site looks different: by `min_change` of `changes`, for which `frames` (camera, t, ts) needs
+    pixels, height and width. Without pixels there is no evidence, and no site is confirmed. What is used more than once is persisted.
     """
-    p = sq.bridged(sq.presence(site_presence(sites, frames, detections, c)), c.min_absence_minutes)
-    runs = sq.stays(p, c.min_stay_minutes, c.min_density, c.min_absence_minutes)
-    moves = runs.where("departure").select("spot_id", F.col("last").alias("frame"), F.lit("departure").alias("kind")).union(runs.where("arrival").select("spot_id", "first", F.lit("arrival")))
-    if change is not None:
-        moves = moves.join(change, ["spot_id", "frame", "kind"], "left").withColumn("change", F.coalesce("change", F.lit(0.0)))
+    p = sq.bridged(sq.presence(site_presence(sites, frames, detections, c)).persist(), c.min_absence_minutes).persist()
+    runs = sq.stays(p, c.min_stay_minutes, c.min_density, c.min_absence_minutes).persist()
+    moves = _moves(runs)
+    if "pixels" in frames.columns:
+        moves = moves.join(changes(runs, p, sites, frames, c), ["spot_id", "run", "kind"], "left")
     else:
-        moves = moves.withColumn("change", F.lit(1.0))
+        moves = moves.withColumn("change", F.lit(None).cast("double"))
+    moves = moves.withColumn("change", F.coalesce("change", F.lit(0.0)))
+    of = lambda kind: F.col("kind") == kind
     ok = F.col("change") >= c.min_change
-    counted = moves.groupBy("spot_id").agg(F.count_if(F.col("kind") == "departure").alias("n_departures"), F.count_if(F.col("kind") == "arrival").alias("n_arrivals"), F.count_if(ok).alias("verified"), F.bround(F.max("change"), 3).alias("max_change"))
+    counts = {"n_departures": of("departure"), "n_arrivals": of("arrival"), "verified_departures": of("departure") & ok, "verified_arrivals": of("arrival") & ok}
+    counted = moves.groupBy("spot_id").agg(*[F.count_if(x).alias(name) for name, x in counts.items()], F.bround(F.max("change"), 3).alias("max_change"))
     summary = runs.groupBy("spot_id").agg(F.count_if("stay").alias("n_stays")).join(counted, "spot_id", "left").join(p.groupBy("spot_id").agg(F.bround(F.avg("present"), 3).alias("occupancy_rate")), "spot_id")
-    summary = summary.na.fill(0, ["n_departures", "n_arrivals", "verified"]).na.fill(0.0, ["max_change"])
-    status = F.when(F.col("n_stays") == 0, "dropped").when(F.col("verified") > 0, "confirmed").otherwise("candidate")
+    summary = summary.join(sites.select(spot_name().alias("spot_id"), F.col("n_members").cast("long").alias("detections")), "spot_id")
+    summary = summary.na.fill(0, list(counts)).na.fill(0.0, ["max_change"])
+    status = F.when(F.col("n_stays") == 0, "dropped").when(F.col("verified_departures") + F.col("verified_arrivals") > 0, "confirmed").otherwise("candidate")
     return p, summary.withColumn("status", status)
 
 
 def named_spots(sites: DataFrame, summary: DataFrame, width: float, height: float, include_candidates: bool = True, c: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
-    """camera, spot_id, id (S1, S2, ... in reading order by camera), polygon (padded, in the frame), status."""
-    s = sites.withColumn("spot_id", F.concat_ws(":", F.col("camera").cast("string"), F.col("site").cast("string"))).join(summary, "spot_id")
+    """camera, spot_id, id (S1, S2, ... in reading order by camera), polygon (padded, in the frame), car_box (to a tenth), status, n_stays,
+    n_departures and n_arrivals (verified ones), occupancy_rate."""
+    s = sites.withColumn("spot_id", spot_name()).join(summary.drop("n_departures", "n_arrivals"), "spot_id")
     s = s.where(F.col("status").isin("confirmed", *(["candidate"] if include_candidates else [])))
     row = F.bround(F.col("y1") / F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)), 0)
     s = s.withColumn("id", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("camera").orderBy(row, "x1", "site"))))
     s = s.withColumn("p", bx.padded(bx.box(), c.pad, F.lit(float(width)), F.lit(float(height))))
     corner = lambda x, y: F.struct(F.col(f"p.{x}").alias("x"), F.col(f"p.{y}").alias("y"))
-    return s.withColumn("polygon", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))).select("camera", "spot_id", "id", "polygon", "status", "n_stays", "n_departures", "n_arrivals", "occupancy_rate")
+    polygon = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2")).alias("polygon")
+    counts = [F.col("verified_departures").alias("n_departures"), F.col("verified_arrivals").alias("n_arrivals")]
+    return s.select("camera", "spot_id", "id", polygon, F.array(*[F.bround(x, 1) for x in ba.COLUMNS]).alias("car_box"), "status", "n_stays", *counts, "occupancy_rate")
+
+
+def evaluate(spots: DataFrame, bays: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Spots (camera, id, polygon, status) against true bays (camera, bay, kind, x1 to y2), assigned one to one by overlap.
+
+    Returns one row by camera: n_bays, n_discovered, n_confirmed, precision, precision_confirmed, recall; and camera, bay, kind,
+    found, spot_id, status, iou (to 3 digits) for each bay.
+    """
+    hull = spots.select("camera", "id", "status", bx.bounds(F.col("polygon")).alias("b")).withColumn("n", F.row_number().over(Window.partitionBy("camera").orderBy("id")))
+    truth = bays.withColumn("n", F.row_number().over(Window.partitionBy("camera").orderBy("bay")))
+    both = hull.select(F.col("camera").alias("frame"), "n", "b.*", F.lit("a").alias("kind")).unionByName(truth.select(F.col("camera").alias("frame"), "n", *ba.COLUMNS, F.lit("b").alias("kind")))
+    pairs = ba.best_matches(both, least).withColumnRenamed("frame", "camera")
+    matched = pairs.join(hull.select("camera", F.col("n").alias("n_a"), F.col("id").alias("spot_id"), "status"), ["camera", "n_a"])
+    table = truth.withColumnRenamed("n", "n_b").join(matched, ["camera", "n_b"], "left")
+    table = table.select("camera", "bay", "kind", F.col("spot_id").isNotNull().alias("found"), "spot_id", "status", F.round("overlap", 3).alias("iou"))
+    confirmed = F.col("status") == "confirmed"
+    of_bays = table.groupBy("camera").agg(F.count("*").alias("n_bays"), F.count("spot_id").alias("hits"), F.count_if(confirmed).alias("hits_confirmed"))
+    of_spots = hull.groupBy("camera").agg(F.count("*").alias("n_discovered"), F.count_if(confirmed).alias("n_confirmed"))
+    one = of_bays.join(of_spots, "camera", "full").na.fill(0)
+    return one.select(
+        "camera", "n_bays", "n_discovered", "n_confirmed", metrics.over("hits", "n_discovered").alias("precision"),
+        metrics.over("hits_confirmed", "n_confirmed").alias("precision_confirmed"), metrics.over("hits", "n_bays").alias("recall"),
+    ), table
 
 
 def occupancy_log(presence: DataFrame, spots: DataFrame) -> DataFrame:

@@ -6,11 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 takes a union of parts that are dealt alike to be dealt so itself, and leaves out the shuffle that a later grouping
+    asks for. Where a part is cached, its partitions may be others than the plan says, and a group then falls apart without an
+    error. So this session gets its shuffles back."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def map_groups(df: DataFrame, key: str, order: list[str], run: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
     """Rows that `run` makes of the columns of each key's rows, in order. A group may span batches; one at a time is held."""
+    plain_unions(df.sparkSession)
     names = df.columns
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotlight.operators.grouping import plain_unions
+
 HOURS = 6
 
 
@@ -23,6 +25,7 @@ def latest(asks: DataFrame, at: Column, events: DataFrame, when: Column, value:
 
     `at` and `when` are whole numbers in microseconds. Null without such an event.
     """
+    plain_unions(asks.sparkSession)
     width = hours * 3_600_000_000
     own = [F.col(key).alias("_k")] if key else [F.lit(0).alias("_k")]
     cell = lambda c: F.floor(c / width)

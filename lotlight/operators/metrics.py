@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlight.operators.sequences import cumulative, suffix_max
-
 
 def confusion(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn of truth and pred (0 or 1)."""
@@ -33,13 +31,47 @@ def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0))).alias("roc_auc"))
 
 
-def average_precision(hits: DataFrame, n_gt: int, order: list, by: list[str]) -> DataFrame:
-    """by, ap: all-point interpolated. `hits` has hit (0 or 1); `order` is total, best first."""
-    tp = cumulative(order, F.col("hit"), by)
-    n = cumulative(order, F.lit(1), by)
-    df = hits.withColumns({"_tp": tp, "_n": n}).withColumn("_precision", F.col("_tp") / F.col("_n"))
-    df = df.withColumn("_envelope", suffix_max(order, F.col("_precision"), by))
-    return df.groupBy(*by).agg((F.sum(F.when(F.col("hit") == 1, F.col("_envelope")).otherwise(0.0)) / max(n_gt, 1)).alias("ap"))
+def over(a: str, b: str) -> Column:
+    """a / b; 0 where b is."""
+    return F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+
+
+def average_precision(hits: DataFrame, n_gt: DataFrame, by: list[str] | None = None, ranges: int = 200) -> DataFrame:
+    """by, ap (all-point interpolated), precision and recall of all hits together, n_gt; zeros for a row of `n_gt` (by, n_gt) without hits.
+
+    `hits` has score and hit (0 or 1). Hits of one score count together, as no threshold parts them. Sums run within ranges of
+    scores, and what lies above or below a range comes from one row for it, so that no task sorts all.
+    """
+    by = by or []
+    cells = hits.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("tp"))
+    cuts = sorted(set(hits.agg(F.percentile_approx("score", [k / ranges for k in range(1, ranges)])).first()[0] or []))  # `ranges` numbers at most
+    cells = cells.withColumn("_r", _range(F.col("score"), cuts))
+    sums = cells.groupBy(*by, "_r").agg(F.sum("n").alias("_rn"), F.sum("tp").alias("_rtp"))
+    part = by or [F.lit(0)]
+    before = Window.partitionBy(*part).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_r", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_rn", "_rtp")])
+    inside = Window.partitionBy(*by, "_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumns({"_n": F.sum("n").over(inside), "_tp": F.sum("tp").over(inside)}).join(sums, [*by, "_r"])
+    ranked = ranked.withColumn("_p", (F.col("_tp") + F.col("_rtp_before")) / (F.col("_n") + F.col("_rn_before")))
+    below = Window.partitionBy(*part).orderBy(F.desc("_r")).rowsBetween(1, Window.unboundedFollowing)
+    best = ranked.groupBy(*by, "_r").agg(F.max("_p").alias("_best")).select(*by, "_r", F.max("_best").over(below).alias("_below"))
+    here = Window.partitionBy(*by, "_r").orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
+    env = ranked.withColumn("_here", F.max("_p").over(here)).join(best, [*by, "_r"]).withColumn("_env", F.greatest("_here", "_below"))
+    found = env.groupBy(*by).agg(F.sum(F.col("tp") * F.col("_env")).alias("_area"), F.sum("tp").alias("_hits"), F.sum("n").alias("_all"))
+    joined = n_gt.join(found, by, "left") if by else n_gt.crossJoin(found)  # two tables of one row
+    joined = joined.na.fill(0, ["n_gt", "_area", "_hits", "_all"])
+    return joined.select(*by, over("_area", "n_gt").alias("ap"), over("_hits", "_all").alias("precision"), over("_hits", "n_gt").alias("recall"), "n_gt")
+
+
+def _range(value: Column, cuts: list) -> Column:
+    """The number of cuts at or below a value, by halving."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
 
 
 def leaderboard(board: DataFrame) -> DataFrame:

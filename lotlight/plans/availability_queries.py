@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotlight.functions.time import day_type, slot_of, window_cells
 from lotlight.operators import availability as av
-from lotlight.operators import intervals
+from lotlight.operators import intervals, simulation
 from lotlight.plans.bindings import EVENTS, GRID, LOG, SLOT, SPANS, bookings, declarations, events, log, requests
 from lotlight.plans.registry import query
 
@@ -177,21 +177,25 @@ def agg_sweep(spark, d):
     return swept.groupBy("threshold").agg(F.count_if(hit).alias("n_booked"), F.round(F.avg(F.when(hit, F.col("best"))), 6).alias("mean_confidence"))
 
 
-@query("alloc_request")
+@query("alloc_request", f"""WITH RECURSIVE {_CAND},
+el2 AS (SELECT id, spot_id, s, e, confidence, rank, CAST(s AS DATE) AS day FROM rk WHERE eligible), o AS (SELECT id, any_value(day) AS day, row_number() OVER (PARTITION BY any_value(day) ORDER BY any_value(s), id) AS k FROM el2 GROUP BY id),
+go AS (SELECT DISTINCT day, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(spot VARCHAR, s TIMESTAMP, e TIMESTAMP)[]) AS taken, CAST(NULL AS STRUCT(id BIGINT, spot VARCHAR, s TIMESTAMP, e TIMESTAMP, c DOUBLE)) AS made FROM o UNION ALL
+SELECT g.day, g.k + 1, CASE WHEN x.made IS NULL THEN g.taken ELSE list_append(g.taken, {{'spot': x.made.spot, 's': x.made.s, 'e': x.made.e}}) END, x.made
+FROM go g JOIN LATERAL (SELECT (SELECT arg_min({{'id': c.id, 'spot': c.spot_id, 's': c.s, 'e': c.e, 'c': CAST(c.confidence AS DOUBLE)}}, c.rank) FROM el2 c WHERE c.id = o.id AND len(list_filter(g.taken, lambda t: t.spot = c.spot_id AND t.s < c.e AND c.s < t.e)) = 0) AS made FROM o WHERE o.day = g.day AND o.k = g.k + 1) x ON true)
+SELECT made.id AS request, made.spot AS spot_id, made.s AS begins, made.e AS ends, round(made.c, 6) AS confidence FROM go WHERE made IS NOT NULL""")
 def alloc_request(spark, d):
     """Requests booked one after another within each day, against earlier bookings too."""
-    return av.allocate(ranked(spark, d).withColumn("day", F.to_date("start"))).select("request", "spot_id", "start", "end", F.round("confidence", 6).alias("confidence"))
+    return av.allocate(ranked(spark, d).withColumn("day", F.to_date("start"))).select("request", "spot_id", F.col("start").alias("begins"), F.col("end").alias("ends"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("sim_guest")
 def sim_guest(spark, d):
-    """Replay at three thresholds: how many requests were booked, and how many of the bookings' spots stayed free."""
-    base = ranked(spark, d).withColumn("day", F.to_date("start")).withColumn("threshold", F.explode(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9))))
-    base = base.withColumn("eligible", ~F.col("booked") & ~F.col("occupied_now") & F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False)))
-    base = base.withColumn("day", F.concat_ws("|", "day", "threshold"))
-    booked = av.allocate(base).withColumn("booking", F.concat_ws("|", "day", "request"))
-    out = intervals.stayed_free(booked, truth(spark, d)).withColumn("threshold", F.element_at(F.split("day", "\\|"), 2).cast("double"))
-    return out.groupBy("threshold").agg(F.count("*").alias("n_booked"), F.count_if("stayed_free").alias("n_free"), F.count("stayed_free").alias("n_known"))
+    """Replay at three confidences and by what is free now: how many requests were booked, and how many of the bookings' spots stayed free."""
+    asked = requests(spark, d).select("request", "start", "end")
+    live = intervals.live_status(asked, log(spark, d)).persist()
+    both = av.candidates(grid(spark, d), asked, SLOT, bookings(spark, d), declarations(spark, d), live, min_confidence=0.5).withColumn("day", F.to_date("start"))
+    _, total = simulation.sweep(both, live, truth(spark, d), [0.5, 0.7, 0.9])
+    return total.withColumn("rate", F.round("rate", 6))
 
 
 @query("flt_train_test_days", f"WITH {LOG}, dd AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM obs) SELECT CAST(date AS VARCHAR) AS date, CASE WHEN row_number() OVER (ORDER BY date DESC) <= 7 THEN 'test' ELSE 'train' END AS part FROM dd")

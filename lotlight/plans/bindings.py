@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +18,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that all executors share; only in one process, as in tests, may that be a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="lotlight-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("spot_id", F.concat(F.lit("U"), F.col("user_id") % 8))
 
@@ -48,6 +65,42 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.row_number().over(order).alias("n"), b.alias("box"), F.col("l_extendedprice").alias("score"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"))
 
 
+WIDTH, HEIGHT, CAMERAS = 112, 92, 100
+
+
+def camera_frames(spark: SparkSession, d: str) -> DataFrame:
+    """camera, t, ts, n, x1 to y2: every order is a frame of one of a hundred cameras, a quarter of an hour after the camera's one before."""
+    b = boxes(spark, d)
+    t = (F.col("frame") / CAMERAS).cast("int")
+    return b.select((F.col("frame") % CAMERAS).cast("int").alias("camera"), t.alias("t"), F.timestamp_seconds(t * 900).cast("timestamp_ntz").alias("ts"), "n", "box.*")
+
+
+def drawn(frames: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
+    """`keys`, pixels, height, width: boxes (x1 to y2, in order of n) as ringed red rectangles on a gray ground that differs a little from frame to frame."""
+    own = frames.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", F.array("x1", "y1", "x2", "y2").alias("b")))).alias("boxes"))  # one frame's boxes
+    kinds = dict(own.dtypes)
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            made = []
+            for r in pdf.to_dict("records"):
+                rng = np.random.default_rng([seed, zlib.crc32(repr([r[k] for k in keys]).encode())])
+                img = np.full((HEIGHT, WIDTH, 3), 100, np.uint8) + rng.integers(0, 12, (HEIGHT // 4, WIDTH // 4, 1), np.uint8).repeat(4, 0).repeat(4, 1)
+                for one in r["boxes"]:
+                    x1, y1, x2, y2 = (int(v) for v in one["b"])
+                    img[y1:y2, x1:x2] = (200, 60, 60)
+                    img[y1 + 3 : y2 - 3, x1 + 3 : x2 - 3] = (30, 30, 30)
+                made.append(img.tobytes())
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "pixels": made, "height": HEIGHT, "width": WIDTH})
+
+    return own.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pixels binary, height int, width int")
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     return labels.join(docs, "doc_id").select("doc_id", F.col("quality").alias("truth"), (F.col("n_chars") > 500).cast("int").alias("pred"), F.col("n_chars").cast("double").alias("score"), F.col("source").alias("grp"), "lang")

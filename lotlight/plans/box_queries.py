@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lotlight.functions import boxes as bx
 from lotlight.operators import box_algorithms as ba
+from lotlight.operators import detector as det
 from lotlight.operators import discovery, metrics
-from lotlight.plans.bindings import BOXES, boxes, iou_sql
+from lotlight.plans.bindings import BOXES, HEIGHT, WIDTH, boxes, camera_frames, drawn, iou_sql
 from lotlight.plans.registry import query
 
 IOU = iou_sql("a", "b")
@@ -40,14 +41,17 @@ def flt_ignore_regions(spark, d):
     return near.select("frame", F.col("na").alias("n")).distinct()
 
 
-@query("flt_hard_negative", f"""WITH {BOXES}, o AS (SELECT a.frame, a.n, a.score, coalesce(max(CASE WHEN b.flag = 'R' THEN {IOU} END), 0) AS known FROM bx a LEFT JOIN bx b ON a.frame = b.frame AND a.n <> b.n WHERE a.score / 100000 >= 0.3 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n) AS place FROM o WHERE known < 0.3) SELECT frame, CAST(n AS INTEGER) AS n FROM k WHERE place <= 2""")
+@query("flt_hard_negative", f"""WITH {BOXES}, o AS (SELECT a.frame, a.n, coalesce(max(CASE WHEN b.flag = 'R' THEN {IOU} END), 0) AS known, coalesce(max(CASE WHEN b.flag = 'N' THEN {IOU} END), 0) AS empty
+FROM bx a LEFT JOIN bx b ON a.frame = b.frame WHERE a.score / 100000 >= 0.3 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n) AS place FROM o WHERE known < 0.3 AND (frame % 2 = 0 OR empty > 0.5)) SELECT frame, CAST(n AS INTEGER) AS n FROM k WHERE place <= 2""")
 def flt_hard_negative(spark, d):
-    b = boxes(spark, d)
-    near = pairs(b).where((F.col("na") != F.col("nb")) & (F.col("flag") == "R") & (bx.iou(F.col("a"), F.col("b")) >= 0.3)).select("frame", F.col("na").alias("n"))
-    far = b.where(F.col("score") / 100000 >= 0.3).join(near, ["frame", "n"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("frame").orderBy("n"))
-    return far.withColumn("place", place).where("place <= 2").select("frame", "n")
+    """Boxes as windows of the second stage; R are cars, N known empty boxes, and even frames allow negatives anywhere."""
+    b = flat(spark, d)
+    own = lambda flag: F.collect_list(F.when(F.col("flag") == flag, F.array(*ba.COLUMNS)))
+    scenes = b.groupBy(F.col("frame").alias("path")).agg(own("R").alias("cars"), own("N").alias("negatives"))
+    scenes = scenes.withColumns({"ignore": F.array().cast("array<array<double>>"), "random_negatives": F.col("path") % 2 == 0})
+    windows = b.select(F.col("frame").alias("path"), "n", *ba.COLUMNS, (F.col("score") / 100000).alias("score"))
+    return det.hard_negatives(windows, scenes, 0.5, 2).select(F.col("path").alias("frame"), "n")
 
 
 _NMS = f"""WITH RECURSIVE {BOXES}, go AS (SELECT frame, n, [n] AS kept FROM bx WHERE n = 1 UNION ALL
@@ -60,12 +64,11 @@ def nms(spark, d):
     return ba.nms(flat(spark, d).select("frame", "n", "x1", "y1", "x2", "y2"), 0.3)
 
 
-@query("agg_weighted_box", f"""{_NMS}, kp AS (SELECT frame, unnest(kept) AS n FROM fin) SELECT a.frame, CAST(a.n AS INTEGER) AS n, {', '.join(f'round(sum(b.{c} * b.score) / sum(b.score), 4) AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))}
-FROM kp JOIN bx a ON a.frame = kp.frame AND a.n = kp.n JOIN bx b ON b.frame = a.frame AND {IOU} >= 0.5 GROUP BY ALL""")
+@query("agg_weighted_box", f"""{_NMS}, kp AS (SELECT frame, unnest(kept) AS n FROM fin) SELECT a.frame, any_value(a.score) AS score, {', '.join(f'round(sum(b.{c} * b.score) / sum(b.score), 4) AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))}
+FROM kp JOIN bx a ON a.frame = kp.frame AND a.n = kp.n JOIN bx b ON b.frame = a.frame AND {IOU} >= 0.5 GROUP BY a.frame, a.n""")
 def agg_weighted_box(spark, d):
-    every = pairs(boxes(spark, d)).join(nms(spark, d).withColumnRenamed("n", "na"), ["frame", "na"]).where(bx.iou(F.col("a"), F.col("b")) >= 0.5)
-    mean = lambda c: F.round(F.sum(F.col(f"b.{c}") * F.col("sb")) / F.sum("sb"), 4).alias(c)
-    return every.groupBy("frame", F.col("na").alias("n")).agg(*[mean(c) for c in ("x1", "y1", "x2", "y2")])
+    out = ba.nms_vote(flat(spark, d), 0.3)
+    return out.select("frame", "score", *[F.round(c, 4).alias(c) for c in ba.COLUMNS])
 
 
 @query("top_k_windows", f"WITH {BOXES} SELECT frame, CAST(n AS INTEGER) AS n, score FROM bx WHERE n <= 3")
@@ -105,46 +108,84 @@ def geo_order_quad(spark, d):
     return o.select("frame", *[F.get("o", F.lit(k))[c].alias(f"{name}_{c}") for k, name in enumerate(("tl", "tr", "br", "bl")) for c in ("x", "y")])
 
 
-@query("jn_iou_match_greedy")
+def greedy_sql(kinds: str, least: float) -> str:
+    """Detections (det) in order take the free truth they overlap most; those on ignored boxes that take none are left out."""
+    return f"""WITH RECURSIVE {BOXES}, kd AS (SELECT *, {kinds} AS kind FROM bx), dt AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n) AS k FROM kd WHERE kind = 'det'),
+best AS (SELECT a.frame, a.k, a.n, b.n AS tn, {IOU} AS o FROM dt a JOIN kd b ON b.frame = a.frame AND b.kind = 'truth' AND {IOU} >= {least}),
+shade AS (SELECT DISTINCT a.frame, a.n FROM dt a JOIN kd b ON b.frame = a.frame AND b.kind = 'ignore' AND {IOU} >= {least}),
+go AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS took FROM dt UNION ALL
+SELECT g.frame, x.k, CASE WHEN x.tn IS NULL THEN g.used ELSE list_append(g.used, x.tn) END, x.n, x.tn
+FROM go g JOIN LATERAL (SELECT d.k, d.n, (SELECT arg_max(b.tn, (b.o, -b.tn)) FROM best b WHERE b.frame = d.frame AND b.k = d.k AND NOT list_contains(g.used, b.tn)) AS tn FROM dt d WHERE d.frame = g.frame AND d.k = g.k + 1) x ON true),
+gm AS (SELECT g.frame, g.n, CAST(g.took IS NOT NULL AS INTEGER) AS hit FROM go g LEFT JOIN shade s ON s.frame = g.frame AND s.n = g.n WHERE g.k > 0 AND (g.took IS NOT NULL OR s.n IS NULL))"""
+
+
+_GREEDY = "CASE flag WHEN 'R' THEN 'truth' WHEN 'A' THEN 'det' ELSE CASE WHEN n % 2 = 0 THEN 'ignore' ELSE 'det' END END"
+
+
+@query("jn_iou_match_greedy", f"{greedy_sql(_GREEDY, 0.3)} SELECT frame, CAST(n AS INTEGER) AS n, hit FROM gm")
 def jn_iou_match_greedy(spark, d):
     kind = F.when(F.col("flag") == "R", "truth").when(F.col("flag") == "A", "det").otherwise(F.when(F.col("n") % 2 == 0, "ignore").otherwise("det"))
     return ba.greedy_matches(flat(spark, d).withColumn("kind", kind), 0.3)
 
 
-@query("jn_hungarian")
+NEW = "flag = 'N'"
+
+
+def assign_sql(first: str) -> str:
+    """Of all ways to pair boxes of the first kind one to one with others that they overlap, the one of greatest total overlap."""
+    return f"""WITH RECURSIVE {BOXES}, aa AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY n) AS k FROM bx WHERE {first}),
+pr AS (SELECT a.frame, a.k, a.n AS na, b.n AS nb, {IOU} AS o FROM aa a JOIN bx b ON b.frame = a.frame AND NOT ({first.replace('flag', 'b.flag')}) AND {IOU} > 0),
+go AS (SELECT DISTINCT frame, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS total, CAST([] AS BIGINT[]) AS used, CAST([] AS STRUCT(na BIGINT, nb BIGINT, o DOUBLE)[]) AS pairs FROM aa UNION ALL
+SELECT g.frame, g.k + 1, g.total + coalesce(x.o, 0), CASE WHEN x.nb IS NULL THEN g.used ELSE list_append(g.used, x.nb) END, CASE WHEN x.nb IS NULL THEN g.pairs ELSE list_append(g.pairs, {{'na': x.na, 'nb': x.nb, 'o': x.o}}) END
+FROM go g JOIN aa ON aa.frame = g.frame AND aa.k = g.k + 1 JOIN (SELECT frame, k, na, nb, o FROM pr UNION ALL SELECT frame, k, n, NULL, NULL FROM aa) x ON x.frame = aa.frame AND x.k = aa.k AND (x.nb IS NULL OR NOT list_contains(g.used, x.nb))),
+fin AS (SELECT frame, arg_max(pairs, total) AS pairs FROM (SELECT g.* FROM go g JOIN (SELECT frame, max(k) AS k FROM aa GROUP BY frame) m ON m.frame = g.frame AND m.k = g.k) GROUP BY frame),
+mt AS (SELECT frame, unnest(pairs, recursive := true) FROM fin)"""
+
+
+@query("jn_hungarian", f"{assign_sql(NEW)} SELECT frame, CAST(na AS INTEGER) AS n_a, CAST(nb AS INTEGER) AS n_b, round(o, 6) AS overlap FROM mt WHERE o >= 0.2")
 def jn_hungarian(spark, d):
     return ba.best_matches(flat(spark, d).withColumn("kind", F.when(F.col("flag") == "N", "a").otherwise("b")), 0.2).withColumn("overlap", F.round("overlap", 6))
 
 
-@query("disc_cluster")
-def disc_cluster(spark, d):
-    f = flat(spark, d).where("frame % 20 = 0").select((F.col("supp") % 10).alias("camera"), F.col("frame").alias("t"), *ba.COLUMNS)
-    return ba.sites(f).select("camera", "site", "n_members", *[F.round(c, 6).alias(c) for c in ba.COLUMNS])
+def _evaluated(spark, d):
+    """Orders as cameras: boxes flagged N are discovered spots, every other of them confirmed; all other boxes are bays."""
+    b = flat(spark, d)
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    square = F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))
+    spots = b.where("flag = 'N'").select(F.col("frame").alias("camera"), F.format_string("S%02d", "n").alias("id"), square.alias("polygon"), F.when(F.col("n") % 2 == 0, "confirmed").otherwise("candidate").alias("status"))
+    bays = b.where("flag <> 'N'").select(F.col("frame").alias("camera"), F.format_string("B%02d", "n").alias("bay"), F.col("flag").alias("kind"), *ba.COLUMNS)
+    return discovery.evaluate(spots, bays, 0.3)
+
+
+@query("agg_discovery_eval", f"""{assign_sql(NEW)}, hit AS (SELECT * FROM mt WHERE o >= 0.3),
+t AS (SELECT frame, count(*) FILTER (flag <> 'N') AS n_bays, count(*) FILTER (flag = 'N') AS n_discovered, count(*) FILTER (flag = 'N' AND n % 2 = 0) AS n_confirmed FROM bx GROUP BY frame),
+h AS (SELECT frame, count(*) AS hits, count(*) FILTER (na % 2 = 0) AS sure FROM hit GROUP BY frame)
+SELECT t.frame AS camera, n_bays, n_discovered, n_confirmed, round(coalesce(CAST(hits AS DOUBLE) / nullif(n_discovered, 0), 0), 6) AS precision, round(coalesce(CAST(sure AS DOUBLE) / nullif(n_confirmed, 0), 0), 6) AS precision_confirmed,
+round(coalesce(CAST(hits AS DOUBLE) / nullif(n_bays, 0), 0), 6) AS recall FROM t LEFT JOIN h ON h.frame = t.frame""")
+def agg_discovery_eval(spark, d):
+    one, _ = _evaluated(spark, d)
+    return one.select("camera", "n_bays", "n_discovered", "n_confirmed", *[F.round(c, 6).alias(c) for c in ("precision", "precision_confirmed", "recall")])
 
 
-@query("agg_discovery_eval", f"""{_NMS}, kp AS (SELECT frame, unnest(kept) AS n FROM fin), m AS (SELECT count(*) AS found FROM kp), t AS (SELECT count(*) AS every, count(*) FILTER (flag = 'R') AS bays FROM bx)
-SELECT every, bays, found, round(CAST(found AS DOUBLE) / greatest(every, 1), 6) AS precision, round(least(1.0, CAST(bays AS DOUBLE) / greatest(found, 1)), 6) AS recall FROM m, t""")
-def agg_discovery_eval(spark, d):
-    t = boxes(spark, d).agg(F.count("*").alias("every"), F.count_if(F.col("flag") == "R").alias("bays"))
-    both = t.crossJoin(nms(spark, d).agg(F.count("*").alias("found")))
-    over = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return both.select("every", "bays", "found", F.round(over("found", "every"), 6).alias("precision"), F.round(F.least(F.lit(1.0), over("bays", "found")), 6).alias("recall"))
+@query("disc_eval_table", f"""{assign_sql(NEW)} SELECT b.frame AS camera, printf('B%02d', b.n) AS bay, b.flag AS kind, m.na IS NOT NULL AS found, CASE WHEN m.na IS NOT NULL THEN printf('S%02d', m.na) END AS spot_id,
+CASE WHEN m.na % 2 = 0 THEN 'confirmed' WHEN m.na % 2 = 1 THEN 'candidate' END AS status, round(m.o, 3) AS iou FROM bx b LEFT JOIN mt m ON m.frame = b.frame AND m.nb = b.n AND m.o >= 0.3 WHERE b.flag <> 'N'""")
+def disc_eval_table(spark, d):
+    return _evaluated(spark, d)[1]
 
 
-def detections(spark, d):
-    """Boxes of ten cameras: every twentieth order is a frame, a quarter of an hour after the one before."""
-    f = flat(spark, d).where("frame % 20 = 0")
-    return f.select((F.col("supp") % 10).cast("int").alias("camera"), (F.col("frame") / 20).cast("int").alias("t"), *ba.COLUMNS)
+LOOSE = discovery.DiscoveryConfig(match_iou=0.3, min_density=0.1, min_stay_minutes=15)
 
 
 def _analysed(spark, d):
-    seen = detections(spark, d)
-    frames = seen.select("camera", "t").distinct().withColumn("ts", F.timestamp_seconds(F.col("t") * 900).cast("timestamp_ntz"))
-    sites = discovery.find_sites(seen, LOOSE)
-    return sites, *discovery.analyse(sites, frames, seen, None, LOOSE)
+    seen = camera_frames(spark, d)
+    shots = drawn(seen, ["camera", "t", "ts"])
+    sites = discovery.find_sites(seen, LOOSE).persist()
+    return sites, *discovery.analyse(sites, shots, seen, LOOSE)
 
 
-LOOSE = discovery.DiscoveryConfig(match_iou=0.3, min_density=0.1, min_stay_minutes=15)
+@query("disc_cluster")
+def disc_cluster(spark, d):
+    return discovery.find_sites(camera_frames(spark, d), LOOSE).select("camera", "site", "n_members", *[F.round(c, 6).alias(c) for c in ba.COLUMNS])
 
 
 @query("disc_presence")
@@ -160,20 +201,25 @@ def disc_analyse(spark, d):
 @query("disc_spots")
 def disc_spots(spark, d):
     sites, _, summary = _analysed(spark, d)
-    return discovery.named_spots(sites, summary, 120, 60, True, LOOSE).select("camera", "id", "status", "n_stays", "occupancy_rate")
+    return discovery.named_spots(sites, summary, WIDTH, HEIGHT, True, LOOSE).select("camera", "id", "status", "n_stays", "n_departures", "n_arrivals", "occupancy_rate", "car_box")
 
 
 @query("disc_log")
 def disc_log(spark, d):
     sites, presence, summary = _analysed(spark, d)
-    return discovery.occupancy_log(presence, discovery.named_spots(sites, summary, 120, 60, True, LOOSE))
+    return discovery.occupancy_log(presence, discovery.named_spots(sites, summary, WIDTH, HEIGHT, True, LOOSE))
+
+
+_AP = "CASE flag WHEN 'R' THEN 'truth' WHEN 'A' THEN 'det' ELSE 'ignore' END"
 
 
-@query("det_average_precision")
+@query("det_average_precision", f"""{greedy_sql(_AP, 0.3)}, c AS (SELECT score, count(*) AS n, sum(hit) AS tp FROM gm JOIN bx USING (frame, n) GROUP BY score), p AS (SELECT *, CAST(sum(tp) OVER w AS DOUBLE) / sum(n) OVER w AS p FROM c WINDOW w AS (ORDER BY score DESC)),
+e AS (SELECT *, max(p) OVER (ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM p), g AS (SELECT count(*) AS n_gt FROM bx WHERE flag = 'R')
+SELECT round(sum(tp * env) / any_value(n_gt), 6) AS ap, round(CAST(sum(tp) AS DOUBLE) / sum(n), 6) AS precision, round(CAST(sum(tp) AS DOUBLE) / any_value(n_gt), 6) AS recall, any_value(n_gt) AS n_gt FROM e, g""")
 def det_average_precision(spark, d):
     """Average precision of one flag's boxes as detections of another's, over all frames."""
     b = flat(spark, d)
     kind = F.when(F.col("flag") == "R", "truth").when(F.col("flag") == "A", "det").otherwise("ignore")
-    hits = ba.greedy_matches(b.withColumn("kind", kind), 0.3).join(b.select("frame", "n", "score"), ["frame", "n"]).withColumn("every", F.lit("all"))
-    n_gt = b.where("flag = 'R'").count()
-    return metrics.average_precision(hits, n_gt, [F.desc("score"), F.asc("frame"), F.asc("n")], ["every"]).select(F.round("ap", 6).alias("ap"), F.lit(n_gt).alias("n_gt"))
+    hits = ba.greedy_matches(b.withColumn("kind", kind), 0.3).join(b.select("frame", "n", "score"), ["frame", "n"]).select("score", "hit")
+    out = metrics.average_precision(hits, b.agg(F.count_if(F.col("flag") == "R").alias("n_gt")))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("ap", "precision", "recall")], "n_gt")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotlight.operators import sequences as sq
 from lotlight.plans.bindings import EVENTS, LOG, events, log, table
+from lotlight.operators.learning import draw
 from lotlight.plans.registry import query
 
 
@@ -63,10 +64,10 @@ def prj_columns(spark, d):
     return table(spark, d, "embeddings").select("vec_id", total.alias("block_sum"), F.size(block).alias("n"))
 
 
-@query("smp_without_replacement")
+@query("smp_without_replacement", "SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|0'), o_orderkey LIMIT 100")
 def smp_without_replacement(spark, d):
     """A seeded sample of 100 orders in their own order: those whose keys hash lowest."""
-    drawn = table(spark, d, "orders").select("o_orderkey").orderBy(F.xxhash64("o_orderkey", F.lit(0)), "o_orderkey").limit(100)
+    drawn = table(spark, d, "orders").select("o_orderkey").orderBy(draw("o_orderkey"), "o_orderkey").limit(100)
     return drawn.orderBy("o_orderkey")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Names of folders that label what they hold, and file endings of images.
 EMPTY_NAMES, OCCUPIED_NAMES = ("empty", "free", "vacant", "0"), ("occupied", "busy", "full", "1")
 IMAGE_NAMES = r"(?i)\.(jpg|jpeg|png|bmp)$"
+IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,JPG,JPEG,PNG,BMP}"
 WEATHER = {"S": "SUNNY", "O": "OVERCAST", "R": "RAINY"}
 BOX = "array<double>"
 BOXES = "array<array<double>>"
@@ -65,11 +66,35 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     folder = F.element_at(F.split("file", "/"), -2)
     ts = F.to_timestamp_ntz("timestamp")
     group = F.coalesce("group", F.when(ts.isNotNull(), F.concat_ws(":", folder, F.to_date(ts).cast("string"))).otherwise(folder))
-    return f.select("image", "cars", F.coalesce("random_negatives", F.lit(True)).alias("random_negatives"), ts.alias("ts"), group.alias("grp"))
+    none = F.array().cast(BOXES)
+    boxes = [F.coalesce(c, none).alias(c) for c in ("cars", "negatives")]
+    return f.select("image", *boxes, F.coalesce("random_negatives", F.lit(True)).alias("random_negatives"), ts.alias("ts"), group.alias("grp"))
+
+
+def voc_root(spark: SparkSession, root: str) -> str:
+    """The folder that holds Annotations: `root` or one below it, on any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    level, found = [path], []
+    for _ in range(6):  # levels of folders
+        folders = [s.getPath() for p in level for s in fs.listStatus(p) if s.isDirectory()]
+        if level == [path] and any(f.getName() == "Annotations" for f in folders):
+            return root
+        found += [f for f in level if any(x.getName() == "Annotations" and x.getParent().equals(f) for x in folders)]
+        level = [f for f in folders if f.getName() not in ("Annotations", "JPEGImages", "ImageSets")]
+        if not level:
+            break
+    if not found:
+        raise ValueError(f"no Annotations under {root}")
+    return min((f.getName() != "VOC2007", f.toString()) for f in found)[1]
 
 
 def read_voc(spark: SparkSession, root: str, split: str = "trainval", cls: str = "car", n_background: int | None = None, seed: int = 0) -> DataFrame:
-    """id, cars, ignore, with_cls: images of the split, those with the class first; mins are shifted by one, difficult objects ignored."""
+    """id, cars, ignore, with_cls: images of the split, those with the class first; mins are shifted by one, difficult objects ignored.
+
+    If `root` has no Annotations, the first folder below it that has is taken, one named VOC2007 before others.
+    """
+    root = voc_root(spark, root)
     ids = spark.read.text(f"{root}/ImageSets/Main/{split}.txt").select(F.trim("value").alias("id")).where("id <> ''").withColumn("place", F.monotonically_increasing_id())
     box = "xmin double, ymin double, xmax double, ymax double"
     schema = f"object array<struct<name:string,difficult:string,bndbox:struct<{box.replace(' ', ':').replace(',:', ',')}>>>"
@@ -107,12 +132,20 @@ def read_cnr(spark: SparkSession, root: str, cameras: list[int] | None = None, f
     return out.select("camera", "ts", "image", "weather", "cars", "negatives", "slots", F.concat(F.lit("camera"), "camera", F.lit(":"), F.to_date("ts").cast("string")).alias("grp")).orderBy("camera", "ts")
 
 
-def frame_times(spark: SparkSession, root: str, pattern: str = "yyyyMMdd_HHmm") -> DataFrame:
+TIMED, TIME = r"^\d{8}_\d{4}$", "yyyyMMdd_HHmm"
+
+
+def with_times(frames: DataFrame, changed: Column | None = None) -> DataFrame:
+    """`frames` (path) with ts: the time in the file's name, or else `changed`."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    named = F.when(stem.rlike(TIMED), F.to_timestamp_ntz(stem, F.lit(TIME)))
+    return frames.withColumn("ts", named if changed is None else F.coalesce(named, changed))
+
+
+def frame_times(spark: SparkSession, root: str) -> DataFrame:
     """path, ts of image files: the time in the name, or else when the file was changed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("path").rlike(IMAGE_NAMES))
-    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    named = F.when(stem.rlike(r"^\d{8}_\d{4}$"), F.to_timestamp_ntz(stem, F.lit(pattern)))
-    return files.select("path", F.coalesce(named, F.col("modificationTime").cast("timestamp_ntz")).alias("ts")).orderBy("ts", "path")
+    return with_times(files, F.col("modificationTime").cast("timestamp_ntz")).select("path", "ts").orderBy("ts", "path")
 
 
 def sampled(frames: DataFrame, fps: float, every_seconds: float, number: str = "i") -> DataFrame:
@@ -121,9 +154,9 @@ def sampled(frames: DataFrame, fps: float, every_seconds: float, number: str = "
     return frames.where(F.pmod(F.col(number), F.lit(step)) == 0)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, pixels (RGB), height, width; an undecodable image is an error."""
-    img = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
+def decoded(img: DataFrame) -> DataFrame:
+    """path, pixels (RGB), height, width of Spark's image column; an undecodable image is an error."""
+    img = img.select("image.*")
     checked = F.when(F.col("mode") < 0, F.raise_error(F.concat(F.lit("can't decode "), F.col("origin")))).otherwise(F.col("data"))
     raw = img.select(F.col("origin").alias("path"), checked.alias("bgr"), "height", "width", "nChannels")
 
@@ -140,6 +173,24 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInPandas(swap, "path string, pixels binary, height int, width int")
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, pixels (RGB), height, width of all images under `path`."""
+    return decoded(spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(path))
+
+
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """`read_images` with ts."""
+    return read_images(spark, path).join(frame_times(spark, path).select(F.regexp_replace("path", "^file:/*", "file:///").alias("path"), "ts"), "path")
+
+
+def scenes_of(frames: DataFrame, images: DataFrame, key: str = "image") -> DataFrame:
+    """Annotated frames with their pixels: path, pixels, height, width, cars, negatives, ignore, random_negatives, grp; what is missing is empty, true, or the path."""
+    none = F.array().cast(BOXES)
+    have = lambda c, otherwise: F.coalesce(F.col(c), otherwise).alias(c) if c in frames.columns else otherwise.alias(c)
+    own = frames.select(F.element_at(F.split(key, "/"), -1).alias("name"), *[have(c, none) for c in ("cars", "negatives", "ignore")], have("random_negatives", F.lit(True)), have("grp", F.element_at(F.split(key, "/"), -1)))
+    return images.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(own, "name").drop("name")
+
+
 def boxes_of(frames: DataFrame, column: str | Column, key: str = "image") -> DataFrame:
     """key, n, x1 to y2 of an array column of boxes."""
     c = F.col(column) if isinstance(column, str) else column

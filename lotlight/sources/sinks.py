@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import json
-from collections.abc import Iterator
+from dataclasses import asdict
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlight.operators import images
+from lotlight.operators import frames, images
+from lotlight.operators.learning import Candidate, Fitted
 
 
 def append_log(log: DataFrame, path: str) -> None:
@@ -25,32 +25,39 @@ def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     out.option("header", "true").csv(path) if form == "csv" else out.json(path)
 
 
-def write_crops(frames: DataFrame, spots: DataFrame, path: str, size: int = 64) -> None:
+def write_crops(shots: DataFrame, spots: DataFrame, path: str, size: int = 64, by: list[str] | None = None) -> None:
     """An upright RGB patch of each frame (path, pixels, height, width, labels: map of spot to 0 or 1) and spot, by label folder.
 
     Patches are raw pixels with their size in Parquet, partitioned by label.
     """
-    label = F.coalesce(F.element_at(F.create_map(F.lit(0), F.lit("empty"), F.lit(1), F.lit("occupied")), F.try_element_at("labels", F.col("id"))), F.lit("unlabeled"))
-    corners = F.flatten(F.transform("polygon", lambda p: F.array(p["x"], p["y"])))
-    pairs = frames.crossJoin(spots.select("id", corners.alias("corners"))).withColumn("label", label)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cut = [images.warp(np.frombuffer(p, np.uint8).reshape(h, w, 3), np.asarray(c).reshape(4, 2), size, size).tobytes() for p, h, w, c in zip(pdf.pixels, pdf.height, pdf.width, pdf.corners)]
-            yield pdf.assign(patch=cut)[["path", "id", "label", "patch"]]
-
-    made = pairs.select("path", "id", "label", "pixels", "height", "width", "corners").mapInPandas(run, "path string, id string, label string, patch binary")
-    made.write.mode("overwrite").partitionBy("label").parquet(path)
-
-
-def save_model(model: PipelineModel, path: str, sidecar: dict) -> None:
-    """A fitted pipeline, and what goes with it as JSON beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    SparkSession.active().createDataFrame([(json.dumps(sidecar),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
-
-
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/sidecar").first()[0])
+    made = frames.spot_patches(shots, spots, {"path": F.col("path"), "labels": F.col("labels")}, by, (size, size))
+    state = F.try_element_at("labels", F.col("spot_id"))
+    label = F.when(state == 1, "occupied").when(state == 0, "empty").otherwise("unlabeled")
+    made.select("path", F.col("spot_id").alias("id"), label.alias("label"), F.col("pixels").alias("patch")).write.mode("overwrite").partitionBy("label").parquet(path)
+
+
+def print_status(log: DataFrame, limit: int = 1000) -> None:
+    """The last `limit` frames of a log on the console, one line each."""
+    for r in reversed(frames.status_lines(log).orderBy(F.desc("ts")).limit(limit).collect()):
+        print(r["line"])
+
+
+def save_model(fitted: Fitted, path: str, sidecar: dict | None = None) -> None:
+    """A fitted candidate: what stands before the model, the model, and all else, with `sidecar`, as JSON beside them."""
+    fitted.before.write().overwrite().save(f"{path}/before")
+    fitted.model.write().overwrite().save(f"{path}/model")
+    own = {"candidate": asdict(fitted.candidate), "class": f"{type(fitted.model).__module__}.{type(fitted.model).__name__}", "width": fitted.width, "gamma": fitted.gamma}
+    SparkSession.active().createDataFrame([(json.dumps({**own, "sidecar": sidecar or {}}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
+    """The fitted candidate and its sidecar."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    module, name = about["class"].rsplit(".", 1)
+    if not module.startswith("pyspark.ml."):
+        raise ValueError(f"{path} holds no model of Spark")
+    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+    return Fitted(Candidate(**about["candidate"]), PipelineModel.load(f"{path}/before"), model, about["width"], about["gamma"]), about["sidecar"]
 
 
 def cached_features(patches: DataFrame, path: str, config: images.FeatureConfig = images.FeatureConfig()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +32,12 @@ def smooth_stream(log: DataFrame, window: int) -> DataFrame:
     return log.groupBy("spot_id").applyInPandasWithState(run, "event_id long, spot_id string, smoothed int", "last array<int>", "append", "NoTimeout")
 
 
-def booking_stream(asked: DataFrame) -> DataFrame:
-    """request, spot_id, booked: requests (ts, spot_id, start, end) in order; a spot's bookings are its state."""
+def booking_stream(asked: DataFrame, keep: str = "30 days") -> DataFrame:
+    """request, spot_id, booked: requests (start, end) in order; a spot's bookings are its state, sorted, so that one lookup tells.
+
+    Bookings that ended `keep` before the latest start seen on the spot are forgotten; none that begins earlier is expected.
+    """
+    span = pd.Timedelta(keep).value
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         starts, ends = map(list, state.get) if state.exists else ([], [])
@@ -40,17 +45,27 @@ def booking_stream(asked: DataFrame) -> DataFrame:
         out = []
         for r in every.itertuples():
             a, b = r.start.value, r.end.value
-            ok = not any(x < b and a < y for x, y in zip(starts, ends))
+            k = bisect_left(starts, b)  # bookings don't overlap: of those that start before the end, the last ends last
+            ok = not (k and ends[k - 1] > a)
             if ok:
-                starts.append(a)
-                ends.append(b)
+                starts.insert(k, a)
+                ends.insert(k, b)
             out.append(ok)
-        state.update((starts, ends))
+        gone = bisect_left(ends, max(every.start).value - span)
+        state.update((starts[gone:], ends[gone:]))
         yield pd.DataFrame({"request": every.request, "spot_id": key[0], "booked": out})
 
     return asked.groupBy("spot_id").applyInPandasWithState(run, "request long, spot_id string, booked boolean", "starts array<long>, ends array<long>", "append", "NoTimeout")
 
 
+def image_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """path, ts (in the name, or when the file was changed), pixels, height, width of images as they come."""
+    from lotlight.sources import annotations
+
+    kind = spark.read.format("image").load(folder).schema
+    return annotations.with_times(annotations.decoded(spark.readStream.format("image").schema(kind).load(folder)))
+
+
 def run_once(stream: DataFrame, where: str, mode: str = "append") -> DataFrame:
     """All that is there, to Parquet under `where` with its checkpoint beside it; a second call goes on from there."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).format("parquet").start(f"{where}/out")

@@ -10,8 +10,9 @@ from lotlight.functions.boxes import iou, order_quad
 from lotlight.functions.time import window_cells
 from lotlight.operators import availability as av
 from lotlight.operators import box_algorithms as ba
-from lotlight.operators import discovery, images, intervals, sequences
-from lotlight.operators.detector import Detector, DetectorConfig, HogScorer, detect_frames, sample_patches
+from lotlight.operators import detector as det
+from lotlight.operators import discovery, images, intervals, learning, metrics, sequences, simulation
+from lotlight.operators import frames as fr
 
 
 def day_log(days=21, spots=6, seed=2):
@@ -225,7 +226,12 @@ def test_features():
     assert images.hsv(red)[0, 0].tolist() == [0, 255, 255] and images.gray(red)[0, 0] == 76
     ramp = np.tile(np.arange(64, dtype=np.uint8)[None, :, None], (64, 1, 3))
     assert np.abs(images.warp(ramp, [(0, 0), (63, 0), (63, 63), (0, 63)]).astype(int) - ramp).max() <= 1
-    assert images.crop(ramp, (-5, -5, 2, 2)) is None and images.change(None, None) == 0.0
+    parts = images.cut(ramp, np.array([(-5, -5, 2, 2), (2.5, 3.5, 90, 70), (70, 0, 80, 10)]))
+    assert parts[0] is None and parts[2] is None and parts[1].shape == (60, 62, 3)
+    thumb, scale = images.thumbnail(np.zeros((300, 960, 3), np.uint8))
+    assert thumb.shape == (150, 480) and scale == 0.5
+    look = images.looks(ramp[..., 0], np.array([(0, 0, 40, 40), (0, 0, 3, 3)]))
+    assert abs(look[0].mean()) < 1e-9 and abs(look[0].std() - 1) < 1e-3 and look[1] is None
 
 
 def scene(cars, seed=0, size=(160, 240)):
@@ -238,21 +244,99 @@ def scene(cars, seed=0, size=(160, 240)):
     return img
 
 
-def test_detector_finds_cars(spark):
-    cars = [np.array([[20, 30, 84, 94]]), np.array([[120, 60, 184, 124]]), np.array([[60, 80, 124, 144], [150, 8, 214, 72]])]
-    data = [p for k, c in enumerate(cars) for p in sample_patches(scene(c, k), c, np.empty((0, 4)), [(64, 64)], seed=k)]
-    labels = np.array([y for _, y in data])
-    assert set(labels) == {0, 1}
-    scorer = HogScorer.fit([p for p, _ in data], labels)
-    x = np.stack([np.concatenate(list(images.extract(p).values())) for p, _ in data])
-    up, down = x[labels == 1].mean(0), x[labels == 0].mean(0)
-    near = lambda f: 1 / (1 + np.exp(20 * (np.linalg.norm(f - up, axis=1) / np.linalg.norm(f - down, axis=1) - 0.9)))
-    d = Detector(scorer, near, DetectorConfig(windows=[(64, 64)]))
-    img = scene([[80, 48, 144, 112]], 9)
-    frames = spark.createDataFrame([("f", bytearray(img.tobytes()), *img.shape[:2])], "path string, pixels binary, height int, width int")
-    found = detect_frames(frames, d).orderBy(F.desc("score")).collect()
-    assert found and ba.iou_matrix([[found[0].x1, found[0].y1, found[0].x2, found[0].y2]], [[80, 48, 144, 112]])[0, 0] > 0.5
-    assert len(d.hard_negatives(img, np.array([[80, 48, 144, 112.0]]), np.empty((0, 4)))) == 0
+def shots(spark, cars, seed=0):
+    """Scenes as a DataFrame: path, pixels, height, width, cars, negatives, ignore, random_negatives."""
+    rows = []
+    for k, c in enumerate(cars):
+        img = scene(c, seed + k)
+        rows.append((f"f{seed + k}", bytearray(img.tobytes()), *img.shape[:2], [[float(v) for v in b] for b in c], [], [], True))
+    boxes = "array<array<double>>"
+    return spark.createDataFrame(rows, f"path string, pixels binary, height int, width int, cars {boxes}, negatives {boxes}, ignore {boxes}, random_negatives boolean")
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    c = images.FeatureConfig(blocks=("hog", "rgb"))
+    more = [[[float(x), float(y), x + 64.0, y + 64.0]] for x, y in ((9, 57), (40, 12), (95, 33), (160, 80), (130, 20), (77, 51))]
+    train = shots(spark, [[[20, 30, 84, 94]], [[120, 60, 184, 124]], [[60, 80, 124, 144], [150, 8, 214, 72]], *more])
+    patches = det.sample_patches(train, [(64, 64)]).persist()
+    rows = det.with_features(images.feature_frame(patches, c).drop("pixels"), c).withColumn("label", F.col("label").cast("double"))
+    fitted = learning.Candidate("all | logreg", list(range(sum(c.widths().values()))), "logreg").fit(rows)
+    return c, patches, det.fit_scorer(patches), fitted
+
+
+def test_detector_finds_cars(spark, trained):
+    c, patches, scorer, fitted = trained
+    counts = {(r.path, r.label): r["count"] for r in patches.groupBy("path", "label").count().collect()}
+    assert {counts[f"f{k}", 1] for k in (0, 1)} == {4} and counts["f2", 1] == 8 and all(0 < counts[f"f{k}", 0] <= 30 for k in range(3))
+    d = det.DetectorConfig(max_windows=80)
+    test = shots(spark, [[[80, 48, 144, 112]], [[16, 56, 80, 120]], []], 30)
+    windows = det.scored(test, scorer, fitted, d, c).persist()
+    found = det.detect(windows, d).orderBy(F.desc("score")).collect()
+    best = {r.frame: [r.x1, r.y1, r.x2, r.y2] for r in reversed(found)}
+    assert ba.iou_matrix([best["f30"]], [[80, 48, 144, 112]])[0, 0] > 0.5 and ba.iou_matrix([best["f31"]], [[16, 56, 80, 120]])[0, 0] > 0.5
+    hard = det.hard_negatives(windows, test, 0.01, 3)
+    near = {r.path: max(ba.iou_matrix([[r.x1, r.y1, r.x2, r.y2]], [[80, 48, 144, 112.0]]).max(), 0) for r in hard.collect() if r.path == "f30"}
+    assert all(v < 0.3 for v in near.values())
+    assert det.cut_windows(test, windows.where("n < 2")).where("height = 64 AND width = 64").count() == windows.where("n < 2").count()
+    ap = det.average_precision(det.detect(windows, d), test).first()
+    assert ap.n_gt == 2 and ap.recall == 1.0 and ap.ap > 0.4
+    nothing = det.average_precision(det.detect(windows.where("false"), d), test).first()
+    assert (nothing.ap, nothing.precision, nothing.recall, nothing.n_gt) == (0.0, 0.0, 0.0, 2)
+
+
+def test_hard_negatives_on_spaces(spark):
+    boxes = "array<array<double>>"
+    scenes = spark.createDataFrame([("a", [[0.0, 0.0, 10.0, 10.0]], [[20.0, 0.0, 30.0, 10.0]], [[40.0, 0.0, 50.0, 10.0]], False), ("b", [], [], [], True)], f"path string, cars {boxes}, negatives {boxes}, ignore {boxes}, random_negatives boolean")
+    w = [("a", 0, 1.0, 0.0, 11.0, 10.0, 0.9), ("a", 1, 21.0, 0.0, 31.0, 10.0, 0.8), ("a", 2, 41.0, 0.0, 51.0, 10.0, 0.7), ("a", 3, 60.0, 0.0, 70.0, 10.0, 0.6), ("b", 0, 0.0, 0.0, 5.0, 5.0, 0.31), ("b", 1, 0.0, 0.0, 5.0, 5.0, 0.29)]
+    windows = spark.createDataFrame(w, "path string, n int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert sorted((r.path, r.n) for r in det.hard_negatives(windows, scenes).collect()) == [("a", 1), ("b", 0)]
+
+
+def test_frames_to_log(spark, trained):
+    c, _, _, fitted = trained
+    test = shots(spark, [[[80, 48, 144, 112]], [[10, 60, 74, 124]]], 20).select((F.lit(datetime(2024, 1, 1)) + F.make_dt_interval(mins=F.substring("path", 2, 9).cast("int"))).cast("timestamp_ntz").alias("ts"), "pixels", "height", "width")
+    square = lambda x, y: [(x, y), (x + 32.0, y), (x + 32.0, y + 32.0), (x, y + 32.0)]
+    spots = spark.createDataFrame([("A", square(40.0, 24.0), 120, 80), ("B", square(5.0, 30.0), 120, 80)], "id string, polygon array<struct<x:double,y:double>>, width int, height int")
+    log = fr.classify(test, spots, fitted.score, config=c)
+    assert {(r.ts.minute, r.spot_id): r.occupied for r in log.collect()} == {(20, "A"): 1, (20, "B"): 0, (21, "A"): 0, (21, "B"): 1}
+    assert [r.line.split("  ", 1)[1] for r in fr.status_lines(log).orderBy("ts").collect()] == ["free=1/2  A:X B:.", "free=1/2  A:. B:X"]
+
+
+def loop_sites(frames, match_iou, merge_iou, most):
+    """The definition of sites, worked out anew at each step."""
+    sites = []
+    middle = lambda s: np.median([b for _, b in s], axis=0)
+    for t, boxes in enumerate(frames):
+        pairs = dict(ba.match_best(boxes, np.array([middle(s) for s in sites]).reshape(-1, 4), match_iou))
+        old = len(sites)
+        sites += [[(t, b)] for i, b in enumerate(boxes) if i not in pairs]
+        for i, j in pairs.items():
+            assert j < old
+            sites[j].append((t, boxes[i]))
+    while True:
+        mid = np.array([middle(s) for s in sites]).reshape(-1, 4)
+        o, seen = ba.iou_matrix(mid, mid), [{t for t, _ in s} for s in sites]
+        ok = [(-o[i, j], i, j) for i in range(len(sites)) for j in range(i + 1, len(sites)) if o[i, j] >= merge_iou and len(seen[i] & seen[j]) <= most * min(len(seen[i]), len(seen[j]))]
+        if not ok:
+            return [(middle(s).tolist(), len(s)) for s in sites]
+        _, i, j = min(ok)
+        sites[i] += sites.pop(j)
+
+
+def test_sites_like_a_loop():
+    r = np.random.default_rng(7)
+    for _ in range(25):
+        places = r.uniform(0, 60, (5, 2))
+        frames = []
+        for _ in range(12):
+            at = places[r.random(5) < 0.6] + r.uniform(-6, 6, (1, 2))
+            at = at + r.uniform(-4, 4, at.shape)
+            frames.append(np.hstack([at, at + r.uniform(15, 25, at.shape)]))
+        got = [(s["box"].tolist(), len(s["members"])) for s in ba.track(frames, 0.5, 0.2, 0.3)]
+        want = loop_sites(frames, 0.5, 0.2, 0.3)
+        assert [n for _, n in got] == [n for _, n in want] and np.allclose([b for b, _ in got], [b for b, _ in want])
+    assert ba.track([np.empty((0, 4))]) == []
 
 
 def test_discovery(spark):
@@ -270,8 +354,94 @@ def test_discovery(spark):
     d = spark.createDataFrame(det, "camera int, t int, x1 double, y1 double, x2 double, y2 double")
     f = spark.createDataFrame(frames, "camera int, t int, ts timestamp_ntz")
     sites = discovery.find_sites(d).persist()
-    presence, summary = discovery.analyse(sites, f, d)
+    _, blind = discovery.analyse(sites, f, d)
+    assert {r.status for r in blind.collect()} <= {"candidate", "dropped"}
+    pixels = []
+    for _, t, ts in frames:
+        img = np.random.default_rng(t).integers(90, 110, (240, 320, 3)).astype(np.uint8)
+        for c, tt, x1, y1, x2, y2 in det:
+            if tt == t:
+                img[int(y1) : int(y2), int(x1) : int(x2)] = 200
+                img[int(y1) + 8 : int(y2) - 8, int(x1) + 8 : int(x2) - 8] = 30
+        pixels.append((0, t, ts, bytearray(img.tobytes()), 240, 320))
+    shot = spark.createDataFrame(pixels, "camera int, t int, ts timestamp_ntz, pixels binary, height int, width int")
+    presence, summary = discovery.analyse(sites, shot, d)
     spots = discovery.named_spots(sites, summary, 320, 240).collect()
     assert [(s.id, s.status, s.n_stays, s.n_departures, s.n_arrivals) for s in sorted(spots, key=lambda s: s.id)] == [("S1", "confirmed", 2, 1, 1), ("S2", "candidate", 1, 0, 0)]
+    first = {s.id: s for s in spots}["S1"]
+    look = lambda times: np.mean([images.looks(*(lambda th: (th[0], np.array([first.car_box]) * th[1]))(images.thumbnail(np.frombuffer(pixels[t][3], np.uint8).reshape(240, 320, 3))))[0] for t in times], 0)
+    want = 1 - np.corrcoef(look(range(20)), look(range(20, 40)))[0, 1]
+    got = summary.where(F.col("spot_id") == first.spot_id).first()
+    assert abs(got.max_change - want) < 0.05 and got.verified_departures == got.verified_arrivals == 1 and got.detections == 40
     log = discovery.occupancy_log(presence, spark.createDataFrame([(s.spot_id, s.id) for s in spots], "spot_id string, id string"))
     assert log.where("spot_id = 'S1'").agg(F.sum("occupied")).first()[0] == 40 and log.count() == 120
+    bays = spark.createDataFrame([(0, "b1", "office", 8.0, 9.0, 52.0, 42.0), (0, "b2", "static", 98.0, 9.0, 142.0, 41.0), (0, "b3", "unused", 200.0, 200.0, 240.0, 230.0)], "camera int, bay string, kind string, x1 double, y1 double, x2 double, y2 double")
+    one, table = discovery.evaluate(discovery.named_spots(sites, summary, 320, 240), bays)
+    r = one.first()
+    assert (r.n_bays, r.n_discovered, r.n_confirmed, r.precision, r.precision_confirmed) == (3, 2, 1, 1.0, 1.0) and abs(r.recall - 2 / 3) < 1e-9
+    assert {(r.bay, r.found, r.spot_id, r.status) for r in table.collect()} == {("b1", True, "S1", "confirmed"), ("b2", True, "S2", "candidate"), ("b3", False, None, None)}
+
+
+def loop_ap(hits, n_gt):
+    """Precision at each distinct score, the largest at or below it, times what the score adds to recall."""
+    scores = sorted({s for s, _ in hits}, reverse=True)
+    at = [(sum(h for s, h in hits if s >= x), sum(1 for s, _ in hits if s >= x)) for x in scores]
+    p = [a / b for a, b in at]
+    return sum((at[k][0] - (at[k - 1][0] if k else 0)) * max(p[k:]) for k in range(len(at))) / max(n_gt, 1)
+
+
+def test_groups_of_cached_unions(spark):
+    """A union of a cached part and another, both dealt by the key, is dealt anew before its groups are made."""
+    from lotlight.operators.grouping import map_groups
+
+    part = lambda k: spark.createDataFrame([(x, k) for x in range(20)], "key int, n int").repartition(4, "key")
+    one = part(0).persist()
+    one.count()
+    both = one.unionByName(part(1).groupBy("key").agg(F.max("n").alias("n")))
+    out = map_groups(both, "key", ["n"], lambda c: [(int(c["key"][0]), len(c["n"]))], "key int, size int").collect()
+    assert sorted(map(tuple, out)) == [(x, 2) for x in range(20)]
+
+
+def test_average_precision(spark):
+    r = np.random.default_rng(2)
+    rows = [(f"g{k % 3}", int(r.integers(0, 40)) / 40, int(r.random() < 0.5)) for k in range(200)]
+    n_gt = spark.createDataFrame([("g0", 50), ("g1", 40), ("g2", 60), ("none", 3)], "g string, n_gt long")
+    out = {x.g: x for x in metrics.average_precision(spark.createDataFrame(rows, "g string, score double, hit int"), n_gt, ["g"], 7).collect()}
+    for g, n in (("g0", 50), ("g1", 40), ("g2", 60)):
+        own = [(s, h) for k, s, h in rows if k == g]
+        assert abs(out[g].ap - loop_ap(own, n)) < 1e-9 and abs(out[g].precision - sum(h for _, h in own) / len(own)) < 1e-9 and abs(out[g].recall - sum(h for _, h in own) / n) < 1e-9
+    assert (out["none"].ap, out["none"].precision, out["none"].recall, out["none"].n_gt) == (0.0, 0.0, 0.0, 3)
+
+
+def test_selection_protocol(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(240, 4))
+    y = ((x[:, 0] + 0.3 * x[:, 1] + r.normal(scale=0.5, size=240)) > 0).astype(float)
+    rows = [(f"k{k}", f"g{k % 8}", float(y[k]), [float(v) * (1000 if j == 1 else 1) for j, v in enumerate(x[k])]) for k in range(240)]
+    df = spark.createDataFrame(rows, "key string, grp string, label double, v array<double>").select("key", "grp", "label", array_to_vector("v").alias("features"))
+    tried = [learning.Candidate("all | logreg", [0, 1, 2, 3], "logreg"), learning.Candidate("noise | logreg", [2, 3], "logreg"), learning.Candidate("all | rf", [0, 1, 2, 3], "rf", small=True)]
+    s = learning.run_selection(df, tried, k=3, ensemble_top=2, tune_top=1, grids={"logreg": {"C": [1e-6, 10]}, "rf": {"numTrees": [5]}})
+    board = {b.candidate: b for b in s.board.collect()}
+    assert {b for b in board if "tuned" in b} and {b for b in board if b.startswith("ensemble[")} and all(b.latency_ms > 0 for b in board.values())
+    assert s.winner in board and s.top.count() == 5 and s.test.first().f1 > 0.7 and board["noise | logreg"].cv_f1 < board["all | logreg"].cv_f1
+    best, f1 = learning.tune(learning.folds(df, "grp", "label", "key", 3), tried[0], 3, {"C": [1e-9, 1.0]})
+    assert best == {"C": 1.0} and f1 > 0.7
+    n = learning.subsample(df, "key", "label", 30).groupBy("label").count().collect()
+    assert {x["count"] for x in n} == {30}
+    dealt = learning.folds(df.withColumn("grp", F.lit("one")), "grp", "label", "key", 4).groupBy("fold", "label").count().collect()
+    assert len(dealt) == 8 and max(x["count"] for x in dealt) - min(x["count"] for x in dealt) < 25
+
+
+def test_replay(spark):
+    log = day_log(21, 4, 5)
+    log["truth"] = log.occupied
+    df = spark.createDataFrame(log, "ts timestamp_ntz, spot_id string, occupied int, truth int")
+    made, total = simulation.replay(df, 7, 2, 30, [0.5, 0.9])
+    made, rates = made.collect(), {r.arm: r for r in total.collect()}
+    assert set(rates) == {"0.5", "0.9", "free now"} and rates["0.9"].n_booked <= rates["0.5"].n_booked and rates["0.9"].rate >= 0.7
+    for a, b in itertools.combinations([m for m in made if m.arm == "0.5"], 2):
+        assert a.spot_id != b.spot_id or a.end <= b.start or b.end <= a.start
+    naive = [(m.start.date(), m.spot_id) for m in made if m.arm == "free now"]
+    assert len(naive) == len(set(naive)) and naive

@@ -41,10 +41,13 @@ def test_spots(spark, tmp_path):
 
 
 def test_scenes(spark, tmp_path):
-    put(tmp_path / "site" / "annotations.json", json.dumps({"frames": [{"image": "a.png", "timestamp": "2024-01-02T08:00:00", "cars": [[1, 2, 3, 4]]}, {"image": "b.png", "cars": [], "group": "g"}, {"image": "c.png", "cars": []}]}))
+    put(tmp_path / "site" / "annotations.json", json.dumps({"frames": [{"image": "a.png", "timestamp": "2024-01-02T08:00:00", "cars": [[1, 2, 3, 4]], "negatives": [[5, 6, 7, 8]], "random_negatives": False}, {"image": "b.png", "cars": [], "group": "g"}, {"image": "c.png", "cars": []}]}))
     rows = src.read_scenes(spark, str(tmp_path / "site" / "annotations.json")).collect()
     assert [(r.image, r.grp, r.ts) for r in rows] == [("a.png", "site:2024-01-02", datetime(2024, 1, 2, 8)), ("b.png", "g", None), ("c.png", "site", None)]
-    assert [tuple(r) for r in src.boxes_of(src.read_scenes(spark, str(tmp_path / "site" / "annotations.json")), "cars").collect()] == [("a.png", 0, 1.0, 2.0, 3.0, 4.0)]
+    assert [(r.negatives, r.random_negatives) for r in rows] == [([[5.0, 6.0, 7.0, 8.0]], False), ([], True), ([], True)]
+    pixels = spark.createDataFrame([(f"file:/x/{n}.png", bytearray(b"abc"), 1, 1) for n in "ab"], "path string, pixels binary, height int, width int")
+    both = {r.path[-5]: r for r in src.scenes_of(src.read_scenes(spark, str(tmp_path / "site" / "annotations.json")), pixels).collect()}
+    assert both["a"].cars == [[1, 2, 3, 4]] and both["a"].ignore == [] and both["b"].grp == "g" and len(both) == 2
 
 
 def test_voc(spark, tmp_path):
@@ -56,6 +59,10 @@ def test_voc(spark, tmp_path):
     rows = src.read_voc(spark, str(tmp_path)).collect()
     assert [r.id for r in rows] == ["1", "2"] and rows[0].cars == [[10, 20, 30, 40]] and rows[0].ignore == [[10, 20, 30, 40]] and rows[1].cars == []
     assert [r.id for r in src.read_voc(spark, str(tmp_path), n_background=0).collect()] == ["1"]
+    assert [r.id for r in src.read_voc(spark, str(tmp_path.parent), n_background=0).collect()] == ["1"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError):
+        src.voc_root(spark, str(tmp_path / "none"))
 
 
 def test_cnr(spark, tmp_path):
@@ -107,7 +114,7 @@ def png(rgb):
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
-def test_images_are_rgb_and_train(spark, tmp_path):
+def test_images_are_rgb_and_train(spark, tmp_path, capsys):
     import numpy as np
 
     from lotlight import jobs
@@ -124,4 +131,45 @@ def test_images_are_rgb_and_train(spark, tmp_path):
     jobs.main(["train", "--patches", str(tmp_path / "patches"), "--out", str(tmp_path / "out"), "--features", "rgb", "--models", "logreg", "--cv", "2", "--ensemble", "1"])
     s = spark.read.json(str(tmp_path / "out" / "summary")).first()
     assert s.winner == "rgb | logreg" and s.f1 == 1.0
-    assert spark.read.option("header", "true").csv(str(tmp_path / "out" / "leaderboard")).count() == 1
+    board = spark.read.option("header", "true").csv(str(tmp_path / "out" / "leaderboard"))
+    assert board.count() == 1 and float(board.first().latency_ms) > 0
+    model = str(tmp_path / "out" / "models" / "rgb-logreg")
+    fitted, sidecar = sinks.load_model(spark, model)
+    assert fitted.candidate.name == "rgb | logreg" and sidecar == {"winner": "rgb | logreg"}
+    # Two frames of two spots through the saved model: as a batch, and as a stream that smooths nothing.
+    for n, left in (("20240101_0800", True), ("20240101_0900", False)):
+        img = np.zeros((32, 64, 3)) + np.array([90, 90, 90])
+        img[:, (slice(0, 32) if left else slice(32, 64))] = [140, 20, 20]
+        put(tmp_path / "frames" / f"{n}.png", png((img + rng.integers(0, 60, img.shape)).astype(np.uint8)))
+    square = lambda x: [[x, 0], [x + 31, 0], [x + 31, 31], [x, 31]]
+    put(tmp_path / "spots.json", json.dumps({"image_size": [64, 32], "spots": [{"id": "L", "polygon": square(0)}, {"id": "R", "polygon": square(32)}]}))
+    common = ["detect", "--frames", str(tmp_path / "frames"), "--spots", str(tmp_path / "spots.json"), "--model", model]
+    jobs.main([*common, "--out", str(tmp_path / "batch")])
+    log = spark.read.option("header", "true").csv(str(tmp_path / "batch" / "log")).collect()
+    assert sorted((r.ts[11:13], r.spot_id, r.occupied) for r in log) == [("08", "L", "1"), ("08", "R", "0"), ("09", "L", "0"), ("09", "R", "1")]
+    assert "free=1/2  L:X R:." in capsys.readouterr().out
+    jobs.main([*common, "--out", str(tmp_path / "stream"), "--watch"])
+    log = spark.read.parquet(str(tmp_path / "stream" / "log")).collect()
+    assert sorted((r.ts.hour, r.spot_id, r.occupied) for r in log) == [(8, "L", 1), (8, "R", 0), (9, "L", 0), (9, "R", 1)]
+
+
+def test_train_detector_job(spark, tmp_path):
+    import numpy as np
+
+    from lotlight import jobs
+
+    for site in range(4):
+        frames = []
+        for k in range(2):
+            r = np.random.default_rng(10 * site + k)
+            img, (x, y) = r.integers(90, 110, (120, 170, 3)).astype(np.uint8), r.integers(4, 50, 2)
+            img[y : y + 64, x : x + 64] = (200, 60, 60)
+            img[y + 8 : y + 56, x + 8 : x + 56] = (30, 30, 30)
+            put(tmp_path / f"s{site}" / f"i{site}{k}.png", png(img))
+            frames.append({"image": f"i{site}{k}.png", "cars": [[int(x), int(y), int(x) + 64, int(y) + 64]], "group": f"s{site}"})
+        put(tmp_path / f"s{site}" / "annotations.json", json.dumps({"frames": frames}))
+    out = str(tmp_path / "out")
+    jobs.main(["train_detector", "--scenes", *[str(tmp_path / f"s{k}") for k in range(4)], "--out", out, "--n-windows", "1", "--max-windows", "20", "--features", "rgb", "--models", "logreg", "--cv", "2", "--ensemble", "1", "--hard-frames", "4", "--ap-top", "1"])
+    s = spark.read.json(f"{out}/summary").first()
+    assert s.winner == "rgb | logreg" and s.n_gt == 2 and s.recall == 1.0 and s.seconds_per_frame > 0 and s.windows == "[[64, 64]]"
+    assert spark.read.option("header", "true").csv(f"{out}/top_ap").count() == 1 and spark.read.text(f"{out}/first_stage").count() == 1
