@@ -2,11 +2,14 @@
 
 A document's ids fill pieces of `length` ids first; what remains is cut by its
 binary digits. Each piece is a sequence of its own, of a power-of-two length, so
-there is no padding; pieces of one length form a bucket that is batched together.
-
-Defined results: a null text counts as empty and has its end id alone; repeated
-rows are packed each for itself; a sequence id tells the partition and the place
-in it; an empty table gives an empty result; other columns are ignored.
+there is no padding. Pieces of one length are a bucket; `batches` makes rows of
+equal buckets, each a batch of so many tokens, for a trainer.
+
+Defined results: a null text counts as empty and has its end id alone; ties don't
+arise; repeated rows are packed each for itself; a very long text is encoded whole,
+in one task; a sequence id tells the partition and the place in it, so it is unique
+within a result and may differ between results; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,3 +126,27 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, end_id:
 
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long")
     return packed.withColumns({"bucket": F.log2("length").cast("int"), "offset": F.lit(0).cast("long")})
+
+
+def batches(packed: DataFrame, tokens: int = 1 << 16) -> DataFrame:
+    """bucket, length, n, sequence_ids, ids (n sequences of `length` ids one after another): pieces of one bucket together, up to `tokens` ids a row.
+
+    A bucket is dealt to many tasks; each makes whole batches, and one smaller one of each bucket at its end.
+    """
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+
+        def made(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            ids, spelled = pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([b"".join(r[1] for r in rows)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1 << bucket], pa.int64()), pa.array([len(rows)], pa.int32()), ids, spelled], ["bucket", "length", "n", "sequence_ids", "ids"])
+
+        for part in parts:
+            for bucket, sequence, ids in zip(*(c.to_pylist() for c in part.columns)):
+                rows = held.setdefault(bucket, [])
+                rows.append((sequence, ids))
+                if len(rows) << bucket >= tokens:
+                    yield made(bucket, held.pop(bucket))
+        for bucket, rows in held.items():
+            yield made(bucket, rows)
+
+    return packed.select("bucket", "sequence_id", "ids").mapInArrow(run, "bucket int, length long, n int, sequence_ids array<long>, ids binary")

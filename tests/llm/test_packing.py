@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lotlight.llm.packing import ByteBpe, pack, pieces
+from lotlight.llm.packing import ByteBpe, batches, pack, pieces
 from lotlight.llm.tokenizer_files import byte_bpe_files
 
 BPE, FULL = ByteBpe(*byte_bpe_files()), Tokenizer.from_file(byte_bpe_files()[0])
@@ -40,3 +40,14 @@ def test_round_trip(odd, none):
         ids = np.concatenate([np.frombuffer(parts[s].ids, "<u4") for s in sorted(parts)])
         assert ids.tolist() == want and {p.doc_tokens for p in parts.values()} == {len(want)}
     assert pack(none, *byte_bpe_files()).count() == 0
+
+
+def test_batches(odd):
+    packed = pack(odd, *byte_bpe_files()).persist()
+    want = {r.sequence_id: (r.bucket, r.ids) for r in packed.collect()}
+    seen = {}
+    for b in batches(packed, 64).collect():
+        assert b.length == 1 << b.bucket and len(b.ids) == 4 * b.n * b.length and b.n == len(b.sequence_ids) and (b.n == 1 or (b.n - 1) * b.length < 64)
+        for k, s in enumerate(b.sequence_ids):
+            seen[s] = (b.bucket, b.ids[4 * k * b.length : 4 * (k + 1) * b.length])
+    assert seen == want
