@@ -1,6 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic regression over counts of a document's text gives its own evidence. The
+A logistic regression over counts of a document's text, and over its hashed words
+and pieces of words, gives its own evidence. The
 evidence is summed by host and path in grouped aggregations; a host's posterior
 is shrunk to the global mean and a path's to its host's, the more the fewer
 documents it has, with prior strengths from the moments of the sums themselves.
@@ -12,8 +13,9 @@ ids hash lowest; everything else covers all documents.
 
 Defined results: a null text counts as empty; null hosts or paths are values like
 others; labels that are null are not used, of several for one document the highest counts; without labels of both classes every
-document's evidence is the share of the class there is, or a half; equal rows get
-equal results; an empty table gives an empty result; other columns are ignored.
+document's evidence is the share of the class there is, or a half; ties don't
+arise; a very long text is read whole, in one task; equal rows get equal results;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ FEATURES = ("bias", "log_words", "word_length", "upper", "digit", "symbol", "mar
 
 @dataclass(frozen=True)
 class ClassifierParams:
-    max_labels: int = 20_000
+    max_labels: int = 10_000
     ridge: float = 1.0
     rounds: int = 25
     #: How far the path's posterior moves a document's log-odds.
@@ -46,10 +48,46 @@ class ClassifierParams:
     threshold: float = 0.5
 
 
+#: Hashed features: words, and four characters each that begin and end a word.
+HASHED = 1 << 10
+LONGEST = 40
+
+
+class Slots(dict):
+    """The hashed features of a word as written; the table starts anew at `most` words."""
+
+    most = 1 << 18
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        from xxhash import xxh3_64_intdigest
+
+        small = word[:LONGEST].lower()
+        found = tuple(xxh3_64_intdigest(x, k) % HASHED for k, x in enumerate((small, f"^{small[:4]}", f"{small[-4:]}$")))
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+SLOTS = Slots()
+
+
+def hashed(text: str) -> np.ndarray:
+    """The share of a text's features in each slot, as square roots, so that frequent ones don't rule."""
+    at = np.array([k for w in text.split() for k in SLOTS[w]], np.int64)
+    return np.sqrt(np.bincount(at, minlength=HASHED) / max(len(at), 1))
+
+
 SYMBOL, MARK, UPPER, DIGIT = (re.compile(x) for x in (r"[#*$%&<>@=_~^]", r"[!?]", r"[A-Z]", r"[0-9]"))
 
 
-def features(text: str) -> list[float]:
+def features(text: str) -> np.ndarray:
+    """FEATURES, then the hashed ones."""
+    return np.concatenate([counted(text), hashed(text)])
+
+
+def counted(text: str) -> list[float]:
     words = text.split()
     n, size = max(len(words), 1), max(len(text), 1)
     counts = Counter(words)
@@ -88,7 +126,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, p: ClassifierParams = ClassifierP
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierParams()) -> list[float]:
-    """Weights of FEATURES for `quality` 1, from a bounded sample of labelled documents."""
+    """Weights of the features for `quality` 1, from a bounded sample of labelled documents."""
     sample = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labels)  # bounded: the sample is a parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int"))
@@ -96,15 +134,15 @@ def fit(docs: DataFrame, labels: DataFrame, p: ClassifierParams = ClassifierPara
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    found = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.mapInArrow(run, "doc_id long, quality int, x array<double>").collect())
+    found = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())  # `max_labels` rows
     y = np.array([r[1] for r in found], float)
     if len(set(y)) < 2:
-        ever = [0.0] * len(FEATURES)
+        ever = [0.0] * (len(FEATURES) + HASHED)
         ever[0] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return ever
-    return fit_logistic(np.array([r[2] for r in found]), y, p).tolist()
+    return fit_logistic(np.array([np.frombuffer(r[2], "<f4") for r in found], float), y, p).tolist()
 
 
 def evidence(docs: DataFrame, weights: list[float], host: Column, path: Column) -> DataFrame:
@@ -113,8 +151,8 @@ def evidence(docs: DataFrame, weights: list[float], host: Column, path: Column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py() or "") for t in b.column(3)]).reshape(-1, len(w))
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            x = np.array([features(t.as_py() or "") @ w for t in b.column(3)])
+            p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(p)], ["doc_id", "host", "path", "p"])
 
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
