@@ -135,10 +135,15 @@ def proposals(text: str, p: PiiParams = PiiParams()) -> Iterator[tuple[str, int,
             yield "number", m.start(), m.end(), False
 
 
+def _said(words: re.Pattern, text: str, lo: int, hi: int) -> bool:
+    """Whether one of the words stands between two places of a text, as a whole word of that text."""
+    return any(m.end() < hi or hi == len(text) or not (text[hi].isalnum() or text[hi] == "_") for m in words.finditer(text, lo, hi))
+
+
 def score(text: str, kind: str, a: int, b: int, confirmed: bool, p: PiiParams = PiiParams()) -> float:
     """Of a span, from its checksum and the words around it."""
-    around = (text[max(0, a - p.reach) : a], text[b : b + p.reach // 2])
-    says = lambda side: any(WORDS[side][kind].search(x) for x in around)
+    around = (max(0, a - p.reach), a), (b, min(len(text), b + p.reach // 2))
+    says = lambda side: any(_said(WORDS[side][kind], text, *x) for x in around)
     value = p.proposed + p.confirmed * confirmed + p.context * says("for") - p.against * says("against")
     return round(min(1.0, max(0.0, value)), 3)
 
