@@ -89,21 +89,22 @@ def analyse(sites: DataFrame, frames: DataFrame, detections: DataFrame, c: Disco
     """
     p = sq.bridged(sq.presence(site_presence(sites, frames, detections, c)).persist(), c.min_absence_minutes).persist()
     runs = sq.stays(p, c.min_stay_minutes, c.min_density, c.min_absence_minutes).persist()
+    change = changes(runs, p, sites, frames, c) if "pixels" in frames.columns else None
+    return p, summarised(p, runs, change, sites.select(spot_name().alias("spot_id"), F.col("n_members").cast("long").alias("detections")), c)
+
+
+def summarised(presence: DataFrame, runs: DataFrame, change: DataFrame | None, seen: DataFrame, c: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:
+    """The row of `analyse` for each site of `seen` (spot_id, detections), from its frames, runs and the change at its transitions (spot_id, run, kind, change)."""
     moves = _moves(runs)
-    if "pixels" in frames.columns:
-        moves = moves.join(changes(runs, p, sites, frames, c), ["spot_id", "run", "kind"], "left")
-    else:
-        moves = moves.withColumn("change", F.lit(None).cast("double"))
-    moves = moves.withColumn("change", F.coalesce("change", F.lit(0.0)))
+    moves = moves.withColumn("change", F.lit(0.0)) if change is None else moves.join(change, ["spot_id", "run", "kind"], "left").withColumn("change", F.coalesce("change", F.lit(0.0)))
     of = lambda kind: F.col("kind") == kind
     ok = F.col("change") >= c.min_change
     counts = {"n_departures": of("departure"), "n_arrivals": of("arrival"), "verified_departures": of("departure") & ok, "verified_arrivals": of("arrival") & ok}
     counted = moves.groupBy("spot_id").agg(*[F.count_if(x).alias(name) for name, x in counts.items()], F.bround(F.max("change"), 3).alias("max_change"))
-    summary = runs.groupBy("spot_id").agg(F.count_if("stay").alias("n_stays")).join(counted, "spot_id", "left").join(p.groupBy("spot_id").agg(F.bround(F.avg("present"), 3).alias("occupancy_rate")), "spot_id")
-    summary = summary.join(sites.select(spot_name().alias("spot_id"), F.col("n_members").cast("long").alias("detections")), "spot_id")
-    summary = summary.na.fill(0, list(counts)).na.fill(0.0, ["max_change"])
+    summary = runs.groupBy("spot_id").agg(F.count_if("stay").alias("n_stays")).join(counted, "spot_id", "left").join(presence.groupBy("spot_id").agg(F.bround(F.avg("present"), 3).alias("occupancy_rate")), "spot_id")
+    summary = summary.join(seen, "spot_id").na.fill(0, list(counts)).na.fill(0.0, ["max_change"])
     status = F.when(F.col("n_stays") == 0, "dropped").when(F.col("verified_departures") + F.col("verified_arrivals") > 0, "confirmed").otherwise("candidate")
-    return p, summary.withColumn("status", status)
+    return summary.withColumn("status", status)
 
 
 def named_spots(sites: DataFrame, summary: DataFrame, width: float, height: float, include_candidates: bool = True, c: DiscoveryConfig = DiscoveryConfig()) -> DataFrame:

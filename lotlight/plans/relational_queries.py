@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lotlight.operators import discovery
 from lotlight.operators import sequences as sq
 from lotlight.plans.bindings import EVENTS, LOG, events, log, table
 from lotlight.operators.learning import draw
@@ -221,19 +222,33 @@ def win_occupancy_rate(spark, d):
     return sq.bridged(presence(spark, d), 60).groupBy("spot_id").agg(F.bround(F.avg("present"), 3).alias("occupancy_rate"))
 
 
-_SUM = "sm AS (SELECT spot_id, count(*) FILTER (stay) AS n_stays, count(*) FILTER (stay AND after) AS n_departures, count(*) FILTER (stay AND before) AS n_arrivals FROM s GROUP BY spot_id)"
+_SUM = """tr AS (SELECT spot_id, true AS leaves, (b * 37 % 100) / 100.0 AS c FROM s WHERE stay AND after UNION ALL SELECT spot_id, false, (a * 37 % 100) / 100.0 FROM s WHERE stay AND before),
+tc AS (SELECT spot_id, count(*) FILTER (leaves) AS n_departures, count(*) FILTER (NOT leaves) AS n_arrivals, count(*) FILTER (leaves AND c >= 0.6) AS verified_departures, count(*) FILTER (NOT leaves AND c >= 0.6) AS verified_arrivals, max(c) AS top FROM tr GROUP BY spot_id),
+fs AS (SELECT spot_id, CAST(sum(raw) AS BIGINT) AS detections, round_even(avg(p), 3) AS occupancy_rate FROM f2 GROUP BY spot_id), st AS (SELECT spot_id, count(*) FILTER (stay) AS n_stays FROM s GROUP BY spot_id),
+sm AS (SELECT st.spot_id, detections, n_stays, coalesce(n_departures, 0) AS n_departures, coalesce(n_arrivals, 0) AS n_arrivals, coalesce(verified_departures, 0) AS verified_departures, coalesce(verified_arrivals, 0) AS verified_arrivals,
+  CAST(coalesce(round_even(top, 3), 0) AS DOUBLE) AS max_change, occupancy_rate, CASE WHEN n_stays = 0 THEN 'dropped' WHEN coalesce(verified_departures + verified_arrivals, 0) > 0 THEN 'confirmed' ELSE 'candidate' END AS status
+FROM st JOIN fs ON fs.spot_id = st.spot_id LEFT JOIN tc ON tc.spot_id = st.spot_id)"""
 
 
-@query("agg_site_summary", f"WITH {EVENTS}, {_RUNS}, {_SUM} SELECT * FROM sm")
+def _summary(spark, d):
+    """The appearance's change at a transition is a number drawn from its frame's."""
+    p = sq.bridged(presence(spark, d), 60)
+    runs = sq.stays(p, 90, 0.5, 60)
+    drawn = lambda frame: (F.col(frame) * 37 % 100) / 100
+    side = lambda flag, kind, frame: runs.where(flag).select("spot_id", "run", F.lit(kind).alias("kind"), drawn(frame).alias("change"))
+    change = side("departure", "departure", "last").unionByName(side("arrival", "arrival", "first"))
+    return discovery.summarised(p, runs, change, p.groupBy("spot_id").agg(F.sum("raw").cast("long").alias("detections")))
+
+
+@query("agg_site_summary", f"WITH {EVENTS}, {_RUNS}, {_SUM} SELECT spot_id, detections, n_stays, n_departures, n_arrivals, max_change, status FROM sm")
 def agg_site_summary(spark, d):
-    return stays(spark, d).groupBy("spot_id").agg(F.count_if("stay").alias("n_stays"), F.count_if("departure").alias("n_departures"), F.count_if("arrival").alias("n_arrivals"))
+    return _summary(spark, d).select("spot_id", "detections", "n_stays", "n_departures", "n_arrivals", "max_change", "status")
 
 
-@query("agg_spot_meta", f"""WITH {EVENTS}, {_RUNS}, {_SUM} SELECT spot_id, n_stays, CASE WHEN n_stays = 0 THEN 'dropped' WHEN n_departures + n_arrivals > 0 THEN 'confirmed' ELSE 'candidate' END AS status FROM sm""")
+@query("agg_spot_meta", f"""WITH {EVENTS}, {_RUNS}, {_SUM} SELECT spot_id, status, n_stays, verified_departures AS n_departures, verified_arrivals AS n_arrivals, occupancy_rate FROM sm WHERE status <> 'dropped'""")
 def agg_spot_meta(spark, d):
-    n = agg_site_summary(spark, d)
-    status = F.when(F.col("n_stays") == 0, "dropped").when(F.col("n_departures") + F.col("n_arrivals") > 0, "confirmed").otherwise("candidate")
-    return n.select("spot_id", "n_stays", status.alias("status"))
+    kept = _summary(spark, d).where("status <> 'dropped'")
+    return kept.select("spot_id", "status", "n_stays", F.col("verified_departures").alias("n_departures"), F.col("verified_arrivals").alias("n_arrivals"), "occupancy_rate")
 
 
 @query("fn_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
