@@ -49,7 +49,7 @@ class ByteBpe(dict):
     `longest` aren't kept, and the table starts anew at `most` words.
     """
 
-    longest, most = 40, 1 << 20
+    longest, most = 40, 1 << 17
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str) -> None:
         import base64

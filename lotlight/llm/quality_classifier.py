@@ -56,7 +56,7 @@ LONGEST = 40
 class Slots(dict):
     """The hashed features of a word as written; the table starts anew at `most` words."""
 
-    most = 1 << 18
+    most = 1 << 17
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         from xxhash import xxh3_64_intdigest

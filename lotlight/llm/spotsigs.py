@@ -46,7 +46,7 @@ LOWEST = -(1 << 63)
 class Codes(dict):
     """64-bit codes of words as written: lowest bit 1 for anchors, 0 for what has no letter or digit."""
 
-    longest, most = 40, 1 << 20
+    longest, most = 40, 1 << 17
 
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
