@@ -12,8 +12,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotlight.operators.grouping import plain_unions
-
 #: The characters \x09-\x0D and \x20.
 WS = " \t\n\x0b\x0c\r"
 #: Keys that a join may treat as hot, at most; so many rows are broadcast.
@@ -45,7 +43,6 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    plain_unions(spark)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark, "checkpoints"))
