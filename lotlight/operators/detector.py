@@ -67,15 +67,17 @@ class HogScorer:
 
 
 def fit_scorer(patches: DataFrame, recall: float = 0.99, ridge: float = 10.0, config: images.FeatureConfig = images.FeatureConfig()) -> HogScorer:
-    """From patches (label, pixels, height, width): logistic regression on standardised HOG values with balanced classes; the threshold keeps `recall` of the cars."""
-    hog = images.feature_frame(patches.select("label", "pixels", "height", "width"), replace(config, blocks=("hog",)))
-    rows = hog.select(F.col("label").cast("double").alias("label"), array_to_vector("hog").alias("x")).persist()
+    """From patches (label, pixels, height, width; or label, hog): logistic regression on standardised HOG values with balanced classes; the threshold keeps `recall` of the cars."""
+    made = "hog" in patches.columns
+    hog = patches if made else images.feature_frame(patches.select("label", "pixels", "height", "width"), replace(config, blocks=("hog",))).select("label", "hog").persist()
+    rows = hog.select(F.col("label").cast("double").alias("label"), array_to_vector("hog").alias("x"))
     n, cars = rows.agg(F.count("*"), F.sum("label")).first()
     share = F.when(F.col("label") == 1, n / (2 * max(cars, 1))).otherwise(n / (2 * max(n - cars, 1)))
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=ridge / n, maxIter=200).fit(rows.withColumn("w", share))
     raw = model.transform(rows.where("label = 1")).select(vector_to_array("rawPrediction")[1].alias("s"))
     threshold = raw.agg(F.percentile("s", 1 - recall)).first()[0]
-    rows.unpersist()
+    if not made:
+        hog.unpersist()
     down, across = (s // config.cell - config.block + 1 for s in reversed(config.patch_size))
     return HogScorer(config, model.coefficients.toArray().reshape(down, across, -1), float(model.intercept), float(threshold))
 
@@ -91,12 +93,10 @@ def proposals(frames: DataFrame, scorer: HogScorer, d: DetectorConfig, config: i
 
     def make(frame: np.ndarray, row: dict) -> list[tuple]:
         boxes, scores = scorer.best(frame, d)
-        rows = []
-        for k, (box, s, patch) in enumerate(zip(boxes, scores, images.cut(frame, np.trunc(boxes), 1))):
-            if patch is not None:
-                f = images.extract(patch, config)
-                rows.append((row["path"], k, *map(float, box), float(s), *[f[b].tolist() for b in config.blocks]))
-        return rows
+        parts = images.cut(frame, np.trunc(boxes), 1)
+        kept = [k for k, p in enumerate(parts) if p is not None]
+        made = images.extract_all([parts[k] for k in kept], config)
+        return [(row["path"], k, *map(float, boxes[k]), float(scores[k]), *[made[b][i] for b in config.blocks]) for i, k in enumerate(kept)]
 
     return with_features(images.frame_rows(frames.select("path", "pixels", "height", "width"), make, f"path string, n int, {BOX}, first double, {blocks}"), config)
 

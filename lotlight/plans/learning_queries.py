@@ -10,6 +10,7 @@ from lotlight.operators import detector as det
 from lotlight.operators import frames as fr
 from lotlight.operators import images
 from lotlight.operators import learning as ml
+from lotlight.operators.grouping import spread
 from lotlight.plans.bindings import boxes, table
 from lotlight.plans.registry import query
 
@@ -161,18 +162,20 @@ FAST = images.FeatureConfig(blocks=("hog", "rgb"))
 DET = det.DetectorConfig(windows=((64, 64),), max_windows=60)
 
 
-def scenes(spark, d):
-    """path, pixels, height, width, cars, negatives, ignore, random_negatives: two cars or one in a frame, and an empty place."""
+def scenes(spark, d, pixels=True):
+    """path, pixels, height, width (not without `pixels`), cars, negatives, ignore, random_negatives: two cars or one in a frame, and an empty place."""
     k = F.col("s_suppkey").cast("int")
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"), (x + 64).cast("double"), (y + 64).cast("double"))
     one, two, gap = at(k % 30 + 4, k % 17 + 6), at(k % 23 + 130, k % 31 + 12), at(k % 11 + 72, k % 40 + 60)
     s = table(spark, d, "supplier").select(F.concat(F.lit("f"), k).alias("path"), F.when(k % 3 == 0, F.array(one)).otherwise(F.array(one, two)).alias("cars"), F.array(gap).alias("negatives"), (k % 4 != 0).alias("random_negatives"))
     none = F.array().cast("array<array<double>>")
+    if not pixels:
+        return s.withColumn("ignore", none)
 
     def run(batches):
         import zlib
 
-        for pdf in batches:
+        for pdf in (whole[at : at + 64] for whole in batches for at in range(0, len(whole), 64)):
             made = []
             for path, cars in zip(pdf.path, pdf.cars):
                 img = np.random.default_rng(zlib.crc32(path.encode())).integers(90, 110, (170, 240, 3)).astype(np.uint8)
@@ -183,21 +186,29 @@ def scenes(spark, d):
             yield pdf.assign(pixels=made, height=170, width=240)
 
     boxes = "array<array<double>>"
-    return s.mapInPandas(run, f"path string, cars {boxes}, negatives {boxes}, random_negatives boolean, pixels binary, height int, width int").withColumn("ignore", none)
+    return spread(s, "path").mapInPandas(run, f"path string, cars {boxes}, negatives {boxes}, random_negatives boolean, pixels binary, height int, width int").withColumn("ignore", none)
 
 
 def _patches(spark, d):
     return det.sample_patches(scenes(spark, d), [(64, 64)], n_random=6, n_shifted=1)
 
 
-def _patch_rows(p):
-    return det.with_features(images.feature_frame(p, FAST).drop("pixels"), FAST).withColumn("label", F.col("label").cast("double"))
+def _features(spark, d):
+    """Label and blocks of every patch."""
+    return images.feature_frame(_patches(spark, d), FAST).select("label", *FAST.blocks)
+
+
+def _patch_rows(f):
+    return det.with_features(f, FAST).withColumn("label", F.col("label").cast("double"))
+
+
+def _classifier(f):
+    return ml.Candidate("all | logreg", list(range(sum(FAST.widths().values()))), "logreg").fit(_patch_rows(f))
 
 
 def _detector(spark, d):
-    p = _patches(spark, d).persist()
-    best = ml.Candidate("all | logreg", list(range(sum(FAST.widths().values()))), "logreg").fit(_patch_rows(p))
-    return det.fit_scorer(p), best
+    f = _features(spark, d).persist()
+    return det.fit_scorer(f), _classifier(f)
 
 
 @query("ml_sample_patches")
@@ -247,7 +258,7 @@ def cls_frame(spark, d):
     square = lambda x, y: [{"x": x, "y": y}, {"x": x + 32.0, "y": y}, {"x": x + 32.0, "y": y + 32.0}, {"x": x, "y": y + 32.0}]
     spots = spark.createDataFrame([("S1", square(9.0, 7.0), 120, 85), ("S2", square(70.0, 13.0), 120, 85), ("S3", square(38.0, 38.0), 120, 85)], "id string, polygon array<struct<x:double,y:double>>, width int, height int")
     begin = F.timestamp_seconds(F.substring("path", 2, 12).cast("long") * 60).cast("timestamp_ntz")
-    _, fitted = _detector(spark, d)
+    fitted = _classifier(_features(spark, d).persist())
     log = fr.classify(s.withColumn("ts", begin), spots, fitted.score, config=FAST)
     return log.select("ts", "spot_id", "occupied", F.round("score", 3).alias("score"))
 

@@ -445,3 +445,32 @@ def test_replay(spark):
         assert a.spot_id != b.spot_id or a.end <= b.start or b.end <= a.start
     naive = [(m.start.date(), m.spot_id) for m in made if m.arm == "free now"]
     assert len(naive) == len(set(naive)) and naive
+
+
+def test_features_of_many_patches_are_those_of_each():
+    from lotlight.operators import images
+
+    r = np.random.default_rng(5)
+    patches = [r.integers(0, 256, s, np.uint8) for s in ((64, 64, 3), (64, 64, 3), (50, 70, 3), (80, 33), (64, 64, 3))]
+    c = images.FeatureConfig()
+    made = images.extract_all(patches, c)
+    for k, p in enumerate(patches):
+        own = images.extract(p, c)
+        assert all(np.array_equal(own[b], made[b][k]) for b in c.blocks)
+    g = r.integers(0, 256, (3, 40, 56), np.uint8)
+    gy, gx = np.zeros(g.shape), np.zeros(g.shape)
+    gy[:, 1:-1], gx[:, :, 1:-1] = g[:, 2:] - g[:, :-2].astype(float), g[:, :, 2:] - g[:, :, :-2].astype(float)
+    bins = np.minimum(np.rad2deg(np.arctan2(gy, gx)) % 180 * 9 / 180, 8).astype(int)
+    cells = np.array([[[[np.hypot(gy, gx)[n, y : y + 8, x : x + 8][bins[n, y : y + 8, x : x + 8] == b].sum() for b in range(9)] for x in range(0, 56, 8)] for y in range(0, 40, 8)] for n in range(3)]) / 64
+    v = np.concatenate([cells[:, i : i + 4, j : j + 6] for i in range(2) for j in range(2)], -1)
+    for _ in range(2):
+        v = np.minimum(v / np.sqrt((v**2).sum(-1, keepdims=True) + 1e-10), 0.2)
+    assert np.allclose(images.hog_blocks(g, c), v / np.sqrt((v**2).sum(-1, keepdims=True) + 1e-10))
+
+
+def test_drawn_scenes_are_dealt_over_tasks(spark):
+    from lotlight.plans.learning_queries import scenes
+
+    s = scenes(spark, "/root/testdata/sf0.001")
+    assert s.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+    assert s.count() == scenes(spark, "/root/testdata/sf0.001", False).count()
