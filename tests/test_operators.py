@@ -474,3 +474,13 @@ def test_drawn_scenes_are_dealt_over_tasks(spark):
     s = scenes(spark, "/root/testdata/sf0.001")
     assert s.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
     assert s.count() == scenes(spark, "/root/testdata/sf0.001", False).count()
+
+
+def test_scorer_from_made_features_is_that_from_pixels(spark):
+    r = np.random.default_rng(3)
+    rows = [(k % 2, bytearray((r.integers(0, 40, (64, 64, 3)) + (np.arange(64) % 16 * 8)[:, None, None] * (k % 2)).astype(np.uint8).tobytes()), 64, 64) for k in range(24)]
+    p = spark.createDataFrame(rows, "label int, pixels binary, height int, width int")
+    one, two = det.fit_scorer(p), det.fit_scorer(images.feature_frame(p, images.FeatureConfig(blocks=("hog", "rgb"))).select("label", "hog", "rgb"))
+    assert np.allclose(one.weights, two.weights, atol=1e-6) and abs(one.threshold - two.threshold) < 1e-5
+    blank = images.extract_all([], images.FeatureConfig())
+    assert len(blank["hog"]) == 0  # a frame without a window
