@@ -231,7 +231,7 @@ def det_detect(spark, d):
 @query("det_hard_negatives")
 def det_hard_negatives(spark, d):
     s = scenes(spark, d)
-    hard = det.hard_negatives(det.scored(s, *_detector(spark, d), DET, FAST), s, 0.05)
+    hard = det.hard_negatives(det.scored(s, *_detector(spark, d), DET, FAST), scenes(spark, d, False), 0.05)
     return det.cut_windows(s, hard).groupBy("path").agg(F.count("*").alias("n_patches"), F.min("height").alias("least_height")).unionByName(s.agg(F.lit("all").alias("path"), F.count("*").alias("n_patches"), F.min("height").alias("least_height")))
 
 
