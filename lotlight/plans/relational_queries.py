@@ -264,4 +264,4 @@ def fn_path_parts(spark, d):
 @query("fn_math", "SELECT event_id, round(ln(value), 6) AS log_value, round(1 / (1 + exp(-value / 50)), 6) AS sigmoid, greatest(10.0, least(90.0, value)) AS clipped, round_even(value, 1) AS rounded FROM events")
 def fn_math(spark, d):
     v = F.col("value")
-    return events(spark, d).select("event_id", F.round(F.log(v), 6).alias("log_value"), F.round(1 / (1 + F.exp(-v / 50)), 6).alias("sigmoid"), F.greatest(F.lit(10.0), F.least(F.lit(90.0), v)).alias("clipped"), F.bround(v, 1).alias("rounded"))
+    return events(spark, d).select("event_id", F.when(v == 0, float("-inf")).otherwise(F.round(F.log(v), 6)).alias("log_value"), F.round(1 / (1 + F.exp(-v / 50)), 6).alias("sigmoid"), F.greatest(F.lit(10.0), F.least(F.lit(90.0), v)).alias("clipped"), F.bround(v, 1).alias("rounded"))

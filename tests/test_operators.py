@@ -484,3 +484,26 @@ def test_scorer_from_made_features_is_that_from_pixels(spark):
     assert np.allclose(one.weights, two.weights, atol=1e-6) and abs(one.threshold - two.threshold) < 1e-5
     blank = images.extract_all([], images.FeatureConfig())
     assert len(blank["hog"]) == 0  # a frame without a window
+
+
+def test_first_of_equal_assignments():
+    assert ba.assign_first(np.array([[0.5, 0.5, 0.2]])) == [(0, 0)]
+    assert sorted(ba.assign_first(np.array([[0.3], [0.3]]))) == [(0, 0)]
+    assert sorted(ba.assign_first(np.array([[0.4, 0.4], [0.4, 0.4], [0.4, 0.4]]))) == [(0, 0), (1, 1)]
+    assert ba.assign_first(np.zeros((2, 3))) == [] and ba.assign_first(np.empty((0, 2))) == []
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        g = r.integers(0, 4, (r.integers(1, 5), r.integers(1, 5))) / 4
+        ways = [w for w in itertools.product(range(-1, g.shape[1]), repeat=g.shape[0]) if len(u := [j for j in w if j >= 0]) == len(set(u)) and all(g[i, j] > 0 for i, j in enumerate(w) if j >= 0)]
+        want = min(ways, key=lambda w: (-sum(g[i, j] for i, j in enumerate(w) if j >= 0), [j if j >= 0 else 99 for j in w]))
+        assert sorted(ba.assign_first(g)) == [(i, j) for i, j in enumerate(want) if j >= 0]
+
+
+def test_log_of_zero_and_products_of_single_precision(spark, tmp_path):
+    from lotlight.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, 0.0), (2, -0.0), (3, 1.0)], "event_id long, value double").withColumn("user_id", F.lit(1)).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.log_value for r in QUERIES["fn_math"](spark, str(tmp_path)).orderBy("event_id").collect()] == [float("-inf"), float("-inf"), 0.0]
+    x = next(v for k in range(500) for v in [np.nextafter(np.float32((k + 0.5) / 1000), np.float32(0))] if v * np.float32(1000) == np.float32(k + 0.5) and float(v) * 1000 < k + 0.5)
+    spark.createDataFrame([(1, [0.0] * 8 + [float(x)] * 16)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["prj_columns"](spark, str(tmp_path)).first().block_sum == 16 * round(float(x) * 1000 + 0.5)
