@@ -61,7 +61,7 @@ def prj_label_name(spark, d):
 @query("prj_columns", "SELECT vec_id, CAST(list_sum(list_transform(embedding[9:24], lambda x: CAST(round(x * 1000) AS BIGINT))) AS BIGINT) AS block_sum, CAST(len(embedding[9:24]) AS INTEGER) AS n FROM embeddings")
 def prj_columns(spark, d):
     block = F.slice("embedding", 9, 16)
-    total = F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1000).cast("long"))
+    total = F.aggregate(block, F.lit(0).cast("long"), lambda a, x: a + F.round(x * F.lit(1000).cast("float")).cast("long"))  # a product of single precision, as in SQL
     return table(spark, d, "embeddings").select("vec_id", total.alias("block_sum"), F.size(block).alias("n"))
 
 
