@@ -240,13 +240,17 @@ def det_ap_top(spark, d):
     """Average precision of the detector with each of two second stages, over all scenes; det_sec_per_frame tells that its time was taken."""
     import time
 
-    s, p = scenes(spark, d).persist(), _patches(spark, d).persist()
-    scorer, data = det.fit_scorer(p), _patch_rows(p).persist()
-    windows, out = det.proposals(s, scorer, DET, FAST).persist(), []
-    for name, columns in (("hog", FAST.columns("hog")), ("rgb", FAST.columns("rgb"))):
+    s, f = scenes(spark, d), _features(spark, d).persist()
+    data, windows, out = _patch_rows(f), det.proposals(s, det.fit_scorer(f), DET, FAST), []
+    stages = {name: ml.Candidate(f"{name} | logreg", FAST.columns(name), "logreg").fit(data) for name in FAST.blocks}
+    f.unpersist()
+    boxes = scenes(spark, d, False)
+    for name, fitted in stages.items():
+        windows = fitted.score(windows, name)
+    windows = windows.drop("features", "first").persist()  # each frame is drawn and described once for both
+    for name in stages:
         began = time.perf_counter()
-        fitted = ml.Candidate(f"{name} | logreg", columns, "logreg").fit(data)
-        row = det.average_precision(det.detect(fitted.score(windows), DET), s).first()
+        row = det.average_precision(det.detect(windows.withColumn("score", F.col(name)), DET), boxes).first()
         out.append((f"{name} | logreg", round(row["ap"], 4), round(row["precision"], 4), round(row["recall"], 4), row["n_gt"], time.perf_counter() > began))
     return spark.createDataFrame(out, "candidate string, ap double, precision double, recall double, n_gt long, det_sec_per_frame boolean")
 
