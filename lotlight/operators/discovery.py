@@ -80,16 +80,17 @@ def _moves(runs: DataFrame) -> DataFrame:
     return runs.select("spot_id", "run", F.explode(kinds).alias("kind"))
 
 
-def analyse(sites: DataFrame, frames: DataFrame, detections: DataFrame, c: DiscoveryConfig = DiscoveryConfig()) -> tuple[DataFrame, DataFrame]:
+def analyse(sites: DataFrame, frames: DataFrame, detections: DataFrame, c: DiscoveryConfig = DiscoveryConfig(), shots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Frames with bridged presence, and one row per site: detections, n_stays, n_departures, n_arrivals, those of them that are
     verified (verified_departures, verified_arrivals), max_change, occupancy_rate, status.
 
     A transition is verified if the site looks different: by `min_change` of `changes`, for which `frames` (camera, t, ts) needs
-    pixels, height and width. Without pixels there is no evidence, and no site is confirmed. What is used more than once is persisted.
+    pixels, height and width, or `shots` (camera, ts) has them: then presence is worked out without making or moving a pixel. Without pixels there is no evidence, and no site is confirmed. What is used more than once is persisted.
     """
     p = sq.bridged(sq.presence(site_presence(sites, frames, detections, c)).persist(), c.min_absence_minutes).persist()
     runs = sq.stays(p, c.min_stay_minutes, c.min_density, c.min_absence_minutes).persist()
-    change = changes(runs, p, sites, frames, c) if "pixels" in frames.columns else None
+    shots = frames if shots is None else shots
+    change = changes(runs, p, sites, shots, c) if "pixels" in shots.columns else None
     return p, summarised(p, runs, change, sites.select(spot_name().alias("spot_id"), F.col("n_members").cast("long").alias("detections")), c)
 
 
