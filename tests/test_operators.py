@@ -507,3 +507,19 @@ def test_log_of_zero_and_products_of_single_precision(spark, tmp_path):
     x = next(v for k in range(500) for v in [np.nextafter(np.float32((k + 0.5) / 1000), np.float32(0))] if v * np.float32(1000) == np.float32(k + 0.5) and float(v) * 1000 < k + 0.5)
     spark.createDataFrame([(1, [0.0] * 8 + [float(x)] * 16)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert QUERIES["prj_columns"](spark, str(tmp_path)).first().block_sum == 16 * round(float(x) * 1000 + 0.5)
+
+
+def test_presence_draws_no_frame(spark):
+    from lotlight.plans.registry import QUERIES
+
+    plan = QUERIES["disc_presence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.catalog.clearCache()
+    assert "pixels" not in plan
+
+
+def test_match_best_with_own_best_columns_is_the_assignment():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.hstack([c := r.uniform(0, 40, (n, 2)), c + r.uniform(5, 30, (n, 2))]) for n in (r.integers(1, 5), r.integers(1, 30)))
+        o = ba.iou_matrix(a, b)
+        assert sorted(ba.match_best(a, b, 0.3)) == sorted((i, j) for i, j in ba.assign(o) if o[i, j] >= 0.3)
