@@ -8,17 +8,17 @@ Frames are path, pixels, height, width; scenes are frames with arrays of boxes
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotlight.functions import boxes as bx
 from lotlight.operators import box_algorithms as ba
-from lotlight.operators import images, metrics
+from lotlight.operators import images, linear, metrics
 from lotlight.operators.learning import Fitted
 
 BOX = ", ".join(f"{c} double" for c in ba.COLUMNS)
@@ -67,19 +67,41 @@ class HogScorer:
 
 
 def fit_scorer(patches: DataFrame, recall: float = 0.99, ridge: float = 10.0, config: images.FeatureConfig = images.FeatureConfig()) -> HogScorer:
-    """From patches (label, pixels, height, width; or label, hog): logistic regression on standardised HOG values with balanced classes; the threshold keeps `recall` of the cars."""
+    """From patches (label, pixels, height, width; or label, hog): logistic regression on standardised HOG values with balanced classes; the
+    threshold keeps `recall` of the cars. Of patches with pixels only the cells are kept, a third of the values; each pass makes their blocks anew."""
     made = "hog" in patches.columns
-    hog = patches if made else images.feature_frame(patches.select("label", "pixels", "height", "width"), replace(config, blocks=("hog",))).select("label", "hog").persist()
-    rows = hog.select(F.col("label").cast("double").alias("label"), array_to_vector("hog").alias("x"))
-    n, cars = rows.agg(F.count("*"), F.sum("label")).first()
-    share = F.when(F.col("label") == 1, n / (2 * max(cars, 1))).otherwise(n / (2 * max(n - cars, 1)))
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=ridge / n, maxIter=200).fit(rows.withColumn("w", share))
-    raw = model.transform(rows.where("label = 1")).select(vector_to_array("rawPrediction")[1].alias("s"))
-    threshold = raw.agg(F.percentile("s", 1 - recall)).first()[0]
+    rows = patches.select("label", "hog") if made else cells_of(patches.select("label", "pixels", "height", "width"), config).persist()
+    down, across = (s // config.cell for s in reversed(config.patch_size))
+
+    def make(columns: list) -> np.ndarray:
+        x = linear.matrix(columns)
+        return x if made else images.normed_blocks(x.reshape(len(x), down, across, -1), config).reshape(len(x), -1)
+
+    line = linear.fit(rows, ridge, True, make)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"s": line.margins(make(b.columns[1:]).astype(float)) if b.num_rows else np.empty(0)})
+
+    threshold = rows.where("label = 1").mapInArrow(run, "s double").agg(F.percentile("s", 1 - recall)).first()[0]
     if not made:
-        hog.unpersist()
-    down, across = (s // config.cell - config.block + 1 for s in reversed(config.patch_size))
-    return HogScorer(config, model.coefficients.toArray().reshape(down, across, -1), float(model.intercept), float(threshold))
+        rows.unpersist()
+    return HogScorer(config, line.weights.reshape(down - config.block + 1, across - config.block + 1, -1), line.offset, float(threshold))
+
+
+def cells_of(patches: DataFrame, config: images.FeatureConfig) -> DataFrame:
+    """label, cells (the HOG cells' values) of patches (label, pixels, height, width)."""
+    images.small_batches(patches.sparkSession)
+    w, h = config.patch_size
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(at, 64) for at in range(0, whole.num_rows, 64)):
+                cut = [images.resize(np.frombuffer(p.as_buffer(), np.uint8).reshape(y.as_py(), x.as_py(), 3), w, h) for p, y, x in zip(*b.columns[1:])]
+                made = images.hog_cells(images.gray(np.stack(cut)), config).astype(np.float32).reshape(len(cut), -1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * np.int32(made.shape[1]), made.ravel())], ["label", "cells"])
+
+    return patches.mapInArrow(run, f"label {dict(patches.dtypes)['label']}, cells array<float>")
 
 
 def with_features(df: DataFrame, config: images.FeatureConfig) -> DataFrame:
@@ -87,23 +109,32 @@ def with_features(df: DataFrame, config: images.FeatureConfig) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.concat(*[F.col(b).cast("array<double>") for b in config.blocks]))).drop(*config.blocks)
 
 
-def proposals(frames: DataFrame, scorer: HogScorer, d: DetectorConfig, config: images.FeatureConfig = images.FeatureConfig()) -> DataFrame:
-    """path, n, x1 to y2, first (the first stage's score), features of each frame's best windows."""
-    blocks = ", ".join(f"{b} array<float>" for b in config.blocks)
+def proposals(frames: DataFrame, scorer: HogScorer, d: DetectorConfig, config: images.FeatureConfig = images.FeatureConfig(), line: linear.Line | None = None) -> DataFrame:
+    """path, n, x1 to y2, first (the first stage's score), features of each frame's best windows; with a `line`, its chance of a car as
+    score in place of the features, which then leave no task."""
+    blocks = "score double" if line else ", ".join(f"{b} array<float>" for b in config.blocks)
 
     def make(frame: np.ndarray, row: dict) -> list[tuple]:
         boxes, scores = scorer.best(frame, d)
         parts = images.cut(frame, np.trunc(boxes), 1)
         kept = [k for k, p in enumerate(parts) if p is not None]
         made = images.extract_all([parts[k] for k in kept], config)
-        return [(row["path"], k, *map(float, boxes[k]), float(scores[k]), *[made[b][i] for b in config.blocks]) for i, k in enumerate(kept)]
+        if line:
+            margins = line.margins(np.hstack([made[b] for b in config.blocks]).astype(float)) if kept else []
+            last = [(float(1 / (1 + np.exp(-np.clip(m, -700, 700)))),) for m in margins]
+        else:
+            last = [tuple(made[b][i] for b in config.blocks) for i in range(len(kept))]
+        return [(row["path"], k, *map(float, boxes[k]), float(scores[k]), *last[i]) for i, k in enumerate(kept)]
 
-    return with_features(images.frame_rows(frames.select("path", "pixels", "height", "width"), make, f"path string, n int, {BOX}, first double, {blocks}"), config)
+    found = images.frame_rows(frames.select("path", "pixels", "height", "width"), make, f"path string, n int, {BOX}, first double, {blocks}")
+    return found if line else with_features(found, config)
 
 
 def scored(frames: DataFrame, scorer: HogScorer, classifier: Fitted, d: DetectorConfig, config: images.FeatureConfig = images.FeatureConfig()) -> DataFrame:
-    """path, n, x1 to y2, score of the second stage for all proposals."""
-    return classifier.score(proposals(frames, scorer, d, config)).select("path", "n", *ba.COLUMNS, "score")
+    """path, n, x1 to y2, score of the second stage for all proposals. A linear classifier scores them where their features are made."""
+    line = classifier.line(sum(config.widths().values()))
+    windows = proposals(frames, scorer, d, config, line)
+    return (windows if line else classifier.score(windows)).select("path", "n", *ba.COLUMNS, "score")
 
 
 def detect(windows: DataFrame, d: DetectorConfig) -> DataFrame:

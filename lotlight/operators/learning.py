@@ -9,14 +9,14 @@ from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
+from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlight.operators import metrics
+from lotlight.operators import linear, metrics
 
 MODELS = ("logreg", "rf", "svm", "xgb")
 # What tuning tries. A depth of 30 is the deepest there is here.
@@ -145,6 +145,25 @@ class Candidate:
         return Fitted(self, before, self.estimator(df.count()).fit(ready), width, gamma)
 
 
+    def fit_blocks(self, rows: DataFrame, blocks: list[str] | tuple[str, ...]) -> Fitted:
+        """A logreg candidate from rows at hand (label, and blocks of floats that are side by side the features), which are never made vectors."""
+        columns = np.array(self.columns)
+        line = linear.fit(rows.select("label", *blocks), 1 / self.settings.get("C", 1.0), make=lambda c: linear.matrix(c)[:, columns])
+        spark_ml, gateway = rows.sparkSession._jvm.org.apache.spark.ml, rows.sparkSession.sparkContext._gateway
+
+        def vector(values: np.ndarray):
+            made = gateway.new_array(gateway.jvm.double, len(values))
+            for k, v in enumerate(values.tolist()):
+                made[k] = v
+            return spark_ml.linalg.Vectors.dense(made)
+
+        weights = line.weights * line.deviation
+        scaler = StandardScalerModel(spark_ml.feature.StandardScalerModel("scaler", vector(line.deviation), vector(line.mean)))
+        model = LogisticRegressionModel(spark_ml.classification.LogisticRegressionModel("logreg", vector(weights), float(line.offset + line.weights @ line.mean)))
+        scaler = scaler._set(withMean=True).setInputCol("_part").setOutputCol("x")
+        return Fitted(self, PipelineModel([VectorSlicer(inputCol="features", outputCol="_part", indices=self.columns), scaler]), model.setFeaturesCol("x"), len(self.columns))
+
+
 def _components(stages: list, df: DataFrame, share: float = 0.95) -> int:
     scaled = Pipeline(stages=stages).fit(df).transform(df)
     seen = PCA(k=min(300, len(scaled.first()["_scaled"])), inputCol="_scaled", outputCol="_p").fit(scaled).explainedVariance.toArray()
@@ -159,6 +178,17 @@ class Fitted:
     width: int
     gamma: float = 0.0
 
+    def line(self, n: int) -> linear.Line | None:
+        """The same score as one sum over all n features, if the model is a regression on scaled values."""
+        if self.candidate.model != "logreg":
+            return None
+        scaler, columns = self.before.stages[-1], self.candidate.columns
+        mean, deviation, own = scaler.mean.toArray(), scaler.std.toArray(), self.model.coefficients.toArray()
+        part = np.divide(own, deviation, out=np.zeros(len(own)), where=deviation > 0)
+        weights = np.zeros(n)
+        np.add.at(weights, columns, part)
+        return linear.Line(weights, float(self.model.intercept - part @ mean), np.zeros(n), np.ones(n))
+
     def score(self, df: DataFrame, out: str = "score") -> DataFrame:
         """`df` with the chance of label 1, or the sigmoid of the margin."""
         ready = self.before.transform(df)

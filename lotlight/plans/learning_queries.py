@@ -203,12 +203,14 @@ def _patch_rows(f):
 
 
 def _classifier(f):
-    return ml.Candidate("all | logreg", list(range(sum(FAST.widths().values()))), "logreg").fit(_patch_rows(f))
+    return ml.Candidate("all | logreg", list(range(sum(FAST.widths().values()))), "logreg").fit_blocks(f, FAST.blocks)
 
 
 def _detector(spark, d):
     f = _features(spark, d).persist()
-    return det.fit_scorer(f), _classifier(f)
+    stages = det.fit_scorer(f), _classifier(f)
+    f.unpersist()
+    return stages
 
 
 @query("ml_sample_patches")

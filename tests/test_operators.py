@@ -523,3 +523,47 @@ def test_match_best_with_own_best_columns_is_the_assignment():
         a, b = (np.hstack([c := r.uniform(0, 40, (n, 2)), c + r.uniform(5, 30, (n, 2))]) for n in (r.integers(1, 5), r.integers(1, 30)))
         o = ba.iou_matrix(a, b)
         assert sorted(ba.match_best(a, b, 0.3)) == sorted((i, j) for i, j in ba.assign(o) if o[i, j] >= 0.3)
+
+
+def test_wide_regression_ends_where_all_rows_say(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from lotlight.operators import linear
+
+    r = np.random.default_rng(6)
+    x = (r.normal(size=(400, 6)) * [1, 1, 20, 1, 0, 1] + 3).astype(np.float32)
+    y = (x[:, 0] + 0.05 * x[:, 2] + r.normal(size=400) > 4).astype(float)
+    df = spark.createDataFrame([(float(b), a[:4].tolist(), a[4:].tolist()) for a, b in zip(x, y)], "label double, one array<float>, two array<float>").repartition(3).persist()
+    for begun in (4, 1e9):  # steps that begin at a part of the rows, and at nothing
+        monkeypatch.setattr(linear, "START", begun)
+        line = linear.fit(df, 10.0, True)
+        z, weight = (x - x.mean(0)) / line.deviation, np.where(y == 1, 200 / y.sum(), 200 / (1 - y).sum())
+        left = weight * (1 / (1 + np.exp(-line.margins(x.astype(float)))) - y)
+        assert np.abs(z.T @ left + 10 * line.weights * line.deviation).max() < 1e-2 and abs(left.sum()) < 1e-2 and line.weights[4] == 0
+    c = learning.Candidate("some | logreg", [0, 2, 3, 5], "logreg", {"tol": 1e-12})
+    rows = df.select("label", array_to_vector(F.concat("one", "two").cast("array<double>")).alias("features"))
+    fitted = c.fit_blocks(df, ["one", "two"])
+    own, spark_s = ([s.score for s in f.score(rows).select("score").collect()] for f in (fitted, c.fit(rows)))
+    assert np.allclose(own, spark_s, atol=1e-3)
+    held = np.array([list(s.features) for s in rows.collect()])
+    assert np.allclose(1 / (1 + np.exp(-fitted.line(6).margins(held))), own, atol=1e-9)
+    assert learning.Candidate("r", [0], "rf", small=True).fit(rows).line(6) is None
+
+
+def test_linear_second_stage_scores_in_place(spark, trained):
+    c, patches, scorer, fitted = trained
+    d, test = det.DetectorConfig(max_windows=40), shots(spark, [[[80, 48, 144, 112]], [[16, 56, 80, 120]]], 40)
+    there = det.scored(test, scorer, fitted, d, c)
+    assert not {"hog", "features"} & set(det.proposals(test, scorer, d, c, fitted.line(sum(c.widths().values()))).columns)
+    want = {(w.path, w.n): w.score for w in fitted.score(det.proposals(test, scorer, d, c)).collect()}
+    got = {(w.path, w.n): w.score for w in there.collect()}
+    assert want.keys() == got.keys() and len(got) > 0 and all(abs(want[k] - got[k]) < 1e-9 for k in got)
+
+
+def test_cells_are_all_that_a_scorer_keeps(spark, trained):
+    c, patches, scorer, _ = trained
+    kept = det.cells_of(patches.select("label", "pixels", "height", "width"), images.FeatureConfig())
+    assert {len(r.cells) for r in kept.collect()} == {576}
+    made = images.feature_frame(patches, images.FeatureConfig(blocks=("hog",))).select("label", "hog").persist()
+    two = det.fit_scorer(made)
+    assert np.allclose(scorer.weights, two.weights, atol=1e-4) and abs(scorer.threshold - two.threshold) < 1e-3
