@@ -264,7 +264,9 @@ def cls_frame(spark, d):
     square = lambda x, y: [{"x": x, "y": y}, {"x": x + 32.0, "y": y}, {"x": x + 32.0, "y": y + 32.0}, {"x": x, "y": y + 32.0}]
     spots = spark.createDataFrame([("S1", square(9.0, 7.0), 120, 85), ("S2", square(70.0, 13.0), 120, 85), ("S3", square(38.0, 38.0), 120, 85)], "id string, polygon array<struct<x:double,y:double>>, width int, height int")
     begin = F.timestamp_seconds(F.substring("path", 2, 12).cast("long") * 60).cast("timestamp_ntz")
-    fitted = _classifier(_features(spark, d).persist())
+    f = _features(spark, d).persist()
+    fitted = _classifier(f)
+    f.unpersist()
     log = fr.classify(s.withColumn("ts", begin), spots, fitted.score, config=FAST)
     return log.select("ts", "spot_id", "occupied", F.round("score", 3).alias("score"))
 
