@@ -9,14 +9,14 @@ from itertools import product
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotlight.operators import linear, metrics
+from lotlight.operators import forest, linear, metrics
 
 MODELS = ("logreg", "rf", "svm", "xgb")
 # What tuning tries. A depth of 30 is the deepest there is here.
@@ -118,8 +118,6 @@ class Candidate:
         reg = lambda least: 1 / (self.settings.get("C", least) * max(n, 1))
         if self.model == "logreg":
             return LogisticRegression(**{**c, "maxIter": 100, "regParam": reg(1.0), **own})
-        if self.model == "rf":
-            return RandomForestClassifier(**{**c, "numTrees": 20 if self.small else 300, "maxDepth": 5 if self.small else 20, "featureSubsetStrategy": "sqrt", "seed": 0, **own})
         if self.model == "xgb":
             return GBTClassifier(**{**c, "maxIter": 10 if self.small else 300, "maxDepth": 3 if self.small else 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 0, **own})
         if self.model == "svm":
@@ -142,6 +140,10 @@ class Candidate:
             gamma = self.settings.get("gamma", "scale")
             gamma = 1 / width if gamma == "scale" else float(gamma)
             ready = fourier(ready.withColumnRenamed("x", "_x"), "_x", "x", width, gamma=gamma)
+        if self.model == "rf":
+            names = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "least", "seed": "seed"}
+            own = {"trees": 20 if self.small else 300, "depth": 5 if self.small else 20, **{names[k]: v for k, v in self.settings.items()}}
+            return Fitted(self, before, forest.fit(ready, **own), width)
         return Fitted(self, before, self.estimator(df.count()).fit(ready), width, gamma)
 
 
@@ -194,6 +196,8 @@ class Fitted:
         ready = self.before.transform(df)
         if self.candidate.model == "svm":
             ready = fourier(ready.withColumnRenamed("x", "_x"), "_x", "x", self.width, gamma=self.gamma)
+        if isinstance(self.model, forest.Forest):
+            return self.model.score(ready, "x", "_s").select(*df.columns, F.col("_s").alias(out))
         done = self.model.transform(ready)
         raw = vector_to_array("probability")[1] if "probability" in done.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
         return done.withColumn("_s", raw).select(*df.columns, F.col("_s").alias(out))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotlight.operators import frames, images
+from lotlight.operators.forest import Forest
 from lotlight.operators.learning import Candidate, Fitted
 
 
@@ -45,7 +46,10 @@ def print_status(log: DataFrame, limit: int = 1000) -> None:
 def save_model(fitted: Fitted, path: str, sidecar: dict | None = None) -> None:
     """A fitted candidate: what stands before the model, the model, and all else, with `sidecar`, as JSON beside them."""
     fitted.before.write().overwrite().save(f"{path}/before")
-    fitted.model.write().overwrite().save(f"{path}/model")
+    if isinstance(fitted.model, Forest):
+        fitted.model.save(SparkSession.active(), f"{path}/model")
+    else:
+        fitted.model.write().overwrite().save(f"{path}/model")
     own = {"candidate": asdict(fitted.candidate), "class": f"{type(fitted.model).__module__}.{type(fitted.model).__name__}", "width": fitted.width, "gamma": fitted.gamma}
     SparkSession.active().createDataFrame([(json.dumps({**own, "sidecar": sidecar or {}}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
@@ -54,9 +58,12 @@ def load_model(spark: SparkSession, path: str) -> tuple[Fitted, dict]:
     """The fitted candidate and its sidecar."""
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
     module, name = about["class"].rsplit(".", 1)
-    if not module.startswith("pyspark.ml."):
+    if about["class"] == f"{Forest.__module__}.{Forest.__name__}":
+        model = Forest.load(spark, f"{path}/model")
+    elif module.startswith("pyspark.ml."):
+        model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+    else:
         raise ValueError(f"{path} holds no model of Spark")
-    model = getattr(importlib.import_module(module), name).load(f"{path}/model")
     return Fitted(Candidate(**about["candidate"]), PipelineModel.load(f"{path}/before"), model, about["width"], about["gamma"]), about["sidecar"]
 
 

@@ -567,3 +567,56 @@ def test_cells_are_all_that_a_scorer_keeps(spark, trained):
     made = images.feature_frame(patches, images.FeatureConfig(blocks=("hog",))).select("label", "hog").persist()
     two = det.fit_scorer(made)
     assert np.allclose(scorer.weights, two.weights, atol=1e-4) and abs(scorer.threshold - two.threshold) < 1e-3
+
+
+def test_forest_is_grown_by_tasks(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from lotlight.operators import forest
+    from lotlight.sources import sinks
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 9))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    df = spark.createDataFrame([(k, float(b), a.tolist()) for k, (a, b) in enumerate(zip(x, y))], "key int, label double, v array<double>").select("key", "label", array_to_vector("v").alias("features"))
+    train, test = df.where("key < 400"), df.where("key >= 400")
+    c = learning.Candidate("all | rf", list(range(9)), "rf", {"numTrees": 40})
+    one = c.fit(train.repartition(7))
+    assert len(one.model.lengths) == 40 and one.line(9) is None
+    got = {s.key: (s.score, s.label) for s in one.score(test).collect()}
+    assert len(got) == 200 and np.mean([(s >= 0.5) == b for s, b in got.values()]) > 0.85
+    again = {s.key: s.score for s in c.fit(train.repartition(2)).score(test).collect()}
+    assert all(again[k] == got[k][0] for k in got)  # however rows are dealt
+    sinks.save_model(one, str(tmp_path / "m"))
+    loaded = sinks.load_model(spark, str(tmp_path / "m"))[0]
+    assert sorted(loaded.model.lengths) == sorted(one.model.lengths)
+    assert all(abs(s.score - got[s.key][0]) < 1e-12 for s in loaded.score(test).collect())
+
+
+def test_tree_of_a_forest_like_a_loop():
+    from lotlight.operators import forest
+
+    r = np.random.default_rng(9)
+    bins, y = r.integers(0, 32, (80, 3)).astype(np.uint8), r.integers(0, 2, 80).astype(float)
+    own = forest.grow(bins, y, np.random.default_rng(4), 20, 1, 3)
+    weight = np.bincount(np.random.default_rng(4).integers(80, size=80), minlength=80)
+
+    def loop(k, rows):  # every split is the best of all features and cuts
+        n, h = weight[rows].sum(), (weight * y)[rows].sum()
+        assert abs(own["chance"][k] - h / n) < 1e-6
+        bad = {}
+        for f, c in itertools.product(range(3), range(32)):
+            sides = [rows[bins[rows, f] <= c], rows[bins[rows, f] > c]]
+            if all(weight[s].sum() for s in sides):
+                bad[f, c] = sum((weight * y)[s].sum() * (weight * (1 - y))[s].sum() / weight[s].sum() for s in sides)
+        if own["feature"][k] < 0:
+            assert h in (0, n) or not bad or min(bad.values()) > h * (n - h) / n - 1e-6
+            return
+        f, c, left = int(own["feature"][k]), int(own["cut"][k]), int(own["left"][k])
+        assert abs(bad[f, c] - min(bad.values())) < 1e-9
+        loop(left, rows[bins[rows, f] <= c])
+        loop(left + 1, rows[bins[rows, f] > c])
+
+    loop(0, np.flatnonzero(weight))
+    got = forest.chances(own, bins)
+    assert np.array_equal(got[weight > 0] > 0.5, y[weight > 0] == 1)
