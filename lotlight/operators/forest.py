@@ -1,4 +1,4 @@
-"""Random forests whose trees are grown and used by tasks; the driver has a file of them, which Spark hands to the executors.
+"""Random forests whose trees are grown, gathered in a file and used by tasks; Spark hands the file to the executors, and no tree is in the driver's memory.
 
 Values are cut into bins at quantiles of all rows, one byte each. A task gets all rows' bytes once and grows its share of the trees, level
 by level, all nodes of a level at once; it counts rows by node, drawn feature and bin. Rows that have the same bytes are interchangeable,
@@ -7,23 +7,25 @@ so that a tree is the same however rows are dealt. A task holds a byte for each
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotlight.operators.shared import gone_at_end, shared_folder
+
 BINS = 32
 CELLS = 1 << 21  # counts that are held at once
 BLOCK = 4096  # rows that travel as one
+#: Of Parquet: a tree is a large row, so that sizes are looked at after each.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 NODE = np.dtype([("feature", "<i2"), ("cut", "u1"), ("left", "<i4"), ("chance", "<f4")])
 
 
@@ -97,24 +99,34 @@ def borders(df: DataFrame, features: str) -> list[np.ndarray]:
     return [np.unique(r["q"]) for r in sorted(rows, key=lambda r: r["k"])]
 
 
-def _kept(name: str) -> str:
-    """A new local file."""
-    where = tempfile.mkdtemp(prefix="lotlight-")
-    atexit.register(shutil.rmtree, where, ignore_errors=True)
-    return os.path.join(where, name)
+def _nodes(name: str) -> np.ndarray:
+    """All nodes of a file of trees: each executor unpacks it once, beside it, and maps that."""
+    packed = SparkFiles.get(name)
+    flat = f"{packed}.nodes"
+    if not os.path.exists(flat):
+        own = f"{flat}-{uuid.uuid4().hex}"
+        with pq.ParquetFile(packed) as f, open(own, "wb") as out:
+            for k in range(f.num_row_groups):
+                for tree in f.read_row_group(k, ["nodes"])["nodes"]:
+                    out.write(tree.as_buffer())
+        os.replace(own, flat)  # another worker may have done the same
+    return np.memmap(flat, NODE, "r")
 
 
 class Forest:
-    """Borders of the bins, and a file of trees, one after another, with their lengths."""
-
-    def __init__(self, spark: SparkSession, cuts: list[np.ndarray], trees: Iterator[bytes]):
-        self.cuts, self.lengths, self.file = cuts, [], f"forest-{uuid.uuid4().hex}"
-        self.path = _kept(self.file)
-        with open(self.path, "wb") as f:
-            for t in trees:  # one at a time
-                self.lengths.append(len(t) // NODE.itemsize)
-                f.write(t)
-        spark.sparkContext.addFile(self.path)
+    """Borders of the bins, and a file of trees in the shared folder, in order, with their lengths."""
+
+    def __init__(self, spark: SparkSession, cuts: list[np.ndarray], trees: DataFrame):
+        """trees: tree, nodes. One task gathers them."""
+        self.cuts, self.path = cuts, shared_folder(spark, "forest")
+        size = (F.length("nodes") / NODE.itemsize).cast("int").alias("n")
+        trees.select("tree", size, "nodes").repartition(1).sortWithinPartitions("tree").write.options(**LARGE_ROWS).parquet(self.path)
+        gone_at_end(spark, self.path)
+        made = spark.read.parquet(self.path)
+        self.lengths = [r["n"] for r in made.select("tree", "n").orderBy("tree").collect()]  # a number for each tree
+        file = made.inputFiles()[0]
+        self.file = file.rpartition("/")[2]
+        spark.sparkContext.addFile(file)
 
     def score(self, df: DataFrame, features: str, out: str) -> DataFrame:
         """`df` with the trees' mean chance of label 1."""
@@ -126,7 +138,7 @@ class Forest:
 
             if not len(v):
                 return pd.Series([], dtype=float)
-            nodes, bins, total, at = np.memmap(SparkFiles.get(name), NODE, "r"), binned(np.stack(v.to_numpy()), cuts), np.zeros(len(v)), 0
+            nodes, bins, total, at = _nodes(name), binned(np.stack(v.to_numpy()), cuts), np.zeros(len(v)), 0
             for n in lengths:
                 total += chances(nodes[at : at + n].view(np.ndarray), bins)
                 at += n
@@ -135,18 +147,15 @@ class Forest:
         return df.withColumn(out, run(vector_to_array(features)))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        nodes, ends = np.memmap(self.path, NODE, "r"), np.cumsum(self.lengths)
         about = [(-1 - k, bytearray(c.astype(float).tobytes())) for k, c in enumerate(self.cuts)]
         spark.createDataFrame(about, "tree int, nodes binary").coalesce(1).write.mode("overwrite").parquet(path)
-        for a in range(0, len(ends), 10):
-            some = [(k, bytearray(nodes[ends[k] - self.lengths[k] : ends[k]].tobytes())) for k in range(a, min(a + 10, len(ends)))]
-            spark.createDataFrame(some, "tree int, nodes binary").coalesce(1).write.mode("append").parquet(path)
+        spark.read.parquet(self.path).select("tree", "nodes").write.options(**LARGE_ROWS).mode("append").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Forest:
         df = spark.read.parquet(path)
         cuts = [np.frombuffer(r["nodes"]) for r in df.where("tree < 0").orderBy(F.desc("tree")).collect()]  # a row for each feature
-        return cls(spark, cuts, (bytes(r["nodes"]) for r in df.where("tree >= 0").orderBy("tree").toLocalIterator()))
+        return cls(spark, cuts, df.where("tree >= 0"))
 
 
 def fit(df: DataFrame, trees: int = 300, depth: int = 20, least: int = 1, seed: int = 0, features: str = "x", label: str = "label") -> Forest:
@@ -177,8 +186,4 @@ def fit(df: DataFrame, trees: int = 300, depth: int = 20, least: int = 1, seed:
 
     blocks = df.select(label, vector_to_array(features)).mapInArrow(pack, "block binary")
     dealt = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block").repartition(groups, "g")
-    grown = dealt.mapInArrow(plant, "tree int, nodes binary").persist()
-    grown.count()
-    made = Forest(spark, cuts, (bytes(r["nodes"]) for r in grown.toLocalIterator()))
-    grown.unpersist()
-    return made
+    return Forest(spark, cuts, dealt.mapInArrow(plant, "tree int, nodes binary"))

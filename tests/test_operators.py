@@ -620,3 +620,42 @@ def test_tree_of_a_forest_like_a_loop():
     loop(0, np.flatnonzero(weight))
     got = forest.chances(own, bins)
     assert np.array_equal(got[weight > 0] > 0.5, y[weight > 0] == 1)
+
+
+def test_no_tree_of_a_forest_reaches_the_driver(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from lotlight.operators import forest
+
+    r = np.random.default_rng(10)
+    df = spark.createDataFrame([(float(r.integers(2)), r.normal(size=5).tolist()) for _ in range(3000)], "label double, v array<double>").select("label", array_to_vector("v").alias("x")).persist()
+    context, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+
+    def stage(name):
+        context.setJobGroup(name, name)
+        df.count()
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return max(s for j in context.statusTracker().getJobIdsForGroup(name) for s in context.statusTracker().getJobInfo(j).stageIds)
+
+    def sent(*stages):
+        total = 0
+        for k in range(*stages):
+            try:
+                total += store.lastStageAttempt(k).resultSize()
+            except Exception:  # one that was skipped
+                pass
+        return total
+
+    first = stage("before forest")
+    made = forest.fit(df, trees=100)
+    fitted = stage("after forest")
+    made.save(spark, str(tmp_path / "m"))
+    saved = stage("after save")
+    again = forest.Forest.load(spark, str(tmp_path / "m"))
+    loaded = stage("after load")
+    size = sum(made.lengths) * forest.NODE.itemsize
+    assert len(made.lengths) == 100 and again.lengths == made.lengths
+    assert 0 < sent(first, fitted) < size / 4 and sent(fitted, saved) < size / 4 and sent(saved, loaded) < size / 4
+    one, two = (m.score(df, "x", "s").selectExpr("sum(s)").first()[0] for m in (made, again))
+    assert one == two
+    df.unpersist()
