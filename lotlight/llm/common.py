@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 #: Keys that a join may treat as hot, at most; so many rows are broadcast.
 HOT_KEYS = 10_000
+#: Rows that a key of a small table may have without being hot: they are no load for a task.
+HOT_ROWS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -99,16 +101,21 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], salt: Column,
 def counted_join(left: DataFrame, right: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
     """Equi-join with `right`, which holds each key once and in a column `n` how many of the `total` rows of `left` have it.
 
-    Keys of more than a HOT_KEYS-th of all rows, fewer than HOT_KEYS by that, are
-    broadcast and their rows are not shuffled; of the rest, no key has more than
-    that in any task. `n` is dropped.
+    Keys of more than a HOT_KEYS-th of all rows, and of more than HOT_ROWS, are fewer than HOT_KEYS. Their hashes reach the
+    driver, which runs `right` for them at once; both sides are parted by these, so that other keys of an equal hash meet too.
+    Hot keys are broadcast and their rows are not shuffled; of the rest, no key has more rows than that in any task. No
+    row passes a join to be told hot from cold, and without hot keys there is one plain join. `n` is dropped.
     """
-    most = total / HOT_KEYS
-    hot, cold = right.where(F.col("n") > most).drop("n"), right.where(F.col("n") <= most).drop("n")
-    flag = unused(left, "_hot")
-    flagged = left.join(F.broadcast(hot.withColumn(flag, F.lit(True))), on, "left")
-    by_task, rest = flagged.where(F.col(flag).isNotNull()).drop(flag), flagged.where(F.col(flag).isNull())
-    return by_task.unionByName(rest.select([f"`{c}`" for c in left.columns]).join(cold, on, how))
+    if left.schema[on].dataType != right.schema[on].dataType:
+        raise TypeError(f"{on} must be of one type on both sides")
+    hashed = F.xxhash64(F.col(f"`{on}`"))
+    hot = [r[0] for r in right.where(F.col("n") > max(total / HOT_KEYS, HOT_ROWS)).select(hashed).collect()]
+    right = right.drop("n")
+    if not hot:
+        return left.join(right, on, how)
+    is_hot = F.expr(f"xxhash64(`{on}`) IN ({', '.join(f'{h}L' for h in hot)})")
+    by_task = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
+    return by_task.unionByName(left.where(~is_hot).join(right.where(~is_hot), on, how))
 
 
 def replace_columns(df: DataFrame, changed: dict[str, Column], like: DataFrame) -> DataFrame:
