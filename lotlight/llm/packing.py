@@ -14,6 +14,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+NOT_LATIN = re.compile("[\u0250-\U0010ffff]")
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
 
 def pieces(n: int, length: int = 2048) -> list[tuple[int, int]]:
     """(start, length) pairs that cover 0 to n, each length a power of two."""
@@ -43,13 +47,15 @@ class ByteBpe(dict):
     """Ids of the byte-level vocabulary, as little-endian 32-bit bytes.
 
     Between single spaces, a space and the word after it are encoded without
-    regard to what stands around, so each distinct word is encoded once; words
-    in Latin letters by the faster of two libraries that agree, others and the
-    vocabulary's special tokens by `tokenizers` itself. Words longer than
+    regard to what stands around. A text in Latin letters without the
+    vocabulary's special tokens is encoded by the faster of two libraries that
+    agree on these, cut at such a space after every `chunk` characters. Of others
+    each distinct word is encoded once: words in Latin letters by the same
+    library, others and special tokens by `tokenizers` itself. Words longer than
     `longest` aren't kept, and the table starts anew at `most` words.
     """
 
-    longest, most = 40, 1 << 17
+    longest, most, chunk = 40, 1 << 17, 1 << 16
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str) -> None:
         import base64
@@ -66,9 +72,22 @@ class ByteBpe(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special) and (text.isascii() or not NOT_LATIN.search(text))
+
+    def ids_of_any(self, text: str) -> bytes:
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids_of_plain(self, text: str) -> bytes:
+        try:
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as e:  # white space beyond what its pattern can go back over; not an Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return self.ids_of_any(text)
+
     def ids(self, text: str) -> bytes:
-        plain = not any(s in text for s in self.special) and (text.isascii() or max(text) < "ɐ")
-        return np.array(self.fast.encode_ordinary(text) if plain else self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids_of_plain(text) if self.plain(text) else self.ids_of_any(text)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -81,6 +100,12 @@ class ByteBpe(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.plain(text):
+            out, at = [], 0
+            while len(text) - at > self.chunk and (cut := SINGLE_SPACE.search(text, at + self.chunk)):
+                out.append(self.ids_of_plain(text[at : cut.start()]))
+                at = cut.start()
+            return b"".join([*out, self.ids_of_plain(text[at:])])
         first, *words = text.split(" ")
         try:
             if not first or first[-1].isspace():

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from copy import copy
 
 import numpy as np
 from hypothesis import given, settings
@@ -51,3 +52,23 @@ def test_batches(odd):
         for k, s in enumerate(b.sequence_ids):
             seen[s] = (b.bucket, b.ids[4 * k * b.length : 4 * (k + 1) * b.length])
     assert seen == want
+
+
+@given(st.lists(PARTS, max_size=40).map("".join), st.integers(1, 8))
+@settings(max_examples=200, deadline=None)
+def test_cuts_of_long_texts(text, chunk):
+    bpe = copy(BPE)
+    bpe.chunk = chunk
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == FULL.encode(text, add_special_tokens=False).ids
+
+
+def test_latin_texts_are_encoded_whole():
+    """Texts of ever new words cost no table of words."""
+    bpe = ByteBpe(*byte_bpe_files())
+    text = " ".join(f"nouveauté{k}" for k in range(30_000))
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == FULL.encode(text, add_special_tokens=False).ids and not bpe
+
+
+def test_long_white_space():
+    for text in (" " * 1_500_000 + "a", "a \xa0" * 9 + "\xa0" * 1_500_000 + "b c"):
+        assert np.frombuffer(BPE.encode(text), "<u4").tolist() == FULL.encode(text, add_special_tokens=False).ids
