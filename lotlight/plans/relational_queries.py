@@ -263,5 +263,8 @@ def fn_path_parts(spark, d):
 
 @query("fn_math", "SELECT event_id, round(ln(value), 6) AS log_value, round(1 / (1 + exp(-value / 50)), 6) AS sigmoid, greatest(10.0, least(90.0, value)) AS clipped, round_even(value, 1) AS rounded FROM events")
 def fn_math(spark, d):
+    """Numbers are rounded by floats, as a multiple of the last digit, like the SQL: decimals decide otherwise where the multiple is a half only by a float's rounding."""
     v = F.col("value")
-    return events(spark, d).select("event_id", F.when(v == 0, float("-inf")).otherwise(F.round(F.log(v), 6)).alias("log_value"), F.round(1 / (1 + F.exp(-v / 50)), 6).alias("sigmoid"), F.greatest(F.lit(10.0), F.least(F.lit(90.0), v)).alias("clipped"), F.bround(v, 1).alias("rounded"))
+    digits = lambda c, k, whole: F.when(F.abs(c * 10.0**k) < float("inf"), whole(c * 10.0**k) / 10.0**k).otherwise(c)
+    log = F.when(v == 0, float("-inf")).when(v < 0, float("nan")).otherwise(F.log(v))
+    return events(spark, d).select("event_id", digits(log, 6, F.round).alias("log_value"), digits(1 / (1 + F.exp(-v / 50)), 6, F.round).alias("sigmoid"), F.greatest(F.lit(10.0), F.least(F.lit(90.0), v)).alias("clipped"), digits(v, 1, F.rint).alias("rounded"))

@@ -59,3 +59,12 @@ def test_filters_reach_the_scan(spark):
     plan = QUERIES["flt_isin"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*In\(event_type|PushedFilters: \[[^\]]*EqualTo\(event_type", plan), plan
     assert "props" not in plan
+
+
+def test_numbers_are_rounded_like_the_sql(spark, tmp_path):
+    values = "[13.850000000000001, 109.14999999999999, 0.8500000000000001, 57.349999999999994, 0.25, 0.35, 0.0, -1.5, 1.7e308, 'inf'::DOUBLE, NULL]"  # times ten, the first four are halves by a float's rounding alone
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT CAST(row_number() OVER () AS BIGINT) AS event_id, TIMESTAMP '2024-01-01' AS ts, CAST(1 AS BIGINT) AS user_id, 'a' AS event_type, value FROM (SELECT unnest({values}) AS value)) TO '{tmp_path}/events.parquet'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = QUERIES["fn_math"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['fn_math']})").fetchall()))
