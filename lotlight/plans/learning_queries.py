@@ -159,7 +159,7 @@ def prj_block_slices(spark, d):
 # The detector on drawn scenes: one for each supplier, with cars where its key puts them.
 
 FAST = images.FeatureConfig(blocks=("hog", "rgb"))
-DET = det.DetectorConfig(windows=((64, 64),), max_windows=60)
+DET = det.DetectorConfig(windows=((64, 64),), max_windows=None)
 
 
 def scenes(spark, d, pixels=True):

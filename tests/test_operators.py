@@ -659,3 +659,11 @@ def test_no_tree_of_a_forest_reaches_the_driver(spark, tmp_path):
     one, two = (m.score(df, "x", "s").selectExpr("sum(s)").first()[0] for m in (made, again))
     assert one == two
     df.unpersist()
+
+
+def test_registered_detector_keeps_every_window():
+    from lotlight.plans import learning_queries as lq
+
+    scorer = det.HogScorer(images.FeatureConfig(), np.zeros((7, 7, 36)), 0.0, -1.0)  # lets all pass
+    boxes, _ = scorer.best(scene([[20, 30, 84, 94]], 0), lq.DET)
+    assert len(boxes) == len(scorer.score(scene([[20, 30, 84, 94]], 0), (64, 64))[0]) > 60
