@@ -8,6 +8,7 @@ Frames are path, pixels, height, width; scenes are frames with arrays of boxes
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -162,15 +163,18 @@ def hard_negatives(windows: DataFrame, scenes: DataFrame, threshold: float = 0.5
     return found.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "n"))).where(F.col("place") <= most).drop("place")
 
 
-def cut_windows(frames: DataFrame, windows: DataFrame, label: int = 0) -> DataFrame:
-    """path, n, label, pixels, height, width of windows (path, x1 to y2), cut out of their frames. A frame's pixels are moved once."""
+def cut_windows(frames: DataFrame | Callable[[DataFrame], DataFrame], windows: DataFrame, label: int = 0) -> DataFrame:
+    """path, n, label, pixels, height, width of windows (path, x1 to y2), cut out of their frames. A frame's pixels are moved once, and
+    never to the driver, as the windows are the side of the join that is held; where `frames` is a function that puts pixels, height and
+    width beside rows of path and boxes, they are not moved at all."""
     own = windows.groupBy("path").agg(F.collect_list(F.array(*ba.COLUMNS)).alias("boxes"))  # one frame's windows
+    whole = frames(own) if callable(frames) else frames.select("path", "pixels", "height", "width").join(own.hint("shuffle_hash"), "path")
 
     def make(frame: np.ndarray, row: dict) -> list[tuple]:
         parts = images.cut(frame, np.trunc(row["boxes"]), 1)
         return [(row["path"], k, label, p.tobytes(), *p.shape[:2]) for k, p in enumerate(parts) if p is not None]
 
-    return images.frame_rows(frames.select("path", "pixels", "height", "width").join(own, "path"), make, PATCH)
+    return images.frame_rows(whole.select("path", "pixels", "height", "width", "boxes"), make, PATCH)
 
 
 def random_windows(size: tuple[int, int], windows: np.ndarray, cars: np.ndarray, ignore: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:

@@ -160,6 +160,7 @@ def prj_block_slices(spark, d):
 
 FAST = images.FeatureConfig(blocks=("hog", "rgb"))
 DET = det.DetectorConfig(windows=((64, 64),), max_windows=None)
+SCENE = 170, 240  # height and width
 
 
 def scenes(spark, d, pixels=True):
@@ -168,9 +169,12 @@ def scenes(spark, d, pixels=True):
     at = lambda x, y: F.array(x.cast("double"), y.cast("double"), (x + 64).cast("double"), (y + 64).cast("double"))
     one, two, gap = at(k % 30 + 4, k % 17 + 6), at(k % 23 + 130, k % 31 + 12), at(k % 11 + 72, k % 40 + 60)
     s = table(spark, d, "supplier").select(F.concat(F.lit("f"), k).alias("path"), F.when(k % 3 == 0, F.array(one)).otherwise(F.array(one, two)).alias("cars"), F.array(gap).alias("negatives"), (k % 4 != 0).alias("random_negatives"))
-    none = F.array().cast("array<array<double>>")
-    if not pixels:
-        return s.withColumn("ignore", none)
+    s = s.withColumn("ignore", F.array().cast("array<array<double>>"))
+    return draw(spread(s, "path")) if pixels else s
+
+
+def draw(s):
+    """`scenes`, and what columns they have besides, with pixels, height, width."""
 
     def run(batches):
         import zlib
@@ -178,15 +182,14 @@ def scenes(spark, d, pixels=True):
         for pdf in (whole[at : at + 64] for whole in batches for at in range(0, len(whole), 64)):
             made = []
             for path, cars in zip(pdf.path, pdf.cars):
-                img = np.random.default_rng(zlib.crc32(path.encode())).integers(90, 110, (170, 240, 3)).astype(np.uint8)
+                img = np.random.default_rng(zlib.crc32(path.encode())).integers(90, 110, (*SCENE, 3)).astype(np.uint8)
                 for x1, y1, x2, y2 in (np.asarray(c, int) for c in cars):
                     img[y1:y2, x1:x2] = (200, 60, 60)
                     img[y1 + 8 : y2 - 8, x1 + 8 : x2 - 8] = (30, 30, 30)
                 made.append(img.tobytes())
-            yield pdf.assign(pixels=made, height=170, width=240)
+            yield pdf.assign(pixels=made, height=SCENE[0], width=SCENE[1])
 
-    boxes = "array<array<double>>"
-    return spread(s, "path").mapInPandas(run, f"path string, cars {boxes}, negatives {boxes}, random_negatives boolean, pixels binary, height int, width int").withColumn("ignore", none)
+    return s.mapInPandas(run, ", ".join(f"{name} {kind}" for name, kind in s.dtypes) + ", pixels binary, height int, width int")
 
 
 def _patches(spark, d):
@@ -232,9 +235,11 @@ def det_detect(spark, d):
 
 @query("det_hard_negatives")
 def det_hard_negatives(spark, d):
-    s = scenes(spark, d)
-    hard = det.hard_negatives(det.scored(s, *_detector(spark, d), DET, FAST), scenes(spark, d, False), 0.05)
-    return det.cut_windows(s, hard).groupBy("path").agg(F.count("*").alias("n_patches"), F.min("height").alias("least_height")).unionByName(s.agg(F.lit("all").alias("path"), F.count("*").alias("n_patches"), F.min("height").alias("least_height")))
+    boxes = scenes(spark, d, False)
+    hard = det.hard_negatives(det.scored(scenes(spark, d), *_detector(spark, d), DET, FAST), boxes, 0.05)
+    cut = det.cut_windows(lambda own: draw(spread(boxes.join(own, "path"), "path")), hard)
+    every = boxes.agg(F.lit("all").alias("path"), F.count("*").alias("n_patches"), F.lit(SCENE[0]).alias("least_height"))
+    return cut.groupBy("path").agg(F.count("*").alias("n_patches"), F.min("height").alias("least_height")).unionByName(every)
 
 
 @query("det_ap_top")

@@ -1,4 +1,5 @@
 import itertools
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -667,3 +668,14 @@ def test_registered_detector_keeps_every_window():
     scorer = det.HogScorer(images.FeatureConfig(), np.zeros((7, 7, 36)), 0.0, -1.0)  # lets all pass
     boxes, _ = scorer.best(scene([[20, 30, 84, 94]], 0), lq.DET)
     assert len(boxes) == len(scorer.score(scene([[20, 30, 84, 94]], 0), (64, 64))[0]) > 60
+
+
+def test_cut_windows_holds_windows_not_pixels(spark):
+    test = shots(spark, [[[80, 48, 144, 112]], [[16, 56, 80, 120]]], 30)
+    windows = spark.createDataFrame([("f30", 8.0, 8.0, 40.0, 40.0), ("f30", 80.0, 48.0, 144.0, 112.0), ("f31", 0.0, 0.0, 64.0, 32.0)], "path string, x1 double, y1 double, x2 double, y2 double")
+    cut = det.cut_windows(test, windows)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [path], [path], Inner, BuildRight" in re.sub(r"#\d+", "", plan) and "Broadcast" not in plan
+    there = det.cut_windows(lambda own: test.drop("cars").join(own, "path"), windows)
+    whole = lambda df: sorted((r.path, r.height, r.width, bytes(r.pixels)) for r in df.collect())
+    assert whole(cut) == whole(there) and [r[:3] for r in whole(cut)] == [("f30", 32, 32), ("f30", 64, 64), ("f31", 32, 64)]
