@@ -679,3 +679,18 @@ def test_cut_windows_holds_windows_not_pixels(spark):
     there = det.cut_windows(lambda own: test.drop("cars").join(own, "path"), windows)
     whole = lambda df: sorted((r.path, r.height, r.width, bytes(r.pixels)) for r in df.collect())
     assert whole(cut) == whole(there) and [r[:3] for r in whole(cut)] == [("f30", 32, 32), ("f30", 64, 64), ("f31", 32, 64)]
+
+
+def test_hard_negatives_go_into_both_stages(spark, monkeypatch):
+    from lotlight.plans import learning_queries as lq
+
+    fits, fit, second = [], det.fit_scorer, lq._classifier
+    empty = [F.col("negatives")[0][k].alias(c) for k, c in enumerate(ba.COLUMNS)]
+    monkeypatch.setattr(det, "hard_negatives", lambda windows, scenes, threshold: scenes.select("path", *empty))  # none is found on these few frames
+    monkeypatch.setattr(det, "fit_scorer", lambda f: fits.append(f.count()) or fit(f))
+    monkeypatch.setattr(lq, "_classifier", lambda f: fits.append(f.count()) or second(f))
+    rows = lq.det_hard_negatives(spark, "/root/testdata/sf0.001").collect()
+    found, every = [r for r in rows if r.path != "all"], [r for r in rows if r.path == "all"]
+    mined = sum(r.n_patches for r in found)
+    assert mined == every[0].n_patches and fits == [fits[0], fits[0], fits[0] + mined, fits[0] + mined]
+    assert all(r.score <= r.score_before + 0.002 for r in found)
