@@ -694,3 +694,22 @@ def test_hard_negatives_go_into_both_stages(spark, monkeypatch):
     mined = sum(r.n_patches for r in found)
     assert mined == every[0].n_patches and fits == [fits[0], fits[0], fits[0] + mined, fits[0] + mined]
     assert all(r.score <= r.score_before + 0.002 for r in found)
+
+
+def test_pictures_made_in_place_give_the_changes_of_moved_ones(spark):
+    from lotlight.plans import bindings, box_queries as bq
+
+    d = "/root/testdata/sf0.001"
+    seen = bindings.camera_frames(spark, d).where("camera < 6").persist()
+    sites, frames = discovery.find_sites(seen, bq.LOOSE).persist(), seen.select("camera", "t", "ts").distinct()
+    about = seen.groupBy("camera", "t").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", F.array(*ba.COLUMNS).alias("b")))), lambda x: x["b"])).alias("about"))
+    p, one = discovery.analyse(sites, frames, seen, bq.LOOSE, discovery.Shots(about, bq._picture))
+    q, two = discovery.analyse(sites, frames, seen, bq.LOOSE, bindings.drawn(seen, ["camera", "t", "ts"]))
+    assert "pixels" not in one._jdf.queryExecution().optimizedPlan().toString()
+    one, two = ({r.spot_id: r.asDict() for r in x.collect()} for x in (one, two))
+    assert one.keys() == two.keys() and max(r["n_departures"] for r in one.values()) > 0
+    for k, r in one.items():
+        assert abs(r.pop("max_change") - two[k].pop("max_change")) < 0.005 and r == two[k]
+    assert sorted(map(tuple, p.select(q.columns).collect())) == sorted(map(tuple, q.collect()))
+    old = sequences.bridged(sequences.presence(discovery.site_presence(sites, frames, seen, bq.LOOSE)), bq.LOOSE.min_absence_minutes)
+    assert sorted(map(tuple, p.select(old.columns).collect())) == sorted(map(tuple, old.collect()))
